@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, langid, packing, spm, topk, url_filters, wrappers
+from . import ctph, langid, packing, quality, spm, topk, url_filters, wrappers
 from .common import fold_of, table
 
 #: The rules of the url query.
@@ -32,6 +32,13 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(e, F.col("vec_id") % 20 == 0, 20)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold_of(F.col("doc_id"), 5) == 0
+    out = quality.score(docs, quality.fit(docs, labels, held), ["doc_id", held.alias("held_out")])
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of(F.col("doc_id"), 4) == 2
@@ -58,4 +65,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op5_language_id, op6_fingerprints, op7_sentencepiece, op8_html_extraction, op9_packing)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_quality, op5_language_id, op6_fingerprints, op7_sentencepiece, op8_html_extraction, op9_packing)}
