@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, langid, packing, quality, spm, topk, url_filters, wrappers
+from . import ctph, langid, lm_score, neardup, packing, quality, spm, topk, url_filters, wrappers
 from .common import fold_of, table
 
 #: The rules of the url query.
@@ -39,6 +39,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold_of(F.col("doc_id"), 4) == 2
@@ -64,5 +69,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocab("byte_bpe_50k.json"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_quality, op5_language_id, op6_fingerprints, op7_sentencepiece, op8_html_extraction, op9_packing)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_quality, op4_near_duplicates, op5_language_id, op6_fingerprints, op7_sentencepiece, op8_html_extraction, op9_packing, op10_lm_scores)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
