@@ -74,8 +74,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good).withColumnRenamed("id", "doc_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_quality, op4_near_duplicates, op5_language_id, op6_fingerprints, op7_sentencepiece, op8_html_extraction, op9_packing, op10_lm_scores)}
+    return {f.__name__: f for f in (op1_url_filters, op2_exact_topk, op3_quality, op4_near_duplicates, op5_language_id, op6_fingerprints, op7_sentencepiece, op8_html_extraction, op9_packing, op10_lm_scores, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
