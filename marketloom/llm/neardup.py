@@ -23,6 +23,8 @@ from .word_hash import mix, windows, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares all samples of some band with probability 1 - (1 - 0.8**3)**12 = 0.9998.
 BANDS, ROWS = 12, 3
+#: Of a pair at the threshold, so many of the 36 samples agree at least with probability 0.9996.
+AGREE = 20
 #: Weight = count * (1 + IDF_SHARE * ln((1 + n) / (1 + df)) / ln(1 + n)): from 1 to 1 + IDF_SHARE.
 IDF_SHARE = 0.5
 _BITS = 14
@@ -44,8 +46,8 @@ def _level(ln_w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, _LN_C[at] - r * (t - _BETA[at]) - r
 
 
-def band_hashes(keys: np.ndarray, weight: np.ndarray, usual: float, usual_table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One hash for each band from BANDS * ROWS samples; `usual` is the weight that most shingles have."""
+def sample(keys: np.ndarray, weight: np.ndarray, usual: float, usual_table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each band, and 32 bits of each of its BANDS * ROWS samples; `usual` is the weight of most shingles."""
     at = ((keys[:, None] * _SEEDS) >> np.uint64(64 - _BITS)).astype(np.int32)
     t_usual, a_usual = usual_table
     a = a_usual.take(at)
@@ -62,7 +64,7 @@ def band_hashes(keys: np.ndarray, weight: np.ndarray, usual: float, usual_table:
     out = np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         out = mix(out * np.uint64(31) + each[:, k])
-    return out.view(np.int64)
+    return out.view(np.int64), each.ravel().astype(np.uint32).view(np.int32)
 
 
 def _shingles(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,13 +84,13 @@ def _own_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(d: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
-    """id, total, common, keys, weights, bands of each distinct text that can be like another.
+    """id, total, common, keys, weights, bands, samples of each distinct text that can be like another.
 
     d: chunk, id, text, and rows of null text for ids that are copies. keys and weights are those of the shingles
     that other texts hold as well, common is their sum; only these can add to an overlap, so texts that hold too
     little of them are left out.
     """
-    schema = "id long, total double, common double, keys binary, weights binary, bands array<long>"
+    schema = "id long, total double, common double, keys binary, weights binary, bands array<long>, samples array<int>"
     usual = float(idf(np.ones(1), n)[0])
 
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
@@ -104,9 +106,9 @@ def signatures(d: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
             weight = tf * np.where(known, idf(df[spot], n) if len(shared) else usual, usual)
             total, common = float(weight.sum()), float(weight[known].sum())
             if common >= (threshold - 1e-6) * total:  # no similarity is above common / total
-                bands = band_hashes(keys, weight, usual, table)
-                out.append((i, total, common, pack_keys(keys[known]), weight[known].astype("<f4").tobytes(), bands.tolist()))
-        return pd.DataFrame(out, columns=["id", "total", "common", "keys", "weights", "bands"])
+                bands, samples = sample(keys, weight, usual, table)
+                out.append((i, total, common, pack_keys(keys[known]), weight[known].astype("<f4").tobytes(), bands.tolist(), samples.tolist()))
+        return pd.DataFrame(out, columns=["id", "total", "common", "keys", "weights", "bands", "samples"])
 
     if d.limit(1).count() == 0:
         return d.sparkSession.createDataFrame([], schema)
@@ -139,19 +141,22 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     First, the least id of each bucket is compared with all others there; texts like it are settled. Each text
     that isn't is then compared with all texts of its bucket that its weights leave possible: a similarity of s
     needs an overlap of s / (1 + s) of both totals, and no overlap is above what either text holds in common with
-    others. In a group of edited copies, that leaves few besides those that are like the group's head.
+    others. Their samples must agree as often as samples of pairs at the threshold do, and a pair is taken from its
+    first common band only. In a group of edited copies, that leaves few besides those like the group's head.
     """
     factor = (1 + threshold) / threshold
     fits = lambda x, y: (F.col(f"{y}.total") <= F.col(f"{x}.most")) & (F.col(f"{x}.total") <= F.col(f"{y}.most"))
-    left = sigs.select("id", "total", (F.col("common") * factor - F.col("total") + 1e-6 * F.col("total")).alias("most"), F.explode("bands").alias("bucket")).distinct()
+    left = sigs.select("id", "total", (F.col("common") * factor - F.col("total") + 1e-6 * F.col("total")).alias("most"), "bands", "samples", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["id", "total", "bucket"])
     heads = saved(left.groupBy("bucket").agg(F.min_by(F.struct("id", "total", "most"), "id").alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "h"))
-    near = saved(left.join(heads, "bucket").where("id <> h.id").select("bucket", F.col("h.id").alias("a"), F.col("id").alias("b"), F.struct("id", "total", "most").alias("x"), "h").withColumn("fits", fits("h", "x")).drop("h"))
+    near = saved(left.join(heads, "bucket").where("id <> h.id").select("bucket", F.col("h.id").alias("a"), F.col("id").alias("b"), "band", F.struct("id", "total", "most", "bands", "samples").alias("x"), "h").withColumn("fits", fits("h", "x")).drop("h"))
     first = saved(near.where("fits").select("a", "b").distinct())
     good = saved(_verified(first, sigs, threshold).select("a", "b").distinct())
-    rest = near.join(good.withColumn("alike", F.lit(True)), ["a", "b"], "left").select("bucket", "x", F.col("alike").isNotNull().alias("alike"))
+    rest = near.join(good.withColumn("alike", F.lit(True)), ["a", "b"], "left").select("bucket", "band", "x", F.col("alike").isNotNull().alias("alike"))
     rest = saved(rest)
-    open_, every = rest.where("NOT alike").select("bucket", "x"), rest.select("bucket", F.col("x").alias("y"))
-    more = open_.join(every, "bucket").where((F.col("x.id") != F.col("y.id")) & fits("x", "y"))
+    open_, every = rest.where("NOT alike").select("bucket", "band", "x"), rest.select("bucket", F.col("x").alias("y"))
+    new = ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("band")), F.slice("y.bands", F.lit(1), F.col("band")))
+    agree = F.size(F.filter(F.zip_with("x.samples", "y.samples", lambda a, b: a == b), lambda e: e)) >= AGREE
+    more = open_.join(every, "bucket").where((F.col("x.id") != F.col("y.id")) & fits("x", "y") & new & agree)
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = saved(more.join(first, ["a", "b"], "left_anti"))
     return good.unionByName(_verified(more, sigs, threshold).select("a", "b"))
