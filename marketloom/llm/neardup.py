@@ -26,7 +26,7 @@ BANDS, ROWS = 12, 3
 #: Of a pair at the threshold, so many of the 36 samples agree at least with probability 0.9996.
 AGREE = 20
 #: Weight = count * (1 + IDF_SHARE * ln((1 + n) / (1 + df)) / ln(1 + n)): from 1 to 1 + IDF_SHARE.
-IDF_SHARE = 0.5
+IDF_SHARE = 0.3
 _BITS = 14
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _draw = np.random.default_rng(13)
