@@ -21,13 +21,13 @@ QUALITY_LEAST = 0.3
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is at least QUALITY_LEAST. Folds as in the query."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 5) == 0)
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= QUALITY_LEAST).select(docs.columns)
+    return quality.score(docs, model, docs.columns, out="__quality").where(F.col("__quality") >= QUALITY_LEAST).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that have a language: those without a letter go."""
     model = langid.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
-    return langid.predict(docs, model, docs.columns).where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    return langid.predict(docs, model, docs.columns, out=("__lang", "__sure")).where(F.col("__lang") != langid.UNKNOWN).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

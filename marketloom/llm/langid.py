@@ -92,8 +92,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", bits: int = BIT
     return LanguageModel(langs, log_prob.astype(np.float32), np.log(prior / max(1, prior.sum())) if len(langs) else prior)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str], text: str = "text") -> DataFrame:
-    """The kept columns with lang_pred and score, a row for each document; null, empty and letterless texts get `und`."""
+def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str], text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns with the language and its score (columns out), a row for each document; null, empty and letterless texts get `und`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(*keep, F.col(text).alias("__text"))
     names = [c for c in d.columns if c != "__text"]
@@ -102,8 +102,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str], tex
         m = shared.value
         for pdf in parts:
             got = [m.predict(t) for t in pdf["__text"]]
-            yield pdf[names].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+            yield pdf[names].assign(**{out[0]: [g[0] for g in got], out[1]: [g[1] for g in got]})
 
     fields = [f for f in d.schema.fields if f.name != "__text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return d.mapInPandas(score, f"{schema}, lang_pred string, score double")
+    return d.mapInPandas(score, f"{schema}, `{out[0]}` string, `{out[1]}` double")

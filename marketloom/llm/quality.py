@@ -143,15 +143,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, doc_
     return train(bags, y, weights)
 
 
-def score(docs: DataFrame, model: MilModel, keep: list[Column | str], text: str = "text") -> DataFrame:
-    """The kept columns and score (0 to 1) of every document."""
+def score(docs: DataFrame, model: MilModel, keep: list[Column | str], text: str = "text", out: str = "score") -> DataFrame:
+    """The kept columns and the score (0 to 1, in column out) of every document; null and empty texts have one too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(*keep, F.col(text).alias("__text"))
     names = d.columns[:-1]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf[names].assign(score=[shared.value.score(passages(t)) for t in pdf["__text"]])
+            yield pdf[names].assign(**{out: [shared.value.score(passages(t)) for t in pdf["__text"]]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
-    return d.mapInPandas(run, f"{schema}, score double")
+    return d.mapInPandas(run, f"{schema}, `{out}` double")

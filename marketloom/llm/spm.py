@@ -82,7 +82,7 @@ class MergeEncoder:
         new = list({w for words in split for w in words if w not in cache})
         made = [tuple(self.merge(w)) for w in new]
         for w, ours, theirs in zip(new, made, self.lib.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
-            if list(ours) != theirs:
+            if list(ours) != theirs and w != MARK:  # the library has no input that gives a mark alone
                 raise RuntimeError(f"the library encodes {w!r} otherwise: {theirs}, not {ours}")
         cache.update(zip(new, made, strict=True))
         out = [[*chain.from_iterable(map(cache.__getitem__, words)), self.end] for words in split]
