@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _CUT = re.compile(rf"(?<=[^{MARK}])(?={MARK})")
 MAX_WORD, MAX_CACHE = 64, 300_000
+NONE = 1 << 40  # the order of a pair that is no piece
 _loaded: dict[str, MergeEncoder] = {}
 
 
@@ -31,7 +32,9 @@ class MergeEncoder:
         n = lib.get_piece_size()
         plain = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         self.ids = {lib.id_to_piece(i): i for i in plain}
-        self.scores = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
+        scores = {lib.id_to_piece(i): lib.get_score(i) for i in plain}
+        place = {x: k for k, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.order = {p: place[x] for p, x in scores.items()}  # 0 is merged first; equal scores are equal
         byte_ids = {int(lib.id_to_piece(i)[1:-1], 16): i for i in range(n) if lib.is_byte(i)}
         self.bytes = [byte_ids.get(b, lib.unk_id()) for b in range(256)]
         self.end = lib.eos_id()
@@ -40,11 +43,36 @@ class MergeEncoder:
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text whose spaces are marks already."""
-        scores = self.scores
-        sym = list(text)
+        sym = self._merge_short(list(text)) if len(text) <= MAX_WORD else self._merge_long(list(text))
+        out = list(map(self.ids.get, sym))
+        if None in out:
+            known = zip(sym, out, strict=True)
+            out = [x for s, i in known for x in ([i] if i is not None else [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")])]
+        return out
+
+    def _merge_short(self, sym: list[str]) -> list[str]:
+        """The agenda is a list beside the symbols: the order of each adjacent pair, the least of which is taken."""
+        order = self.order.get
+        agenda = [order(a + b, NONE) for a, b in pairwise(sym)]
+        while agenda:
+            best = min(agenda)
+            if best == NONE:
+                break
+            i = agenda.index(best)
+            sym[i] = piece = sym[i] + sym[i + 1]
+            del sym[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = order(piece + sym[i + 1], NONE)
+            if i:
+                agenda[i - 1] = order(sym[i - 1] + piece, NONE)
+        return sym
+
+    def _merge_long(self, sym: list[str]) -> list[str]:
+        """The agenda is a heap, so that the time grows little faster than the length."""
+        order = self.order
         n = len(sym)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-scores[p], i, p) for i, p in enumerate(map("".join, zip(sym, sym[1:], strict=False))) if p in scores]
+        agenda = [(order[p], i, p) for i, p in enumerate(map("".join, zip(sym, sym[1:], strict=False))) if p in order]
         heapq.heapify(agenda)
         while agenda:
             _, i, piece = heapq.heappop(agenda)
@@ -55,23 +83,23 @@ class MergeEncoder:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (p := piece + sym[k]) in scores:
-                    heapq.heappush(agenda, (-scores[p], i, p))
+                if (p := piece + sym[k]) in order:
+                    heapq.heappush(agenda, (order[p], i, p))
             h = before[i]
-            if h >= 0 and (p := sym[h] + piece) in scores:
-                heapq.heappush(agenda, (-scores[p], h, p))
-        out: list[int] = []
-        for s in sym:
-            if s:
-                got = self.ids.get(s)
-                out += [got] if got is not None else [self.bytes[b] for b in s.encode("utf-8", "surrogatepass")]
-        return out
+            if h >= 0 and (p := sym[h] + piece) in order:
+                heapq.heappush(agenda, (order[p], h, p))
+        return [s for s in sym if s]
 
     def words(self, text: str) -> list[str]:
+        """The words of a text, each without the mark in front of it."""
         if not text:
             return []
+        if self.cuts and MARK not in text:
+            plain = text.split(" ")
+            if "" not in plain:
+                return plain
         marked = MARK + text.replace(" ", MARK)
-        return _CUT.split(marked) if self.cuts else [marked]
+        return [w[1:] for w in _CUT.split(marked)] if self.cuts else [marked[1:]]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text with the end id; new words are compared with the library's own ids."""
@@ -79,15 +107,15 @@ class MergeEncoder:
         if len(cache) > MAX_CACHE:
             cache.clear()
         split = [self.words(t) for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        made = [tuple(self.merge(w)) for w in new]
-        for w, ours, theirs in zip(new, made, self.lib.encode([w[1:] for w in new], num_threads=1) if new else [], strict=True):
-            if list(ours) != theirs and w != MARK:  # the library has no input that gives a mark alone
+        new = list(set().union(*split).difference(cache))
+        made = [self.merge(MARK + w) for w in new]
+        for w, ours, theirs in zip(new, made, self.lib.encode(new, num_threads=1) if new else [], strict=True):
+            if ours != theirs and w:  # the library has no input that gives a mark alone
                 raise RuntimeError(f"the library encodes {w!r} otherwise: {theirs}, not {ours}")
-        cache.update(zip(new, made, strict=True))
+        cache.update(zip(new, map(tuple, made), strict=True))
         out = [[*chain.from_iterable(map(cache.__getitem__, words)), self.end] for words in split]
         for w in new:
-            if len(w) > MAX_WORD:
+            if len(w) >= MAX_WORD:
                 del cache[w]
         return out
 
