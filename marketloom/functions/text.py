@@ -160,3 +160,11 @@ def flip_regime(tokens: Column) -> Column:
 
 def word_count(x: Column) -> Column:
     return F.size(F.split(F.trim(x), r"\s+"))
+
+
+def valid_items(text: Column, keys: tuple[str, ...]) -> Column:
+    """How many objects of a model-written JSON list, fenced or not, hold all keys; 0 if it doesn't parse."""
+    bare = F.trim(F.regexp_replace(text, r"```(?:json)?", ""))
+    items = F.from_json(bare, "array<map<string,string>>")
+    has = lambda m: F.forall(F.array(*map(F.lit, keys)), lambda k: F.array_contains(F.map_keys(m), k))
+    return F.when(items.isNull(), 0).otherwise(F.size(F.filter(items, lambda m: m.isNotNull() & has(m))))

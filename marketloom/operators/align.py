@@ -112,6 +112,16 @@ def lookback(targets: DataFrame, messages: DataFrame, days: int) -> DataFrame:
     return j.groupBy("ticker", "date").agg(F.array_sort(F.collect_list(F.struct("day", "id", "text"))).alias("m")).select("ticker", "date", F.transform("m", lambda x: x["text"]).alias("texts"))
 
 
+def price_lookback(bars: DataFrame, days: int = 5, price: str = "adj_close") -> DataFrame:
+    """Prices of the days-1 calendar days before each date in order, and the last one before these (before_price).
+
+    Dates without a price in either are left out. Range frames over one order serve both, so there is no self-join.
+    """
+    w = Window.partitionBy("ticker").orderBy(F.unix_date("date"))
+    d = bars.withColumns({"prices": F.collect_list(price).over(w.rangeBetween(1 - days, -1)), "before_price": F.last(price, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -days))})
+    return d.where((F.size("prices") > 0) & F.col("before_price").isNotNull()).select("ticker", "date", "prices", "before_price")
+
+
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     c = df.groupBy(label).count()
     return c.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy()))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import softmax
+from ..functions.text import softmax, word_count
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -204,3 +204,19 @@ def to_prompt_completion(df: DataFrame, messages: str = "messages") -> DataFrame
     """All turns but the last as the prompt, the last as the completion; conversations of one turn are left out."""
     m = F.col(messages)
     return df.where(F.size(m) > 1).withColumns({"prompt": F.slice(m, F.lit(1), F.size(m) - 1), "completion": F.element_at(m, -1)})
+
+
+def fit_budget(df: DataFrame, by: str, order: str, text: str, budget: int) -> DataFrame:
+    """The first rows of each group whose words fit the budget together; null texts have none."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.when(F.col(text).isNull(), 0).otherwise(word_count(F.col(text)))
+    return df.withColumn("_used", F.sum(n).over(w)).where(F.col("_used") <= budget).drop("_used")
+
+
+def batch_prompts(df: DataFrame, key: str, fields: list[str], k: int = 5) -> DataFrame:
+    """batch, n_items and a JSON list of k rows each, in key order; numbers come from key ranges, not from one task."""
+    from ..sources.io import numbered
+
+    d = numbered(df, key).select(F.floor((F.col("n") - 1) / k).alias("batch"), F.struct("n", F.struct(*fields).alias("row")).alias("x"))
+    d = d.groupBy("batch").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return d.select("batch", F.size("x").alias("n_items"), F.to_json(F.transform("x", lambda e: e["row"])).alias("prompt"))

@@ -147,6 +147,13 @@ def prior_windows(s: SparkSession, d: str) -> DataFrame:
     return align.prior_window(X.bars(s, d))
 
 
+@query(f"""WITH {BARS}, x AS (SELECT ticker, date, list(adj_close) OVER a p, last(adj_close) OVER b q FROM bars WINDOW a AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 4 DAYS PRECEDING AND INTERVAL 1 DAY PRECEDING), b AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 5 DAYS PRECEDING))
+ SELECT ticker, date, len(p) n_prices, round(list_sum(p), 8) total, round(q, 8) before_price FROM x WHERE len(p) > 0 AND q IS NOT NULL""")
+def price_lookback(s: SparkSession, d: str) -> DataFrame:
+    x = align.price_lookback(X.bars(s, d).select("ticker", "date", "adj_close"))
+    return x.select("ticker", "date", F.size("prices").cast("long").alias("n_prices"), r(T.total(F.col("prices")), 8).alias("total"), r("before_price", 8).alias("before_price"))
+
+
 RET = f"""{BARS}, fr AS (SELECT ticker, date, lead(adj_close) OVER (PARTITION BY ticker ORDER BY date) / adj_close - 1 stock_return FROM bars),
  fm AS (SELECT *, avg(stock_return) OVER (PARTITION BY date) market_return FROM fr), lab AS (SELECT *, stock_return - market_return ab,
  CASE WHEN stock_return - market_return <= -0.03 THEN 'Strong Down' WHEN stock_return - market_return <= -0.0075 THEN 'Mild Down' WHEN stock_return - market_return < 0.0075 THEN 'Neutral' WHEN stock_return - market_return < 0.03 THEN 'Mild Up' WHEN stock_return IS NOT NULL THEN 'Strong Up' END label_5 FROM fm)"""
@@ -323,6 +330,17 @@ def chat_rendering(s: SparkSession, d: str) -> DataFrame:
     return m.select("conv_id", F.md5("p").alias("prompt_md5"), F.length("p").cast("long").alias("n_chars"))
 
 
+@query("""WITH x AS (SELECT conv_id, turn, sum(len(regexp_split_to_array(trim("text"), '\\s+'))) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) used FROM conversations) SELECT conv_id, turn FROM x WHERE used <= 60""")
+def budget_prefix(s: SparkSession, d: str) -> DataFrame:
+    return preference.fit_budget(X.read(s, d, "conversations"), "conv_id", "turn", "text", 60).select("conv_id", "turn")
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 k FROM documents) SELECT CAST(k // 5 AS BIGINT) batch, count(*) n_items, md5('[' || string_agg('{"doc_id":' || doc_id || ',"size":' || coalesce(length("text"), 0) || '}', ',' ORDER BY k) || ']') prompt_md5 FROM x GROUP BY ALL""")
+def prompt_batches(s: SparkSession, d: str) -> DataFrame:
+    x = X.read(s, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    return preference.batch_prompts(x, "doc_id", ["doc_id", "size"]).select("batch", F.col("n_items").cast("long").alias("n_items"), F.md5("prompt").alias("prompt_md5"))
+
+
 @query("""SELECT doc_id, len(regexp_split_to_array(trim("text"), '\\s+')) n_words, md5(trim(regexp_replace("text", '\\s+', ' ', 'g'))) clean_md5 FROM documents WHERE length("text") BETWEEN 200 AND 5000""")
 def text_cleaning(s: SparkSession, d: str) -> DataFrame:
     x = clean.length_filter(X.read(s, d, "documents"), "text", 200, 5000)

@@ -118,6 +118,25 @@ def test_clean_news_keeps_the_least_key(spark):
     assert [(r["news_id"], r["headline"], r["headline_raw"]) for r in got] == [("a", "x", "<b>x</b>")]
 
 
+def test_price_lookback_takes_calendar_days_and_one_row_more(spark):
+    df = spark.sql("SELECT 'A' ticker, date_add(date'2020-01-01', d) date, d * 1.0D adj_close FROM VALUES (0), (1), (4), (5), (20) t(d)")
+    got = {r["before_price"]: r["prices"] for r in align.price_lookback(df).collect()}
+    assert got == {0.0: [1.0, 4.0]}
+
+
+def test_budget_and_batches(spark):
+    df = spark.createDataFrame([(1, 0, "a b"), (1, 1, None), (1, 2, "c d"), (1, 3, "e"), (2, 0, "a b c d")], "k int, turn int, t string")
+    assert [tuple(r) for r in preference.fit_budget(df, "k", "turn", "t", 3).select("k", "turn").orderBy("k", "turn").collect()] == [(1, 0), (1, 1)]
+    got = preference.batch_prompts(spark.range(7), "id", ["id"]).orderBy("batch").collect()
+    assert [r["n_items"] for r in got] == [5, 2] and got[1]["prompt"] == '[{"id":5},{"id":6}]'
+    assert preference.batch_prompts(spark.range(0), "id", ["id"]).count() == 0
+
+
+def test_valid_items_of_a_batch(spark):
+    df = spark.createDataFrame([('```json\n[{"a":1,"b":2},{"a":1}]\n```',), ("[]",), ("no list",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.valid_items(F.col("t"), ("a", "b"))).collect()] == [1, 0, 0, 0]
+
+
 def test_streaming_bars_equal_batch(spark, tmp_path):
     d = spark.range(200).select(F.lit("A").alias("ticker"), F.timestamp_seconds(F.col("id") * 100).alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 7).cast("double").alias("px"))
     d.write.parquet(str(tmp_path / "in"))
