@@ -1,17 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of blocks (inline markup melts into its block's text). A host's wrapper is the alignment of
-trees of some of its pages by simple tree matching: aligned nodes whose text never changes are template, the
-others are slots. A page is aligned with its host's wrapper; template nodes and blocks whose tag or class names
-a role outside the article (menus, adverts, comments, ...) go, and what the content region holds is the text.
+Pages become trees of blocks (inline markup melts into its block's text). A wrapper's shape is the alignment of
+trees of some pages of a host's layout by simple tree matching. All different pages of the layout are aligned with
+it and the texts of each node counted: those of most pages are template, the others are slots. Template nodes and
+blocks whose tag or class names a role outside the article (menus, adverts, comments, ...) go, and what the content
+region holds is the text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -22,13 +24,16 @@ from pyspark.sql.window import Window
 from .common import saved
 from .url_filters import url_host
 
-#: A wrapper is induced from so many pages of the host at most, those of least hash among different pages.
+#: A wrapper's shape comes from so many pages of the layout at most, those of least hash among different pages. A text
+#: that 0.8 of the pages have is in two of them at least with probability 1 - 2e-7; its count is over all pages.
 SAMPLE = 12
-#: A constant text is template if so many of the aligned pages have it (inside an article: all of so many).
+#: A text is template if so many of the layout's pages have it, and 0.8 of them (inside an article: all of so many).
 LEAST, LEAST_INSIDE = 3, 8
+#: A layout is the labels of blocks that hold blocks, down to so many levels; rarer layouts than SAMPLE share REST.
+LAYOUT_DEPTH, REST = 4, "*"
 DEPTH = 120
-#: The chosen pages' keys are broadcast up to so many, a few MB.
-BROADCAST_ROWS = 100_000
+#: The chosen pages' keys are broadcast up to so many, a few MB; wrappers up to so many characters.
+BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 16_000_000
 
 # HTML elements by kind.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead title tr ul".split())
@@ -142,31 +147,55 @@ def parse(html: str) -> Node:
 
 
 class Slot:
-    """A node of a wrapper: text is None where it changes; seen is the number of pages that have the node."""
+    """A node of a wrapper: texts has the pages with each text (once loaded: the text's number); seen counts the pages that have the node."""
 
-    __slots__ = ("label", "text", "seen", "kids")
+    __slots__ = ("label", "texts", "seen", "kids")
 
-    def __init__(self, label: str, text: str | None, seen: int, kids: list[Slot]):
-        self.label, self.text, self.seen, self.kids = label, text, seen, kids
+    def __init__(self, label: str, texts: dict[str, int], seen: int, kids: list[Slot]):
+        self.label, self.texts, self.seen, self.kids = label, texts, seen, kids
 
     @classmethod
     def of(cls, node: Node) -> Slot:
-        return cls(node.label, node.text, 1, [cls.of(k) for k in node.kids])
+        top = cls(node.label, {node.text: 1}, 1, [])
+        todo = [(top, node)]
+        while todo:
+            slot, node = todo.pop()
+            slot.kids = [cls(k.label, {k.text: 1}, 1, []) for k in node.kids]
+            todo += zip(slot.kids, node.kids, strict=True)
+        return top
 
     def dump(self) -> list:
-        """Nodes that too few pages have can't be template and are left out."""
-        return [self.label, self.text, self.seen, [k.dump() for k in self.kids if k.seen >= LEAST]]
+        """Level, label, pages and texts of each node in page order. Nodes and texts that too few pages have can't be template and are left out."""
+        out, todo = [], [(0, self)]
+        while todo:
+            level, slot = todo.pop()
+            out.append([level, slot.label, slot.seen, {t: n for t, n in slot.texts.items() if n > 1}])
+            todo += [(level + 1, k) for k in reversed(slot.kids) if k.seen >= LEAST]
+        return out
 
     @classmethod
-    def load(cls, x: list) -> Slot:
-        return cls(x[0], x[1], x[2], [cls.load(k) for k in x[3]])
+    def load(cls, shape: list) -> tuple[Slot, list[bool], dict[int, int]]:
+        """The tree; for each text's number whether it is inside an article; and the pages of each that made the shape, -1 for all."""
+        path: list[tuple[Slot, bool]] = []
+        inside: list[bool] = []
+        counts = {-1: shape[0][2]}
+        for level, label, seen, texts in shape:
+            del path[level:]
+            slot = cls(label, {t: len(inside) + i for i, t in enumerate(texts)}, seen, [])
+            counts |= zip(slot.texts.values(), texts.values(), strict=True)
+            within = label.partition(".")[0] in ("article", "main") or bool(path) and path[-1][1]
+            inside += [within] * len(texts)
+            if path:
+                path[-1][0].kids.append(slot)
+            path.append((slot, within))
+        return path[0][0], inside, counts
 
 
 def tree_match(a: Slot, b: Node) -> tuple[int, list]:
     """Simple tree matching: the most node pairs in order (equal texts count twice), and the pairs of children matched."""
     if a.label != b.label:
         return 0, []
-    own = 2 if a.text == b.text else 1
+    own = 2 if b.text in a.texts else 1
     x, y = a.kids, b.kids
     if not x or not y:
         return own, []
@@ -177,12 +206,12 @@ def tree_match(a: Slot, b: Node) -> tuple[int, list]:
     rows = [[0] * (len(y) + 1)]
     for i, p in enumerate(x):
         last, row = rows[-1], [0]
-        label, text, leaf = p.label, p.text, not p.kids
+        label, texts, leaf = p.label, p.texts, not p.kids
         for j, q in enumerate(y):
             best = last[j + 1] if last[j + 1] >= row[j] else row[j]
             if label == q.label:
                 if leaf or not q.kids:
-                    s = last[j] + (2 if text == q.text else 1)
+                    s = last[j] + (2 if q.text in texts else 1)
                 else:
                     got[i, j] = m = tree_match(p, q)
                     s = last[j] + m[0]
@@ -204,8 +233,7 @@ def tree_match(a: Slot, b: Node) -> tuple[int, list]:
 
 def _merge(slot: Slot, node: Node, pairs: list) -> None:
     slot.seen += 1
-    if slot.text != node.text:
-        slot.text = None
+    slot.texts[node.text] = slot.texts.get(node.text, 0) + 1
     at = {id(q): (p, sub) for p, q, sub in pairs}
     where = {id(p): i for i, p in enumerate(slot.kids)}
     kids, i = [], 0
@@ -233,10 +261,56 @@ def induce(pages: list[str]) -> Slot | None:
     return top
 
 
+def layout_of(root: Node) -> str:
+    """Of pages with the same labels of blocks that hold blocks, down to LAYOUT_DEPTH levels and outside articles, the same; repeats count once."""
+    out: list[str] = []
+
+    def walk(node: Node, level: int) -> None:
+        out.append(f"{level} {node.label}")
+        last = None
+        if level < LAYOUT_DEPTH and node.tag not in ("article", "main"):
+            for k in node.kids:
+                if k.kids and k.label != last:
+                    walk(k, level + 1)
+                    last = k.label
+
+    walk(root, 0)
+    return hashlib.md5("\n".join(out).encode("utf-8", "replace")).hexdigest()[:16]
+
+
 @lru_cache(64)
-def _loaded(wrapper: str) -> tuple[Slot, int]:
-    top = Slot.load(json.loads(wrapper))
-    return top, top.seen
+def _loaded(wrapper: str) -> dict[str, tuple[Slot, frozenset[int]]]:
+    """By layout: the tree and the numbers of texts that are template. A shape alone goes by the pages that made it."""
+    out = {}
+    of = json.loads(wrapper)
+    for layout, x in of.items() if isinstance(of, dict) else [(REST, {"shape": wrapper})]:
+        top, inside, counts = Slot.load(json.loads(x["shape"]))
+        if x.get("counts"):
+            counts = {int(k): v for k, v in x["counts"].items()}
+        pages = counts[-1]
+        good = frozenset(i for i, n in counts.items() if i >= 0 and n >= (max(LEAST_INSIDE, pages) if inside[i] else max(LEAST, 0.8 * pages)))
+        out[layout] = top, good
+    return out
+
+
+def _hits(top: Slot, root: Node) -> list[tuple[int, Node]]:
+    """The page's texts that the wrapper has at the same node, by number."""
+    out, todo = [], list(tree_match(top, root)[1])
+    while todo:
+        slot, node, sub = todo.pop()
+        if node.text and node.text in slot.texts:
+            out.append((slot.texts[node.text], node))
+        todo += sub
+    return out
+
+
+def _fixed(root: Node, wrapper: str | None) -> set[int]:
+    """The nodes of a page that are template."""
+    if not wrapper:
+        return set()
+    of = _loaded(wrapper)
+    top, good = of.get(layout_of(root)) or of.get(REST) or (None, frozenset())
+    return {id(node) for i, node in _hits(top, root) if i in good} if good else set()
 
 
 def _mass(node: Node, fixed: set[int]) -> int:
@@ -256,20 +330,7 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
     if not html:
         return ""
     root = parse(html)
-    fixed: set[int] = set()
-    if wrapper:
-        top, pages = _loaded(wrapper)
-
-        def mark(pairs: list, inside: bool) -> None:
-            for slot, node, sub in pairs:
-                within = inside or node.tag in ("article", "main")
-                least = max(LEAST_INSIDE, pages) if within else max(LEAST, 0.8 * pages)
-                if slot.text and slot.text == node.text and slot.seen >= least:
-                    fixed.add(id(node))
-                mark(sub, within)
-
-        if pages >= LEAST:
-            mark(tree_match(top, root)[1], False)
+    fixed = _fixed(root, wrapper)
     content = _regions(root, "article") or _regions(root, "main")
     if len(content) > 1 and (whole := _regions(root, "main")):
         content = whole
@@ -300,32 +361,88 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
     return "\n".join(out)
 
 
-def induce_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, wrapper: one row for each host, from up to SAMPLE different pages, those of least hash."""
-    d = pages.where(F.col(html).isNotNull()).select(url_host(F.col(url)).alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("html"))
-    keys = d.groupBy("host", "h").agg(F.lit(1).alias("one")).drop("one")
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
+def _small(df: DataFrame) -> DataFrame:
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _shapes(d: DataFrame) -> DataFrame:
+    """host, layout, shape: one row for each layout of a host, and one of layout REST where some are rare, from up to SAMPLE different pages each."""
+
+    def layouts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pdf[["host", "h"]].assign(layout=[layout_of(parse(h)) for h in pdf["html"]])
+
+    keys = saved(d.mapInPandas(layouts, "host string, h long, layout string").distinct())
+    sizes = saved(keys.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n")))
+    hosts = saved(sizes.groupBy("host").agg(F.count(F.lit(1)).alias("layouts"), F.min("n").alias("least")))
+    own = sizes.join(hosts, "host").where((F.col("layouts") == 1) | (F.col("n") >= SAMPLE)).select("host", "layout")
+    rest = hosts.where((F.col("layouts") > 1) & (F.col("least") < SAMPLE)).select("host")
+    keys = keys.join(_small(own), ["host", "layout"], "left_semi").select("host", "layout", "h").unionByName(keys.join(_small(rest), "host", "left_semi").select("host", F.lit(REST).alias("layout"), "h"))
+    rank = F.row_number().over(Window.partitionBy("host", "layout").orderBy("h"))
     chosen = keys.withColumn("r", rank).where(F.col("r") <= SAMPLE).drop("r")
-    chosen = saved(chosen)
-    small = chosen.count() <= BROADCAST_ROWS  # a host name and a hash each; beyond that, both sides are shuffled
-    few = d.join(F.broadcast(chosen) if small else chosen, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
+    few = d.join(_small(chosen), ["host", "h"]).dropDuplicates(["host", "layout", "h"])
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         top = induce(pdf.sort_values("h")["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(top.dump())]})
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "layout": [pdf["layout"].iloc[0]], "shape": [json.dumps(top.dump())]})
+
+    return few.groupBy("host", "layout").applyInPandas(build, "host string, layout string, shape string")
+
 
-    return few.groupBy("host").applyInPandas(build, "host string, wrapper string")
+def _each(d: DataFrame, wrappers: DataFrame, run: Callable[[pd.DataFrame, list[str | None]], pd.DataFrame], schema: str) -> DataFrame:
+    """run(rows, the wrapper of each row's __host) over d. Wrappers of small size in all go to each worker; otherwise they are joined."""
+    w = saved(wrappers)
+    if (w.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
+        of = d.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in w.collect()})
+
+        def with_table(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                yield run(pdf, [of.value.get(h) for h in pdf["__host"]])
+
+        return d.mapInPandas(with_table, schema)
+    joined = d.join(w.select(F.col("host").alias("__on"), F.col("wrapper").alias("__wrapper")), F.col("__host") == F.col("__on"), "left").drop("__on")
+
+    def with_column(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield run(pdf, pdf["__wrapper"].tolist())
+
+    return joined.mapInPandas(with_column, schema)
+
+
+def _of_hosts(layouts: DataFrame, *cols: str) -> DataFrame:
+    """host, wrapper: the layouts' columns as JSON by layout."""
+    return layouts.groupBy("host").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layout", F.struct(*cols))))).alias("wrapper"))
+
+
+def induce_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """host, wrapper: one row for each host: its layouts' shapes, and how many of its different pages have each text of a shape at its node."""
+    d = pages.where(F.col(html).isNotNull()).select(url_host(F.col(url)).alias("host"), F.xxhash64(html).alias("h"), F.col(html).alias("html")).where("host IS NOT NULL")
+    shapes = saved(_shapes(d))
+
+    def hits(pdf: pd.DataFrame, wrappers: list[str | None]) -> pd.DataFrame:
+        out = []
+        for host, h, page, wrapper in zip(pdf["__host"], pdf["h"], pdf["html"], wrappers, strict=True):
+            root = parse(page)
+            of = _loaded(wrapper) if wrapper else {}
+            for layout in (layout_of(root), REST):
+                if layout in of:
+                    out.append((host, layout, h, [-1, *{i for i, _ in _hits(of[layout][0], root)}]))
+        return pd.DataFrame(out, columns=["host", "layout", "h", "hits"])
+
+    # copies of a page count once
+    found = _each(d.withColumnRenamed("host", "__host"), _of_hosts(shapes, "shape"), hits, "host string, layout string, h long, hits array<int>").dropDuplicates(["host", "layout", "h"])
+    counts = found.select("host", "layout", F.explode("hits").alias("i")).groupBy("host", "layout", "i").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("host", "layout").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("counts"))
+    return _of_hosts(shapes.join(counts, ["host", "layout"]), "shape", "counts")
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """The kept columns and the main text of every page; null html gives empty text, no rows give no rows."""
-    host = pages.select(*keep, F.col(html).alias("__html"), url_host(F.col(url)).alias("__host"))
-    wrappers = induce_wrappers(pages, url, html)
-    d = host.join(wrappers, F.col("__host") == wrappers["host"], "left").select(*keep, "__html", "wrapper")
+    d = pages.select(*keep, F.col(html).alias("__html"), url_host(F.col(url)).alias("__host"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields if f.name in keep) + f"`{out}` string"
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pdf[list(keep)].assign(**{out: [main_text(h, w) for h, w in zip(pdf["__html"], pdf["wrapper"], strict=True)]})
+    def run(pdf: pd.DataFrame, wrappers: list[str | None]) -> pd.DataFrame:
+        return pdf[list(keep)].assign(**{out: [main_text(h, w) for h, w in zip(pdf["__html"], wrappers, strict=True)]})
 
-    return d.mapInPandas(run, schema)
+    return _each(d, induce_wrappers(pages, url, html), run, schema)

@@ -204,6 +204,18 @@ def test_constant_nodes_are_template():
     assert "Welcome" not in wrappers.main_text(page(9), top) and "Story 9" in wrappers.main_text(page(9), top)
 
 
+@pytest.mark.parametrize("chars", [wrappers.BROADCAST_CHARS, -1])
+def test_template_is_counted_over_all_pages_of_each_layout(spark, monkeypatch, chars):
+    monkeypatch.setattr(wrappers, "BROADCAST_CHARS", chars)
+    long = "{0} a paragraph that goes on for a long while and differs from page to page, {0}".format
+    usual = lambda i: f"<body><article><p class=byline>{'Jane Doe' if i % 20 else f'Other {i}'}</p><p>{long(i)}</p></article><p>About us</p></body>"
+    rare = lambda i: f"<body><div><p>Notice</p><p>{long(i)}</p></div></body>"
+    rows = [(i, f"http://a.org/{i}", rare(i) if i % 10 == 3 else usual(i)) for i in range(300)]
+    got = dict(wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    for i in range(300):  # a byline that 95 % of the articles share is text; a minority layout's notice is template
+        assert got[i] == long(i) if i % 10 == 3 else got[i].split("\n") == ["Jane Doe" if i % 20 else f"Other {i}", long(i)], (i, got[i])
+
+
 def test_best_fill_against_all_subsets():
     rng = np.random.default_rng(9)
     for _ in range(60):
