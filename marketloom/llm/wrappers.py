@@ -13,7 +13,8 @@ import hashlib
 import html as html_lib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -31,7 +32,6 @@ SAMPLE = 12
 LEAST, LEAST_INSIDE = 3, 8
 #: A layout is the labels of blocks that hold blocks, down to so many levels; rarer layouts than SAMPLE share REST.
 LAYOUT_DEPTH, REST = 4, "*"
-DEPTH = 120
 #: The chosen pages' keys are broadcast up to so many, a few MB; wrappers up to so many characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 16_000_000
 
@@ -82,6 +82,7 @@ def parse(html: str) -> Node:
     """A tree of blocks; text beside blocks becomes a child `#`. Unclosed and odd markup is read as browsers do, roughly."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    held: Counter[str] = Counter()  # open elements by tag
 
     def flush() -> None:
         top = stack[-1]
@@ -97,6 +98,7 @@ def parse(html: str) -> Node:
     def close() -> None:
         flush()
         top = stack.pop()
+        held[top.tag] -= 1
         if len(top.kids) == 1 and top.kids[0].tag == "#":
             top.text, top.kids = top.kids[0].text, []
 
@@ -111,7 +113,7 @@ def parse(html: str) -> Node:
         end, tag, attrs = m[1], m[2] or m[4], m[3] or m[5] or ""
         if end:
             end = end.lower()
-            if (end in BLOCK or end in APART) and any(x.tag == end for x in stack):
+            if (end in BLOCK or end in APART) and held[end]:
                 while stack[-1].tag != end:
                     close()
                 close()
@@ -127,9 +129,6 @@ def parse(html: str) -> Node:
             if tag in SAME_LEVEL:
                 while stack[-1].tag in SAME_LEVEL[tag]:
                     close()
-            if len(stack) > DEPTH:
-                stack[-1].buf.append(" ")
-                continue
             flush()
             node = Node(tag, attrs)
             stack[-1].kids.append(node)
@@ -140,6 +139,7 @@ def parse(html: str) -> Node:
                 at = stop.end() if stop else n
                 continue
             stack.append(node)
+            held[tag] += 1
     while len(stack) > 1:
         close()
     flush()
@@ -192,7 +192,19 @@ class Slot:
 
 
 def tree_match(a: Slot, b: Node) -> tuple[int, list]:
-    """Simple tree matching: the most node pairs in order (equal texts count twice), and the pairs of children matched."""
+    """Simple tree matching: the most node pairs in order (equal texts count twice), and the pairs of children matched. Pages nest to any depth, so calls are steps that give what they need and get its result."""
+    todo, got = [_match(a, b)], None
+    while todo:
+        try:
+            todo.append(_match(*todo[-1].send(got)))
+            got = None
+        except StopIteration as e:
+            todo.pop()
+            got = e.value
+    return got
+
+
+def _match(a: Slot, b: Node) -> Generator[tuple[Slot, Node], tuple[int, list], tuple[int, list]]:
     if a.label != b.label:
         return 0, []
     own = 2 if b.text in a.texts else 1
@@ -200,7 +212,7 @@ def tree_match(a: Slot, b: Node) -> tuple[int, list]:
     if not x or not y:
         return own, []
     if len(x) == 1 and len(y) == 1:
-        s, sub = tree_match(x[0], y[0])
+        s, sub = yield x[0], y[0]
         return own + s, [(x[0], y[0], sub)] if s else []
     got: dict[tuple[int, int], tuple[int, list]] = {}
     rows = [[0] * (len(y) + 1)]
@@ -213,7 +225,7 @@ def tree_match(a: Slot, b: Node) -> tuple[int, list]:
                 if leaf or not q.kids:
                     s = last[j] + (2 if q.text in texts else 1)
                 else:
-                    got[i, j] = m = tree_match(p, q)
+                    got[i, j] = m = yield p, q
                     s = last[j] + m[0]
                 if s > best:
                     best = s
@@ -231,22 +243,25 @@ def tree_match(a: Slot, b: Node) -> tuple[int, list]:
     return own + rows[-1][-1], pairs[::-1]
 
 
-def _merge(slot: Slot, node: Node, pairs: list) -> None:
-    slot.seen += 1
-    slot.texts[node.text] = slot.texts.get(node.text, 0) + 1
-    at = {id(q): (p, sub) for p, q, sub in pairs}
-    where = {id(p): i for i, p in enumerate(slot.kids)}
-    kids, i = [], 0
-    for q in node.kids:
-        if id(q) in at:
-            p, sub = at[id(q)]
-            kids += slot.kids[i : where[id(p)]]
-            i = where[id(p)] + 1
-            _merge(p, q, sub)
-            kids.append(p)
-        else:
-            kids.append(Slot.of(q))
-    slot.kids = kids + slot.kids[i:]
+def _merge(top: Slot, root: Node, matched: list) -> None:
+    todo = [(top, root, matched)]
+    while todo:
+        slot, node, pairs = todo.pop()
+        slot.seen += 1
+        slot.texts[node.text] = slot.texts.get(node.text, 0) + 1
+        at = {id(q): p for p, q, _ in pairs}
+        where = {id(p): i for i, p in enumerate(slot.kids)}
+        kids, i = [], 0
+        for q in node.kids:
+            if id(q) in at:
+                p = at[id(q)]
+                kids += slot.kids[i : where[id(p)]]
+                i = where[id(p)] + 1
+                kids.append(p)
+            else:
+                kids.append(Slot.of(q))
+        slot.kids = kids + slot.kids[i:]
+        todo += pairs
 
 
 def induce(pages: list[str]) -> Slot | None:
@@ -313,16 +328,30 @@ def _fixed(root: Node, wrapper: str | None) -> set[int]:
     return {id(node) for i, node in _hits(top, root) if i in good} if good else set()
 
 
+def _inside(node: Node, fixed: set[int] | frozenset[int] = frozenset()) -> Iterator[Node]:
+    """The node and those below it in page order, without what is outside the article by role or in fixed."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if not node.out and id(node) not in fixed:
+            yield node
+            todo += reversed(node.kids)
+
+
 def _mass(node: Node, fixed: set[int]) -> int:
-    if node.out or id(node) in fixed:
-        return 0
-    return len(node.text) + sum(_mass(k, fixed) for k in node.kids)
+    return sum(len(x.text) for x in _inside(node, fixed))
 
 
 def _regions(node: Node, tag: str) -> list[Node]:
-    if node.out:
-        return []
-    return [node] if node.tag == tag else [r for k in node.kids for r in _regions(k, tag)]
+    """The outermost nodes of a tag."""
+    out, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        if not node.out and node.tag == tag:
+            out.append(node)
+        elif not node.out:
+            todo += reversed(node.kids)
+    return out
 
 
 def main_text(html: str | None, wrapper: str | None = None) -> str:
@@ -346,19 +375,7 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
                 break
             node = kid
         content = [node]
-    out: list[str] = []
-
-    def collect(node: Node) -> None:
-        if node.out or id(node) in fixed:
-            return
-        if node.text:
-            out.append(node.text)
-        for k in node.kids:
-            collect(k)
-
-    for c in content:
-        collect(c)
-    return "\n".join(out)
+    return "\n".join(x.text for c in content for x in _inside(c, fixed) if x.text)
 
 
 def _small(df: DataFrame) -> DataFrame:

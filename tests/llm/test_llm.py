@@ -216,6 +216,14 @@ def test_template_is_counted_over_all_pages_of_each_layout(spark, monkeypatch, c
         assert got[i] == long(i) if i % 10 == 3 else got[i].split("\n") == ["Jane Doe" if i % 20 else f"Other {i}", long(i)], (i, got[i])
 
 
+@pytest.mark.parametrize("depth", [500, 20_000])
+def test_nesting_has_no_limit(depth):
+    page = lambda i: f"<div id=page><article><p>before {i}</p>{'<div>' * depth}<p>in {i}</p><script>var x</script><p>in too {i}{'</div>' * depth}<p>after {i}</p><script>var y</script></article></div>"
+    text = "\n".join(f"{x} 9" for x in ("before", "in", "in too", "after"))
+    assert wrappers.main_text(page(9)) == text
+    assert wrappers.main_text(page(9), json.dumps(wrappers.induce([page(i) for i in range(4)]).dump())) == text
+
+
 def test_best_fill_against_all_subsets():
     rng = np.random.default_rng(9)
     for _ in range(60):
