@@ -365,16 +365,7 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
         content = whole
     elif len(content) > 1:
         content = [max(content, key=lambda c: _mass(c, fixed))]
-    if not content:  # the deepest node that holds most of the text that changes
-        node = root
-        while node.kids:
-            each = [(_mass(k, fixed), k) for k in node.kids]
-            total = sum(m for m, _ in each)
-            most, kid = max(each, key=lambda e: e[0])
-            if not total or most < 0.8 * total or not kid.kids:
-                break
-            node = kid
-        content = [node]
+    content = content or [root]  # else all that is neither template nor outside by role
     return "\n".join(x.text for c in content for x in _inside(c, fixed) if x.text)
 
 

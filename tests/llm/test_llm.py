@@ -224,6 +224,13 @@ def test_nesting_has_no_limit(depth):
     assert wrappers.main_text(page(9), json.dumps(wrappers.induce([page(i) for i in range(4)]).dump())) == text
 
 
+def test_pages_without_article_keep_title_and_lead():
+    page = lambda i: f"<div><p>Welcome to our site</p><h1>Title {i}</h1><p>Lead {i}</p><div class=body>{f'<p>A long paragraph of story {i}</p>' * 20}</div></div>"
+    top = json.dumps(wrappers.induce([page(i) for i in range(6)]).dump())
+    text = "\n".join(["Title 9", "Lead 9"] + ["A long paragraph of story 9"] * 20)
+    assert wrappers.main_text(page(9), top) == text and wrappers.main_text(page(9)) == "Welcome to our site\n" + text
+
+
 def test_best_fill_against_all_subsets():
     rng = np.random.default_rng(9)
     for _ in range(60):
