@@ -31,11 +31,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class, once."""
-    classes = neardup.near_duplicate_classes(docs)
-    stay = classes.where("id = class_id").select(F.col("id").alias("_id")).distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    return docs.join(stay, key == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each class: that of least id and of least node among those. Rows are told apart by id and text."""
+    rows = neardup.rows_by_class(docs)
+    stay = rows.groupBy("class_node").agg(F.min(F.struct("id", "node")).alias("row")).select(F.col("row.id").alias("__id"), F.col("row.node").alias("__node"))
+    d = docs.withColumns({"__id": neardup.id_of(F.col("doc_id")), "__node": neardup.node_of(F.col("text"))})
+    return d.join(stay, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"]).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

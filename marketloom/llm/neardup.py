@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -68,15 +68,14 @@ def sample(keys: np.ndarray, weight: np.ndarray, usual: float, usual_table: tupl
 
 
 def _shingles(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(id, keys, counts) of each document of a chunk that is no exact copy of another, once."""
-    gone = set(pdf.loc[pdf["text"].isna(), "id"])
-    own = pdf[pdf["text"].notna()]
-    own = own[~own["id"].isin(gone)].sort_values(["id", "text"]).drop_duplicates(["id", "text"])
-    ids = own["id"].tolist()
+    """(node, keys, counts) of each text of a chunk, once, but for the rows marked by a null text: copies of a text elsewhere."""
+    row = pd.MultiIndex.from_frame(pdf[["id", "node"]])
+    own = pdf[pdf["text"].notna() & ~row.isin(row[pdf["text"].isna()])].sort_values("node").drop_duplicates("node")
+    nodes = own["node"].tolist()
     for i, words in word_hashes(own["text"].tolist()):
         keys, counts = np.unique(windows(words, SHINGLE), return_counts=True)
         if len(keys):
-            yield ids[i], keys, counts
+            yield nodes[i], keys, counts
 
 
 def _own_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +85,7 @@ def _own_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def signatures(d: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """id, total, common, keys, weights, bands, samples of each distinct text that can be like another.
 
-    d: chunk, id, text, and rows of null text for ids that are copies. keys and weights are those of the shingles
+    d: chunk, id, node, text, and rows of null text for those that are copies; the result's id is the node. keys and weights are those of the shingles
     that other texts hold as well, common is their sum; only these can add to an overlap, so texts that hold too
     little of them are left out.
     """
@@ -162,24 +161,37 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return good.unionByName(_verified(more, sigs, threshold).select("a", "b"))
 
 
+def node_of(text: Column) -> Column:
+    """64 bits of the text's md5 (null is empty text)."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16), 16, -10).cast("long")
+
+
+def id_of(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
+def rows_by_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, by_id: bool = False) -> DataFrame:
+    """id, node, class_node for every row. A node is a distinct text; with by_id, texts of rows that share an id are linked."""
+    rows = saved(docs.select(id_of(F.col(doc_id)).alias("id"), node_of(F.col(text)).alias("node")))
+    copies = saved(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    n = rows.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+    gone = rows.join(copies.select("node", "rep"), "node").where("id <> rep").select("id", "node", F.lit(None).cast("string").alias("text")).distinct()
+    d = docs.select(id_of(F.col(doc_id)).alias("id"), node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).unionByName(gone)
+    d = d.select(chunk_of(F.xxhash64("id", "node"), d).alias("chunk"), "id", "node", "text")
+    edges = links(saved(signatures(d, n, threshold)), threshold)
+    if by_id:
+        heads = saved(rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a"))
+        edges = edges.unionByName(rows.join(heads, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    of_node = saved(connected_components(edges, "a", "b")).withColumnRenamed("node", "_node")
+    return saved(rows.join(of_node, F.col("node") == F.col("_node"), "left").select("id", "node", F.coalesce("component", "node").alias("class_node")))
+
+
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the least id of the class) and class_size for every row.
 
     Null is empty text; empty texts are copies of each other and like nothing else. Texts of fewer than five
     words have one shingle of all their words. Null ids count as the least id; rows that share an id are linked.
     """
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = saved(docs.select(key.alias("id"), F.md5(body).alias("h")))
-    copies = saved(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "rep"))
-    members = saved(rows.join(copies, "h", "left").select("id", F.coalesce("rep", "id").alias("rep")))
-    n = members.where("id = rep").count()
-    gone = members.where("id <> rep").select("id", F.lit(None).cast("string").alias("text"))
-    d = docs.select(key.alias("id"), body.alias("text")).unionByName(gone)
-    d = d.select(chunk_of(F.col("id"), d).alias("chunk"), "id", "text")
-    sigs = saved(signatures(d, n, threshold))
-    of_rep = saved(connected_components(links(sigs, threshold), "a", "b"))
-    by_row = members.join(of_rep, members["rep"] == of_rep["node"], "left").select("id", F.coalesce("component", "rep").alias("class_id"))
-    by_row = saved(by_row)
-    sizes = saved(by_row.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")))
-    return by_row.join(sizes, "class_id").select("id", "class_id", "class_size")
+    rows = rows_by_class(docs, doc_id, text, threshold, by_id=True)
+    sizes = saved(rows.groupBy("class_node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
+    return rows.join(sizes, "class_node").select("id", "class_id", "class_size")

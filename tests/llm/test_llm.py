@@ -109,6 +109,21 @@ def test_near_duplicates_match_brute_force(spark, texts):
     assert len(got) == len(rows) and neardup.near_duplicate_classes(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_are_told_apart_by_id_and_text(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    x, y, z, u, v = (" ".join(rng.choice(WORDS, 150)) for _ in range(5))
+    near = f"{u} edited"
+    rows = [(None, x), (None, y), (5, x), (7, z), (7, y), (9, u), (3, z), (9, x), (11, near), (12, v), (12, v)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(r["text"] for r in kept if r["text"] not in (u, near)) == sorted([x, y, z, v]) and len(kept) == 5
+    assert {r["doc_id"] for r in kept if r["text"] in (x, y)} == {None}
+    # op4: u shares its id with a copy of x, and is still compared with its near copy
+    cls = {r["id"]: r["class_id"] for r in neardup.near_duplicate_classes(docs(spark, rows)).collect()}
+    assert cls[11] == cls[9] == cls[5] and cls[12] == 12
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     keys = np.sort(rng.integers(1, 1 << 63, 300, dtype=np.uint64))
