@@ -2,7 +2,7 @@
 
 A document is its multiset of five-word shingles, each weighted by its count times a damped inverse document
 frequency over the distinct texts of the corpus. Weighted samples in bands bring likely pairs together; a pair
-is a link if its weighted Jaccard similarity, computed exactly, is at least the threshold. Classes are the
+is a link if its weighted or its plain Jaccard similarity, computed exactly, is at least the threshold. Classes are the
 components of the links, with exact copies joined first.
 """
 
@@ -21,10 +21,11 @@ from .graph import connected_components
 from .word_hash import mix, windows, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: A pair at the threshold shares all samples of some band with probability 1 - (1 - 0.8**3)**12 = 0.9998.
-BANDS, ROWS = 12, 3
-#: Of a pair at the threshold, so many of the 36 samples agree at least with probability 0.9996.
-AGREE = 20
+#: A pair of plain similarity 0.8 has a weighted one of 0.755 at least (`loose`) and shares all samples of some band
+#: with probability 1 - (1 - 0.755**3)**15 = 0.9998.
+BANDS, ROWS = 15, 3
+#: Of such a pair, so many of the 45 samples agree at least with probability 0.9996.
+AGREE = 24
 #: Weight = count * (1 + IDF_SHARE * ln((1 + n) / (1 + df)) / ln(1 + n)): from 1 to 1 + IDF_SHARE.
 IDF_SHARE = 0.3
 _BITS = 14
@@ -35,6 +36,11 @@ _LN_C = np.log(_draw.gamma(2, 1, 1 << _BITS))
 _BETA = _draw.random(1 << _BITS)
 
 
+def loose(threshold: float) -> float:
+    """The least weighted similarity of a pair whose plain one is the threshold: what is shared weighs 1, all else 1 + IDF_SHARE."""
+    return threshold / (threshold + (1 - threshold) * (1 + IDF_SHARE))
+
+
 def idf(df: np.ndarray, n: int) -> np.ndarray:
     return 1 + IDF_SHARE * np.log((1 + n) / (1.0 + df)) / np.log(1.0 + max(n, 2))
 
@@ -83,14 +89,14 @@ def _own_keys(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(d: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
-    """id, total, common, keys, weights, bands, samples of each distinct text that can be like another.
+    """id, total, size, common, keys, weights, counts, bands, samples of each distinct text that can be like another.
 
     d: chunk, id, node, text, and rows of null text for those that are copies; the result's id is the node. keys and weights are those of the shingles
-    that other texts hold as well, common is their sum; only these can add to an overlap, so texts that hold too
+    that other texts hold as well (counts is empty where all are 1, size counts all shingles), common is the weights' sum; only these can add to an overlap, so texts that hold too
     little of them are left out.
     """
-    schema = "id long, total double, common double, keys binary, weights binary, bands array<long>, samples array<int>"
-    usual = float(idf(np.ones(1), n)[0])
+    schema = "id long, total double, size long, common double, keys binary, weights binary, counts binary, bands array<long>, samples array<int>"
+    usual, least = float(idf(np.ones(1), n)[0]), loose(threshold) - 1e-6
 
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         counts = counts[counts["keys"].map(len) > 0].sort_values("bucket")
@@ -104,10 +110,11 @@ def signatures(d: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
             known = shared[spot] == keys if len(shared) else np.zeros(len(keys), bool)
             weight = tf * np.where(known, idf(df[spot], n) if len(shared) else usual, usual)
             total, common = float(weight.sum()), float(weight[known].sum())
-            if common >= (threshold - 1e-6) * total:  # no similarity is above common / total
+            if common >= least * total:  # no similarity is above common / total
                 bands, samples = sample(keys, weight, usual, table)
-                out.append((i, total, common, pack_keys(keys[known]), weight[known].astype("<f4").tobytes(), bands.tolist(), samples.tolist()))
-        return pd.DataFrame(out, columns=["id", "total", "common", "keys", "weights", "bands", "samples"])
+                own = tf[known]
+                out.append((i, total, int(tf.sum()), common, pack_keys(keys[known]), weight[known].astype("<f4").tobytes(), own.astype("<u4").tobytes() if (own > 1).any() else b"", bands.tolist(), samples.tolist()))
+        return pd.DataFrame(out, columns=["id", "total", "size", "common", "keys", "weights", "counts", "bands", "samples"])
 
     if d.limit(1).count() == 0:
         return d.sparkSession.createDataFrame([], schema)
@@ -115,11 +122,15 @@ def signatures(d: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     return d.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(run, schema)
 
 
+def _counts(x: dict, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(x["counts"], "<u4")[at] if x["counts"] else np.ones(len(at), np.uint32)
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) whose weighted Jaccard similarity reaches the threshold, and the similarity."""
-    s = sigs.select("id", "total", "keys", "weights")
-    one = s.select(F.col("id").alias("a"), F.struct("total", "keys", "weights").alias("x"))
-    two = s.select(F.col("id").alias("b"), F.struct("total", "keys", "weights").alias("y"))
+    """The (a, b) whose weighted or plain Jaccard similarity reaches the threshold, and the larger of both."""
+    s = sigs.select("id", "total", "size", "keys", "weights", "counts")
+    one = s.select(F.col("id").alias("a"), F.struct("total", "size", "keys", "weights", "counts").alias("x"))
+    two = s.select(F.col("id").alias("b"), F.struct("total", "size", "keys", "weights", "counts").alias("y"))
     both = pairs.join(two, "b").join(one, "a")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +139,8 @@ def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
             for x, y in zip(pdf["x"], pdf["y"], strict=True):
                 _, p, q = np.intersect1d(unpack_keys(x["keys"]), unpack_keys(y["keys"]), assume_unique=True, return_indices=True)
                 low = float(np.minimum(np.frombuffer(x["weights"], "<f4")[p], np.frombuffer(y["weights"], "<f4")[q]).sum(dtype=float))
-                sims.append(low / (x["total"] + y["total"] - low))
+                plain = int(np.minimum(_counts(x, p), _counts(y, q)).sum())
+                sims.append(max(low / (x["total"] + y["total"] - low), plain / (x["size"] + y["size"] - plain)))
             yield pdf[["a", "b"]].assign(similarity=sims)
 
     return both.mapInPandas(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-6)
@@ -138,12 +150,12 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): links that connect all texts that are alike and share a bucket of some band.
 
     First, the least id of each bucket is compared with all others there; texts like it are settled. Each text
-    that isn't is then compared with all texts of its bucket that its weights leave possible: a similarity of s
-    needs an overlap of s / (1 + s) of both totals, and no overlap is above what either text holds in common with
-    others. Their samples must agree as often as samples of pairs at the threshold do, and a pair is taken from its
+    that isn't is then compared with all texts of its bucket that its weights leave possible: a similarity of s (the
+    loose one, so that it holds for plain similarity too) needs an overlap of s / (1 + s) of both totals, and no overlap is above what either text holds in common with
+    others. Their samples must agree as often as samples of pairs at that similarity do, and a pair is taken from its
     first common band only. In a group of edited copies, that leaves few besides those like the group's head.
     """
-    factor = (1 + threshold) / threshold
+    factor = (1 + loose(threshold)) / loose(threshold)
     fits = lambda x, y: (F.col(f"{y}.total") <= F.col(f"{x}.most")) & (F.col(f"{x}.total") <= F.col(f"{y}.most"))
     left = sigs.select("id", "total", (F.col("common") * factor - F.col("total") + 1e-6 * F.col("total")).alias("most"), "bands", "samples", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["id", "total", "bucket"])
     heads = saved(left.groupBy("bucket").agg(F.min_by(F.struct("id", "total", "most"), "id").alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "h"))

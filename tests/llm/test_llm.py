@@ -124,6 +124,18 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     assert cls[11] == cls[9] == cls[5] and cls[12] == 12
 
 
+def test_plain_similarity_at_the_threshold_links(spark):
+    rng = np.random.default_rng(12)
+    base, texts = list(rng.permutation(WORDS)[:188]), []
+    for k in range(18):  # two edits each, far from all others: any pair has 164 of 204 shingles
+        words = list(base)
+        for at in (5 + 10 * k, 10 + 10 * k):
+            words[at] = f"edit{k}at{at}"
+        texts.append(" ".join(words))
+    got = neardup.near_duplicate_classes(docs(spark, [*enumerate(texts), (50, " ".join(rng.choice(WORDS, 190)))])).collect()
+    assert {r["id"]: r["class_id"] for r in got} == {**dict.fromkeys(range(18), 0), 50: 50}
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     keys = np.sort(rng.integers(1, 1 << 63, 300, dtype=np.uint64))
