@@ -347,6 +347,13 @@ def text_cleaning(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", T.word_count(F.col("text")).cast("long").alias("n_words"), F.md5(clean.clean_text(F.col("text"))).alias("clean_md5"))
 
 
+@query("""WITH x AS (SELECT doc_id, "text", trim(regexp_replace("text", '\\s+', ' ', 'g')) c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END n_words, md5(c) clean_md5, coalesce(length("text") BETWEEN 200 AND 5000, false) usual_length FROM x""")
+def text_cleaning_all(s: SparkSession, d: str) -> DataFrame:
+    """Every document; the length filter of text_cleaning is a column."""
+    x = X.read(s, d, "documents").select("doc_id", clean.clean_text(F.col("text")).alias("c"), F.coalesce(F.length("text").between(200, 5000), F.lit(False)).alias("usual_length"))
+    return x.select("doc_id", F.when(F.col("c") == "", 0).otherwise(T.word_count(F.col("c"))).cast("long").alias("n_words"), F.md5("c").alias("clean_md5"), "usual_length")
+
+
 @query("""SELECT CASE WHEN pmod < 2000 THEN 'test' ELSE 'train' END split, count(*) n FROM (SELECT CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 7) AS BIGINT) % 10000 pmod FROM documents) GROUP BY ALL""")
 def hash_split(s: SparkSession, d: str) -> DataFrame:
     return align.hash_split(X.read(s, d, "documents").select("doc_id"), "doc_id", 0.2).groupBy("split").agg(F.count(F.lit(1)).alias("n"))

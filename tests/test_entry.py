@@ -1,3 +1,6 @@
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -7,3 +10,29 @@ def test_every_oracle_has_a_query():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+TEXTS = [(1, "a  b\n" + "word " * 50), (2, "long " * 2000), (3, "short"), (4, ""), (5, None), (6, " \n "), (30, "short"), (31, "<b>Profit</b> rose <script>x < 1</script> After The Announcement, as of today"), (56, "short")]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame([(i, t, "web") for i, t in TEXTS], "doc_id long, text string, source string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(11, 36)], "p_partkey long, p_brand string").write.parquet(f"{at}/part.parquet")
+    return at
+
+
+def both(spark, at, name):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in ("documents", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, entry.queries()[name](spark, at).collect()), key=repr)
+    assert got == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=repr)
+    return {r[0]: r[1:] for r in got}
+
+
+def test_every_document_is_cleaned(spark, tables):
+    got = both(spark, tables, "text_cleaning_all")
+    assert set(got) == {i for i, _ in TEXTS} and got[2][0] == 2000 and got[4][0] == got[6][0] == 0 and got[5][0] is None
