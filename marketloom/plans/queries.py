@@ -209,6 +209,27 @@ def leakage_flags(s: SparkSession, d: str) -> DataFrame:
     return align.leakage_flags(X.news(s, d)).agg(F.count(F.lit(1)).alias("n"), F.count_if("post_market_uncertain_flag").alias("n_post_market"))
 
 
+_STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+WHOLE = NEWS + """, whole AS (SELECT news_id, ticker, TIMESTAMP '1995-01-02' + to_seconds(coalesce(length(body), 0) % 2499 * 86400) timestamp_utc, body headline, body FROM news)"""
+
+
+@query(f"""WITH {WHOLE}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker, timestamp_utc, headline ORDER BY news_id) k FROM whole), y AS (SELECT *, {_STRIP.format('headline')} c FROM x WHERE k = 1) SELECT news_id, md5(c) headline_md5, md5({_STRIP.format('body')}) body_md5, md5(CASE WHEN c <> headline THEN headline END) headline_raw_md5 FROM y""")
+def clean_news_texts(s: SparkSession, d: str) -> DataFrame:
+    """The kept items with digests of their cleaned texts. The whole text is the headline and its length gives the day, so that copies are repeats."""
+    day = F.coalesce(F.length("body"), F.lit(0)) % 2499
+    at = F.timestamp_seconds(F.unix_seconds(F.lit("1995-01-02 00:00:00").cast("timestamp")) + day * 86400)
+    x = clean.clean_news(X.news(s, d).withColumns({"headline": F.col("body"), "timestamp_utc": at}))
+    return x.select("news_id", *[F.md5(c).alias(f"{c}_md5") for c in ("headline", "body", "headline_raw")])
+
+
+_PHRASES = " OR ".join(f"contains(t, '{p}')" for p in align.LEAKAGE_PHRASES)
+
+
+@query(f"""WITH {NEWS}, x AS (SELECT *, lower(concat_ws(' ', headline, body)) t FROM news) SELECT news_id, {_PHRASES} leakage_phrase_flag, extract(hour FROM timestamp_utc) >= 20 post_market_uncertain_flag FROM x""")
+def leakage_flags_news(s: SparkSession, d: str) -> DataFrame:
+    return align.leakage_flags(X.news(s, d)).select("news_id", "leakage_phrase_flag", "post_market_uncertain_flag")
+
+
 @query(f"""WITH {CAND} SELECT a.sample_id, a.candidate_id chosen, b.candidate_id rejected, round(a.reward - b.reward, 6) margin FROM cand a JOIN cand b ON a.sample_id = b.sample_id AND a.reward - b.reward >= 0.1""")
 def preference_pairs(s: SparkSession, d: str) -> DataFrame:
     return preference.preference_pairs(X.candidates(s, d)).withColumn("margin", r("margin", 6))
