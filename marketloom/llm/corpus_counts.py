@@ -31,12 +31,15 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Byte planes of 32-bit numbers, or of 64-bit ones if any count needs them; the first byte says which."""
+    width = 4 if int(counts.max(initial=0)) < 1 << 32 else 8
+    return bytes([width]) + np.ascontiguousarray(counts.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpack_counts(data: bytes, channels: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64).reshape(-1, channels)
+    width = data[0] if data else 4
+    planes = np.frombuffer(data, np.uint8, offset=min(1, len(data))).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64).reshape(-1, channels)
 
 
 def chunk_of(key: Column, df: DataFrame) -> Column:
@@ -50,7 +53,10 @@ def sum_keys(parts: Iterator[tuple[np.ndarray, np.ndarray]], channels: int) -> t
         return np.empty(0, np.uint64), np.zeros((0, channels), np.int64)
     keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     counts = np.concatenate([c for _, c in parts])
-    return keys, np.stack([np.bincount(where, counts[:, j], len(keys)).astype(np.int64) for j in range(channels)], 1)
+    total = np.zeros((len(keys), channels), np.int64)
+    for j in range(channels):  # doubles are exact up to 2**53
+        total[:, j] = np.bincount(where, counts[:, j], len(keys)).astype(np.int64)
+    return keys, total
 
 
 def corpus_counts(d: DataFrame, own_keys: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], channels: int, answer: str, summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:

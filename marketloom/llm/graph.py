@@ -5,25 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, shuffle_partitions
 
+#: A node with so many rows may be a hub.
+HUB = 100
 
-def _stars(pairs: DataFrame) -> DataFrame:
+
+def _with_least(d: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """d (u, v) with m, the least v of each u; and the table u, m.
+
+    Nodes with more than HUB rows, and more than an eighth of a partition's share of all, are hubs: so few (8 for each
+    partition at most) that they are broadcast, and their rows stay where they are. All others meet by shuffle.
+    """
+    bound = max(HUB, rows // (8 * shuffle_partitions(d.sparkSession)))
+    low = saved(d.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+    hubs = low.where(F.col("n") > bound).select("u", "m")
+    if hubs.limit(1).count() == 0:
+        return d.join(low.select("u", "m"), "u"), low
+    marked = d.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where("m IS NULL").drop("m").join(low.where(F.col("n") <= bound).select("u", "m"), "u")
+    return marked.where("m IS NOT NULL").unionByName(rest), low
+
+
+def _stars(pairs: DataFrame, rows: int) -> DataFrame:
     """One large star and one small star; pairs hold (u, v) with u > v."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-    large = both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    k = low.select(F.col("u").alias("k"), "m")
-    small = large.join(k, large.u == k.k).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near, _ = _with_least(both, 2 * rows)
+    large = near.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u > v").distinct()
+    near, low = _with_least(saved(large), rows)
+    small = near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an undirected edge table; component is the least node.
 
-    Each round aggregates with map-side combine and joins on node, so that a hub's edges can be split by
-    the adaptive skew join; rounds grow with the logarithm of the longest path. Null ends and loops are
+    Each round aggregates with map-side combine; the edges of hubs are joined by broadcast, so that no task holds
+    all of a hub's; rounds grow with the logarithm of the longest path. Null ends and loops are
     ignored (a node that has only loops is not returned); no edges give an empty table.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -33,7 +51,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        pairs = saved(_stars(pairs))
+        pairs = saved(_stars(pairs, seen[0]))
         now = mark(pairs)
         if now == seen:
             break

@@ -28,6 +28,8 @@ BANDS, ROWS = 15, 3
 AGREE = 24
 #: Weight = count * (1 + IDF_SHARE * ln((1 + n) / (1 + df)) / ln(1 + n)): from 1 to 1 + IDF_SHARE.
 IDF_SHARE = 0.3
+#: A part of a bucket compares about so many pairs.
+MEET = 200_000
 _BITS = 14
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _draw = np.random.default_rng(13)
@@ -163,11 +165,19 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = saved(near.where("fits").select("a", "b").distinct())
     good = saved(_verified(first, sigs, threshold).select("a", "b").distinct())
     rest = near.join(good.withColumn("alike", F.lit(True)), ["a", "b"], "left").select("bucket", "band", "x", F.col("alike").isNotNull().alias("alike"))
-    rest = saved(rest)
-    open_, every = rest.where("NOT alike").select("bucket", "band", "x"), rest.select("bucket", F.col("x").alias("y"))
+    # Texts of a bucket meet only those of like weight: their totals differ by less than a step of `bin`, so that they are
+    # in the same bin or the next. The open texts of a large bucket are dealt to parts, each of which has all the others.
+    bin_of = F.floor(F.log(F.greatest(F.col("x.total"), F.lit(1e-9))) / float(np.log(factor - 1 + 1e-3))).cast("int")
+    rest = saved(rest.withColumn("bin", bin_of))
+    large = saved(rest.groupBy("bucket").agg(F.count_if(~F.col("alike")).alias("open"), F.count(F.lit(1)).alias("n")).where(F.col("open") > 0))
+    parts = F.ceil(F.col("open") * F.col("n") / MEET).cast("int")
+    large = large.select("bucket", F.least(parts, F.col("open").cast("int")).alias("parts"))
+    near_bins = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
+    open_ = rest.where("NOT alike").join(large, "bucket").select("bucket", "band", "x", F.pmod(F.col("x.id"), F.col("parts")).cast("int").alias("part"), near_bins.alias("bin"))
+    every = rest.join(large, "bucket").select("bucket", "bin", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     new = ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("band")), F.slice("y.bands", F.lit(1), F.col("band")))
     agree = F.size(F.filter(F.zip_with("x.samples", "y.samples", lambda a, b: a == b), lambda e: e)) >= AGREE
-    more = open_.join(every, "bucket").where((F.col("x.id") != F.col("y.id")) & fits("x", "y") & new & agree)
+    more = open_.join(every, ["bucket", "bin", "part"]).where((F.col("x.id") != F.col("y.id")) & fits("x", "y") & new & agree)
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = saved(more.join(first, ["a", "b"], "left_anti"))
     return good.unionByName(_verified(more, sigs, threshold).select("a", "b"))
@@ -178,12 +188,16 @@ def node_of(text: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 16), 16, -10).cast("long")
 
 
+#: What a null id counts as where ids are compared.
+NO_ID = -(2**63)
+
+
 def id_of(doc_id: Column) -> Column:
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
 
 
-def rows_by_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, by_id: bool = False) -> DataFrame:
-    """id, node, class_node for every row. A node is a distinct text; with by_id, texts of rows that share an id are linked."""
+def rows_by_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """id (null as NO_ID), node, class_node for every row. A node is a distinct text; rows that share an id are rows of their own."""
     rows = saved(docs.select(id_of(F.col(doc_id)).alias("id"), node_of(F.col(text)).alias("node")))
     copies = saved(rows.groupBy("node").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     n = rows.count() - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
@@ -191,19 +205,18 @@ def rows_by_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     d = docs.select(id_of(F.col(doc_id)).alias("id"), node_of(F.col(text)).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).unionByName(gone)
     d = d.select(chunk_of(F.xxhash64("id", "node"), d).alias("chunk"), "id", "node", "text")
     edges = links(saved(signatures(d, n, threshold)), threshold)
-    if by_id:
-        heads = saved(rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a"))
-        edges = edges.unionByName(rows.join(heads, "id").select("a", F.col("node").alias("b")).where("a <> b").distinct())
     of_node = saved(connected_components(edges, "a", "b")).withColumnRenamed("node", "_node")
     return saved(rows.join(of_node, F.col("node") == F.col("_node"), "left").select("id", "node", F.coalesce("component", "node").alias("class_node")))
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, class_id (the least id of the class) and class_size for every row.
+    """id, class_id (the least id of the class), class_size and class_node for every row.
 
-    Null is empty text; empty texts are copies of each other and like nothing else. Texts of fewer than five
-    words have one shingle of all their words. Null ids count as the least id; rows that share an id are linked.
+    Null is empty text; empty texts are copies of each other and like nothing else. Texts of fewer than five words have
+    one shingle of all their words; very long ones count whole. Rows are told apart by their texts: null ids and ids
+    that several rows share link nothing; class_node, a 64-bit digest of one of its texts, names a class even then;
+    class_id is null in a class without ids. No rows give no rows; other columns may have any names.
     """
-    rows = rows_by_class(docs, doc_id, text, threshold, by_id=True)
+    rows = rows_by_class(docs, doc_id, text, threshold).withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
     sizes = saved(rows.groupBy("class_node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    return rows.join(sizes, "class_node").select("id", "class_id", "class_size")
+    return rows.join(sizes, "class_node").select("id", "class_id", "class_size", "class_node")
