@@ -2,9 +2,11 @@
 
 Pages become trees of blocks (inline markup melts into its block's text). A wrapper's shape is the alignment of
 trees of some pages of a host's layout by simple tree matching. All different pages of the layout are aligned with
-it and the texts of each node counted: those of most pages are template, the others are slots. Template nodes and
-blocks whose tag or class names a role outside the article (menus, adverts, comments, ...) go, and what the content
-region holds is the text.
+it and, for each of its nodes, the texts, the names and the share of linked text are counted: a node whose text is
+the same on most pages is template, one that is a list of links on most pages is a menu, the others are slots. What
+fills the slots is the text; where slots vary and the counts do not settle what they are (an advert, a reader's
+comment), their tags and whole class names do. Without a wrapper nothing is known to be template, and a page's text
+is all that it shows.
 """
 
 from __future__ import annotations
@@ -27,13 +29,17 @@ from .url_filters import url_host
 
 #: A wrapper's shape comes from so many pages of the layout at most, those of least hash among different pages. A text
 #: that 0.8 of the pages have is in two of them at least with probability 1 - 2e-7; its count is over all pages.
-SAMPLE = 12
+SAMPLE, CHOICES = 12, 48
 #: A text is template if so many of the layout's pages have it, and 0.8 of them (inside an article: all of so many).
 LEAST, LEAST_INSIDE = 3, 8
+#: A list is a menu if so much of its text is links, on so many of the pages that have it.
+LINKED, MENU_PAGES, MENU_ITEMS = 0.8, 0.8, 3
 #: A layout is the labels of blocks that hold blocks, down to so many levels; rarer layouts than SAMPLE share REST.
 LAYOUT_DEPTH, REST = 4, "*"
 #: The chosen pages' keys are broadcast up to so many, a few MB; wrappers up to so many characters.
 BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 16_000_000
+#: Pages of a host that meet their wrapper in one part, where wrappers are too large to be broadcast.
+HOT = 20_000
 
 # HTML elements by kind.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead title tr ul".split())
@@ -41,9 +47,10 @@ APART = frozenset("audio button canvas datalist embed iframe input map math nofr
 RAW = frozenset("script style textarea title iframe noframes".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset("head title nav header footer aside form menu dialog search fieldset".split()) | APART
-ROLE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentary consent cookie cookies disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted promotion replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
+ROLE_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promos respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar".split())
+#: Words that may stand beside a role in one name: "ad-box" is an advert, "notice-period" no notice.
+BESIDE = frozenset("area bar block bottom box container content footer form global header inner item items left links list main outer page panel primary right secondary section site slot thread top unit widget wrap wrapper zone".split())
 ROLE_ATTRIBUTES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-QUALIFIERS = frozenset("has with no without".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TAG = re.compile(
@@ -53,29 +60,40 @@ _TAG = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Elements that an open paragraph is not closed across.
+SCOPES = frozenset("button object template svg math td th caption table".split())
+
+
+@lru_cache(4096)
+def names_role(name: str) -> bool:
+    """Whether a whole class name or id means a part outside the article; one word of it is not enough."""
+    parts = {p.lower() for p in _PART.findall(name)}
+    return bool(parts & ROLE_WORDS) and parts <= ROLE_WORDS | BESIDE
 
 
 class Node:
-    __slots__ = ("tag", "label", "text", "kids", "out", "buf")
+    __slots__ = ("tag", "label", "text", "kids", "out", "buf", "linked", "chars")
 
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.label, self.text, self.kids, self.buf = tag, tag, "", [], []
+        self.linked = self.chars = 0  # characters in links, and in all, here and below
         self.out = tag in NOT_TEXT
         if attrs and not attrs.isspace():
             names = []
             for name, *values in _ATTR.findall(attrs):
-                value, name = "".join(values).lower(), name.lower()
+                value, name = "".join(values), name.lower()
                 if name == "role":
-                    self.out |= value in ROLE_ATTRIBUTES
+                    self.out |= value.lower() in ROLE_ATTRIBUTES
                 elif name == "hidden":
                     self.out = True
                 else:
                     names.append(value)
-            words = _WORD.findall(" ".join(names).replace("-", " ").replace("_", " "))
+            words = _WORD.findall(" ".join(names).lower())
             if words:
                 self.label = f"{tag}.{'.'.join(dict.fromkeys(words))}"
-                if tag not in ("html", "body") and not QUALIFIERS & set(words):
-                    self.out |= any(w in ROLE_WORDS for w in words)
+                if tag not in ("html", "body"):
+                    self.out |= any(map(names_role, " ".join(names).split()))
 
 
 def parse(html: str) -> Node:
@@ -83,6 +101,15 @@ def parse(html: str) -> Node:
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
     held: Counter[str] = Counter()  # open elements by tag
+    in_link = False
+
+    def add(raw: str) -> None:
+        top = stack[-1]
+        top.buf.append(raw)
+        size = len(raw.strip())
+        top.chars += size
+        if in_link:
+            top.linked += size
 
     def flush() -> None:
         top = stack[-1]
@@ -99,21 +126,25 @@ def parse(html: str) -> Node:
         flush()
         top = stack.pop()
         held[top.tag] -= 1
+        stack[-1].chars += top.chars
+        stack[-1].linked += top.linked
         if len(top.kids) == 1 and top.kids[0].tag == "#":
             top.text, top.kids = top.kids[0].text, []
 
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            stack[-1].buf.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            stack[-1].buf.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         end, tag, attrs = m[1], m[2] or m[4], m[3] or m[5] or ""
         if end:
             end = end.lower()
-            if (end in BLOCK or end in APART) and held[end]:
+            if end == "a":
+                in_link = False
+            elif (end in BLOCK or end in APART) and held[end]:
                 while stack[-1].tag != end:
                     close()
                 close()
@@ -122,10 +153,15 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].buf.append(" ")
             if tag not in BLOCK and tag not in APART:
+                in_link |= tag == "a"
                 continue
-            if tag in BLOCK and any(x.tag == "p" for x in stack[-6:]):
-                while any(x.tag == "p" for x in stack[-6:]):
-                    close()
+            if tag in BLOCK and held["p"]:  # a block ends the paragraph that it stands in
+                k = len(stack) - 1
+                while stack[k].tag not in SCOPES and stack[k].tag not in BLOCK and k:
+                    k -= 1
+                if stack[k].tag == "p":
+                    while len(stack) > k:
+                        close()
             if tag in SAME_LEVEL:
                 while stack[-1].tag in SAME_LEVEL[tag]:
                     close()
@@ -147,12 +183,12 @@ def parse(html: str) -> Node:
 
 
 class Slot:
-    """A node of a wrapper: texts has the pages with each text (once loaded: the text's number); seen counts the pages that have the node."""
+    """A node of a wrapper: texts has the pages with each text (once loaded: the text's number, and the node's in number); seen counts the pages that have the node."""
 
-    __slots__ = ("label", "texts", "seen", "kids")
+    __slots__ = ("label", "texts", "seen", "kids", "number")
 
     def __init__(self, label: str, texts: dict[str, int], seen: int, kids: list[Slot]):
-        self.label, self.texts, self.seen, self.kids = label, texts, seen, kids
+        self.label, self.texts, self.seen, self.kids, self.number = label, texts, seen, kids, 0
 
     @classmethod
     def of(cls, node: Node) -> Slot:
@@ -178,10 +214,12 @@ class Slot:
         """The tree; for each text's number whether it is inside an article; and the pages of each that made the shape, -1 for all."""
         path: list[tuple[Slot, bool]] = []
         inside: list[bool] = []
-        counts = {-1: shape[0][2]}
+        counts, nodes = {-1: shape[0][2]}, -1
         for level, label, seen, texts in shape:
             del path[level:]
             slot = cls(label, {t: len(inside) + i for i, t in enumerate(texts)}, seen, [])
+            nodes += 1
+            slot.number = nodes
             counts |= zip(slot.texts.values(), texts.values(), strict=True)
             within = label.partition(".")[0] in ("article", "main") or bool(path) and path[-1][1]
             inside += [within] * len(texts)
@@ -293,9 +331,23 @@ def layout_of(root: Node) -> str:
     return hashlib.md5("\n".join(out).encode("utf-8", "replace")).hexdigest()[:16]
 
 
+#: What a node of a page is to the counts: a slot, outside the article by its names, or a list of links.
+SLOT, OUT, MENU = 0, 1, 2
+
+
+def _code(number: int, kind: int) -> int:
+    return -2 - 3 * number - kind
+
+
+def _kind(node: Node) -> int:
+    if node.out:
+        return OUT
+    return MENU if len(node.kids) >= MENU_ITEMS and node.linked >= LINKED * node.chars > 0 else SLOT
+
+
 @lru_cache(64)
-def _loaded(wrapper: str) -> dict[str, tuple[Slot, frozenset[int]]]:
-    """By layout: the tree and the numbers of texts that are template. A shape alone goes by the pages that made it."""
+def _loaded(wrapper: str) -> dict[str, tuple[Slot, frozenset[int], frozenset[int]]]:
+    """By layout: the tree, the numbers of texts that are template and of nodes that are no slots. A shape alone goes by the pages that made it."""
     out = {}
     of = json.loads(wrapper)
     for layout, x in of.items() if isinstance(of, dict) else [(REST, {"shape": wrapper})]:
@@ -304,28 +356,50 @@ def _loaded(wrapper: str) -> dict[str, tuple[Slot, frozenset[int]]]:
             counts = {int(k): v for k, v in x["counts"].items()}
         pages = counts[-1]
         good = frozenset(i for i, n in counts.items() if i >= 0 and n >= (max(LEAST_INSIDE, pages) if inside[i] else max(LEAST, 0.8 * pages)))
-        out[layout] = top, good
+        kinds: dict[int, list[int]] = {}
+        for i, n in counts.items():
+            if i < -1:
+                number, kind = divmod(-2 - i, 3)
+                kinds.setdefault(number, [0, 0, 0])[kind] += n
+        apart = frozenset(j for j, n in kinds.items() if sum(n) >= LEAST and max(n[OUT], n[MENU]) >= MENU_PAGES * sum(n))
+        out[layout] = top, good, apart
     return out
 
 
-def _hits(top: Slot, root: Node) -> list[tuple[int, Node]]:
-    """The page's texts that the wrapper has at the same node, by number."""
-    out, todo = [], list(tree_match(top, root)[1])
+def _aligned(top: Slot, root: Node) -> Iterator[tuple[Slot, Node]]:
+    """The wrapper's nodes and the page's nodes that they match."""
+    todo = list(tree_match(top, root)[1])
     while todo:
         slot, node, sub = todo.pop()
-        if node.text and node.text in slot.texts:
-            out.append((slot.texts[node.text], node))
+        yield slot, node
         todo += sub
+
+
+def _hits(top: Slot, root: Node) -> set[int]:
+    """What a page adds to the counts: the texts that the wrapper has at the same node, and what each node is."""
+    out = set()
+    for slot, node in _aligned(top, root):
+        if node.text and node.text in slot.texts:
+            out.add(slot.texts[node.text])
+        if node.kids or node.out:
+            out.add(_code(slot.number, _kind(node)))
     return out
 
 
-def _fixed(root: Node, wrapper: str | None) -> set[int]:
-    """The nodes of a page that are template."""
-    if not wrapper:
-        return set()
+def _fixed(root: Node, wrapper: str) -> set[int]:
+    """The nodes of a page that are template, or no slots by the counts of the layout's pages."""
     of = _loaded(wrapper)
-    top, good = of.get(layout_of(root)) or of.get(REST) or (None, frozenset())
-    return {id(node) for i, node in _hits(top, root) if i in good} if good else set()
+    top, good, apart = of.get(layout_of(root)) or of.get(REST) or (None, (), ())
+    if not good and not apart:
+        return set()
+    within: set[int] = set()  # nodes in articles, whose lists of links are content
+    for region in (*_regions(root, "article"), *_regions(root, "main")):
+        within |= {id(x) for x in _inside(region)}
+    out = set()
+    for slot, node in _aligned(top, root):
+        if node.text and slot.texts.get(node.text) in good or slot.number in apart and id(node) not in within:
+            out.add(id(node))
+    return out
 
 
 def _inside(node: Node, fixed: set[int] | frozenset[int] = frozenset()) -> Iterator[Node]:
@@ -338,10 +412,6 @@ def _inside(node: Node, fixed: set[int] | frozenset[int] = frozenset()) -> Itera
             todo += reversed(node.kids)
 
 
-def _mass(node: Node, fixed: set[int]) -> int:
-    return sum(len(x.text) for x in _inside(node, fixed))
-
-
 def _regions(node: Node, tag: str) -> list[Node]:
     """The outermost nodes of a tag."""
     out, todo = [], [node]
@@ -354,18 +424,26 @@ def _regions(node: Node, tag: str) -> list[Node]:
     return out
 
 
+def _shown(node: Node) -> Iterator[Node]:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.tag not in APART and node.tag != "head":
+            yield node
+            todo += reversed(node.kids)
+
+
 def main_text(html: str | None, wrapper: str | None = None) -> str:
-    """The blocks of the content region in page order, one a line; empty for null, empty or textless pages."""
+    """The blocks of the content region in page order, one a line; empty for null, empty or textless pages. Without a
+    wrapper, all blocks that the page shows."""
     if not html:
         return ""
     root = parse(html)
+    if wrapper is None:
+        return "\n".join(x.text for x in _shown(root) if x.text)
     fixed = _fixed(root, wrapper)
-    content = _regions(root, "article") or _regions(root, "main")
-    if len(content) > 1 and (whole := _regions(root, "main")):
-        content = whole
-    elif len(content) > 1:
-        content = [max(content, key=lambda c: _mass(c, fixed))]
-    content = content or [root]  # else all that is neither template nor outside by role
+    articles, mains = _regions(root, "article"), _regions(root, "main")
+    content = articles if len(articles) == 1 else mains or articles or [root]  # else all that is neither template nor outside by role
     return "\n".join(x.text for c in content for x in _inside(c, fixed) if x.text)
 
 
@@ -387,8 +465,10 @@ def _shapes(d: DataFrame) -> DataFrame:
     own = sizes.join(hosts, "host").where((F.col("layouts") == 1) | (F.col("n") >= SAMPLE)).select("host", "layout")
     rest = hosts.where((F.col("layouts") > 1) & (F.col("least") < SAMPLE)).select("host")
     keys = keys.join(_small(own), ["host", "layout"], "left_semi").select("host", "layout", "h").unionByName(keys.join(_small(rest), "host", "left_semi").select("host", F.lit(REST).alias("layout"), "h"))
+    # The least hash of each of CHOICES parts of a layout, summed up before the shuffle; the window ranks CHOICES rows of a layout.
+    least = keys.groupBy("host", "layout", F.pmod("h", F.lit(CHOICES)).alias("part")).agg(F.min("h").alias("h"))
     rank = F.row_number().over(Window.partitionBy("host", "layout").orderBy("h"))
-    chosen = keys.withColumn("r", rank).where(F.col("r") <= SAMPLE).drop("r")
+    chosen = least.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("host", "layout", "h")
     few = d.join(_small(chosen), ["host", "h"]).dropDuplicates(["host", "layout", "h"])
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -409,7 +489,14 @@ def _each(d: DataFrame, wrappers: DataFrame, run: Callable[[pd.DataFrame, list[s
                 yield run(pdf, [of.value.get(h) for h in pdf["__host"]])
 
         return d.mapInPandas(with_table, schema)
-    joined = d.join(w.select(F.col("host").alias("__on"), F.col("wrapper").alias("__wrapper")), F.col("__host") == F.col("__on"), "left").drop("__on")
+    # A host's pages are dealt to as many parts as HOT goes into their count; its wrapper goes to each.
+    parts = saved(d.groupBy("__host").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("__parts")).where("__parts > 1"))
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
+    salt = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*d.columns), F.col("__parts")).cast("int"))
+    dealt = d.join(parts, "__host", "left").withColumn("__salt", salt).drop("__parts").select(*d.columns, "__salt")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)).alias("__part")
+    w = w.join(parts.withColumnRenamed("__host", "host"), "host", "left").select(F.col("host").alias("__on"), F.col("wrapper").alias("__wrapper"), every)
+    joined = dealt.join(w, (dealt["__host"] == w["__on"]) & (dealt["__salt"] == w["__part"]), "left").drop("__on", "__part", "__salt")
 
     def with_column(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -435,7 +522,7 @@ def induce_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> D
             of = _loaded(wrapper) if wrapper else {}
             for layout in (layout_of(root), REST):
                 if layout in of:
-                    out.append((host, layout, h, [-1, *{i for i, _ in _hits(of[layout][0], root)}]))
+                    out.append((host, layout, h, [-1, *_hits(of[layout][0], root)]))
         return pd.DataFrame(out, columns=["host", "layout", "h", "hits"])
 
     # copies of a page count once
@@ -446,7 +533,12 @@ def induce_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> D
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
-    """The kept columns and the main text of every page; null html gives empty text, no rows give no rows."""
+    """The kept columns and the main text of every page, repeated rows included.
+
+    Null and empty html gives empty text; pages without a host share one wrapper; very long and deep pages are read
+    whole; no rows give no rows; a kept column of the name `out` is replaced, other columns may have any names.
+    """
+    keep = tuple(c for c in keep if c != out)
     d = pages.select(*keep, F.col(html).alias("__html"), url_host(F.col(url)).alias("__host"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields if f.name in keep) + f"`{out}` string"
 
