@@ -16,8 +16,8 @@ from .common import saved
 from .graph import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A rule list is part of the plan as literals; longer lists belong in a table.
-MAX_RULES = 1000
+#: So many rules are part of the plan as literals; longer lists become a table.
+MAX_RULES = 200
 
 
 def _rest(url: Column) -> Column:
@@ -43,9 +43,8 @@ def url_key(url: Column) -> Column:
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """struct(rule, action) of the longest rule that fits, null if none. rules: (action, 'host/path')."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """struct(rule, action) of the longest rule that fits, null if none. rules: (action, 'host/path'), part of the plan
+    as literals; `match_rules` takes a table of any size."""
     out = F.lit(None).cast("struct<rule:string,action:string>")
     for action, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):  # the longest is tested first
         name, slash, rest = rule.partition("/")
@@ -54,45 +53,110 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return out
 
 
-def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) keys of redirect (meta refresh) and canonical links in the pages; relative links are resolved."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))
-    page = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv")).select(F.col(url).alias("u"), F.explode(tags).alias("tag"))
-    value = lambda name: F.regexp_extract("tag", rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    to = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"), value("href")).when(
-        F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    )
-    # One step a column, so that no expression is written out many times over.
-    links = page.select("u", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("t")).where("t <> ''")
-    links = links.withColumns({"base": F.concat(F.lit("http://"), url_host(F.col("u"))), "folder": F.regexp_replace(url_path(F.col("u")), r"[^/]*$", "")})
-    t = F.col("t")
-    full = (
-        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
-        .when(t.startswith("//"), F.concat(F.lit("http:"), t))
-        .when(t.startswith("/"), F.concat("base", t))
-        .otherwise(F.concat("base", "folder", t))
+def match_rules(d: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], host: str, path: str, out: str) -> DataFrame:
+    """d with the column `out`: struct(rule, action) of the longest rule that fits, null if none.
+
+    A table of rules (action, rule) is joined on the suffixes of each distinct host, so that its size does not matter.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_RULES:
+            return d.withColumn(out, match_rule(F.col(host), F.col(path), rules))
+        rules = d.sparkSession.createDataFrame(list(rules), "action string, rule string")
+    at = F.instr("rule", "/")
+    name = F.when(at > 0, F.substring(F.col("rule"), F.lit(1), at - 1)).otherwise(F.col("rule"))
+    rest = F.when(at > 0, F.substring(F.col("rule"), at, F.length("rule"))).otherwise(F.lit(""))
+    r = rules.select("rule", "action", name.alias("_name"), rest.alias("_rest"))
+    parts = F.split("_h", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    urls = d.select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
+    fits = urls.withColumn("_name", F.explode(suffixes)).join(r, "_name").where(F.col("_p").startswith(F.col("_rest")))
+    best = fits.groupBy("_h", "_p").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("_b"))
+    best = best.select("_h", "_p", F.struct(F.col("_b.rule").alias("rule"), F.col("_b.action").alias("action")).alias(out))
+    return d.join(best, (d[host] == best["_h"]) & (d[path] == best["_p"]), "left").drop("_h", "_p")
+
+
+#: The named character references that links hold; & itself comes last.
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+
+
+def _unescaped(d: DataFrame, x: str) -> DataFrame:
+    """d with the character references of column x decoded: numeric ones, then the named ones above."""
+    d = d.withColumn("_refs", F.array_distinct(F.regexp_extract_all(F.col(x), F.lit(r"(&#[xX]?[0-9A-Fa-f]{1,6};?)"), F.lit(1))))
+    digits = lambda r: F.regexp_extract(r, r"([0-9A-Fa-f]+)", 1)
+    code = lambda r: F.when(r.rlike("^&#[xX]"), F.lpad(digits(r), 8, "0")).otherwise(F.lpad(F.hex(digits(r).try_cast("long")), 8, "0"))
+    char = lambda r: F.coalesce(F.when(code(r) <= "0010FFFF", F.decode(F.unhex(code(r)), "UTF-32")), F.lit("�"))
+    d = d.withColumn(x, F.aggregate("_refs", F.col(x), lambda acc, r: F.replace(acc, r, char(r)))).drop("_refs")
+    for name, ch in (*REFERENCES, ("&amp;", "&")):
+        d = d.withColumn(x, F.replace(F.col(x), F.lit(name), F.lit(ch)))
+    return d
+
+
+def _attribute(tag: str, name: str) -> Column:
+    """The value of a tag's attribute, quoted (with blanks) or not; empty if it is missing."""
+    one = lambda rest: F.regexp_extract(tag, rf"(?is)(?:^|[\s\"'/]){name}\s*=\s*{rest}", 1)
+    quoted, single, bare = one('"([^"]*)"'), one("'([^']*)'"), one(r"([^\s\"'>]+)")
+    return F.trim(F.when(quoted != "", quoted).when(single != "", single).otherwise(bare))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path with its . and .. segments resolved (RFC 3986, 5.2.4)."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    last = F.element_at(segments, -1)
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(segments, empty, lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(empty)), "/"))
+
+
+def resolved_links(links: DataFrame) -> DataFrame:
+    """u, full: the links t of pages u as whole urls by the rules of RFC 3986; those of other schemes are left out."""
+    links = _unescaped(links, "t").withColumn("t", F.regexp_replace(F.regexp_replace("t", r"^\s+|\s+$|[\t\r\n]", ""), r"#.*$", ""))
+    u, t = F.col("u"), F.col("t")
+    links = links.where((t != "") & (t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") | ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")))
+    links = links.withColumns({"scheme": F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), "base": url_host(u), "own": url_path(u)})
+    links = links.withColumn("full", F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat("scheme", F.lit(":"), t)))
+    links = links.withColumns({"path": F.regexp_extract("t", r"^([^?]*)", 1), "query": F.regexp_extract("t", r"^[^?]*(\?.*)", 1)})
+    folder = F.when(F.col("own") == "", F.lit("/")).otherwise(F.regexp_replace("own", r"[^/]*$", ""))
+    links = links.withColumn("path", F.when(F.col("path") == "", F.col("own")).when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(folder, "path")))
+    return links.select("u", F.coalesce("full", F.concat("scheme", F.lit("://"), "base", F.when(F.col("path") == "", "").otherwise(_without_dots(F.col("path"))), "query")).alias("full"))
+
+
+def alias_urls(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst) urls of redirect (meta refresh) and canonical links in the pages' markup, resolved; links in comments,
+    scripts and styles are none. A <base> element is not looked at."""
+    page = pages.where(F.col(html).rlike(r"(?i)canonical|refresh") & (F.instr(F.col(url), "://") > 0)).select(F.col(url).alias("u"), F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|template)\b.*?(?:</\1\s*>|\z)", " ").alias("h"))
+    tags = F.regexp_extract_all(F.col("h"), F.lit(r"(?is)(<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+    page = page.select("u", F.explode(tags).alias("tag"))
+    page = page.withColumns({"rel": F.lower(_attribute("tag", "rel")), "equiv": F.lower(_attribute("tag", "http-equiv")), "href": _attribute("tag", "href"), "content": _attribute("tag", "content")})
+    to = F.when(F.col("tag").rlike("(?i)^<link") & F.array_contains(F.split("rel", r"\s+"), "canonical"), F.col("href")).when(
+        F.col("tag").rlike("(?i)^<meta") & (F.col("equiv") == "refresh"), F.regexp_extract("content", r"(?is)^[^;,\s]*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"']+)", 1)
     )
-    return links.withColumn("full", full).select(url_key(F.col("u")).alias("src"), url_key(F.col("full")).alias("dst"))
+    return resolved_links(page.select("u", to.alias("t")).where("t <> ''")).select(F.col("u").alias("src"), F.col("full").alias("dst"))
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", html: str | None = "html", edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], url: str = "url", html: str | None = "html", edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict.
 
-    edges: further (src, dst) urls known from crawl logs. Null and odd urls get empty host and path, no rule
-    and the default verdict; an input of no rows gives no rows; columns of the same names are replaced.
+    rules: (action, 'host/path') pairs, or a table (action, rule). edges: further (src, dst) urls known from crawl
+    logs. A url's own rule holds, an explicit allow too where an alias is blocked; urls without a rule are blocked if a
+    url of their component fits a block rule. Null and odd urls get empty host and path, no rule and the default
+    verdict; very long urls and pages count whole; repeated rows stay; no rows give no rows; columns of the result's
+    names are replaced, others may have any names.
     """
-    found = alias_edges(pages, url, html) if html else None
+    found = alias_urls(pages, url, html) if html else None
     if edges is not None:
-        more = edges.select(url_key(F.col("src")).alias("src"), url_key(F.col("dst")).alias("dst"))
+        more = edges.select("src", "dst")
         found = more if found is None else found.unionByName(more)
     d = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    d = d.withColumn("_fit", match_rule(F.col("host"), F.col("path"), rules))
+    d = match_rules(d, rules, "host", "path", "_fit")
     spread = F.lit(None).cast("string")
     if found is not None:
-        parts = connected_components(saved(found.distinct()))
-        ruled = parts.withColumn("u", F.concat(F.lit("http://"), F.col("node"))).withColumns({"h": url_host(F.col("u")), "p": url_path(F.col("u"))})
-        ruled = ruled.withColumn("fit", match_rule(F.col("h"), F.col("p"), rules)["action"])
-        bad = ruled.where("fit = 'block'").select("component").distinct()
+        found = saved(found.distinct())
+        parts = saved(connected_components(found.select(url_key(F.col("src")).alias("src"), url_key(F.col("dst")).alias("dst"))))
+        # Rules judge the urls as they are written, of which a node may have several.
+        urls = found.select(F.explode(F.array("src", "dst")).alias("u")).distinct()
+        urls = urls.select(url_key(F.col("u")).alias("node"), url_host(F.col("u")).alias("h"), url_path(F.col("u")).alias("p"))
+        bad = match_rules(urls, rules, "h", "p", "fit").where("fit.action = 'block'").select("node").distinct()
+        bad = parts.join(bad, "node", "left_semi").select("component").distinct()
         blocked = parts.join(bad, "component", "left_semi").select(F.col("node").alias("_key"), F.lit("block").alias("_spread"))
         d = d.withColumn("_key", url_key(F.col(url))).join(blocked, "_key", "left")
         spread = F.col("_spread")
