@@ -7,6 +7,7 @@ sum gives the document's score. Only documents have labels; the passages' weight
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,10 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORDS, HIDDEN, GATE = 50, 16, 8
 #: The model is fitted on so many labelled documents of each class at most, those of least hash.
 SAMPLE_PER_CLASS, EPOCHS, BATCH, SEED = 2000, 25, 64, 7
+#: Of those, in the order of their hashes, so many that their passages are no more than this (50 MB of features), and one at least.
+SAMPLE_PASSAGES = 200_000
 K = 11  # character classes
 FEATURES = K * K + 4
 _SPACE, _LINE = 4, 5
@@ -55,8 +59,8 @@ def passages(text: str | None) -> np.ndarray:
     size = np.bincount(at, minlength=n)
     for i in range(n):
         own = words[i * WORDS : (i + 1) * WORDS]
-        kinds = set(own)
-        out[i, K * K :] = len(kinds) / len(own), np.log1p(size[i] / len(own)) / 3, len(own) / WORDS, max(map(own.count, list(kinds)[:1] + [own[len(own) // 2]])) / len(own)
+        often = Counter(own)
+        out[i, K * K :] = len(often) / len(own), np.log1p(size[i] / len(own)) / 3, len(own) / WORDS, max(often.values()) / len(own)
     return out
 
 
@@ -124,19 +128,31 @@ def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, epoch
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> MilModel:
-    """Learns from labelled documents whose held_out is false; a bounded sample of each class, weighted to the class's share."""
+    """Learns from labelled documents whose held_out is false; a bounded sample of each class, weighted to the class's share.
+
+    Ids with both labels and null ids teach nothing; repeated rows are passages of their own; very long documents count
+    with all their passages, within SAMPLE_PASSAGES; no labels or one class give a constant score.
+    """
     d = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"), (held_out if held_out is not None else F.lit(False)).alias("out"))
-    d = d.where("id IS NOT NULL AND y IN (0, 1) AND NOT out").dropDuplicates(["id"])
+    d = d.where("id IS NOT NULL AND y IN (0, 1) AND NOT out").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("_z")).where("y = _z").drop("_z")
     share = {r["y"]: r["count"] for r in d.groupBy("y").count().collect()}  # two rows
     picked = [d.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS) for y in (0, 1)]
     some = picked[0].unionByName(picked[1]).select("id", "y")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(some), "id")  # 2 * SAMPLE_PER_CLASS rows at most
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(some), "id")  # 2 * SAMPLE_PER_CLASS labels at most
+    # Sizes first, one text for each id (that of least digest), so that what the driver gets is bounded whatever the texts.
+    rows = rows.withColumn("h", F.xxhash64("id", "t"))
+    size = F.coalesce(F.size(F.split("t", r"\s+")), F.lit(0)) / WORDS + 1
+    sizes = rows.groupBy("y", "id").agg(F.min(F.struct("h", size.alias("n"))).alias("x")).select("y", "x.*")  # 2 * SAMPLE_PER_CLASS rows at most
+    before = Window.partitionBy("y").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0.0)))
+    some = sizes.where((F.col("at") == 0) | (F.col("at") + F.col("n") <= SAMPLE_PASSAGES / 2)).select("h")
+    rows = rows.join(F.broadcast(some), "h", "left_semi").dropDuplicates(["h"]).select("id", "y", "t")
 
     def features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": [passages(t).astype("<f2").tobytes() for t in pdf["t"]]})
 
-    got = rows.mapInPandas(features, "id long, y int, x binary").toPandas().sort_values("id", kind="stable")
+    got = rows.mapInPandas(features, "id long, y int, x binary").toPandas().sort_values(["id", "x"])
     y = got["y"].to_numpy(float)
     bags = [np.frombuffer(x, "<f2").reshape(-1, FEATURES).astype(np.float32) for x in got["x"]]
     weights = np.array([share[int(k)] / max(1, (y == k).sum()) for k in y]) if len(y) else y
@@ -144,14 +160,18 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, doc_
 
 
 def score(docs: DataFrame, model: MilModel, keep: list[Column | str], text: str = "text", out: str = "score") -> DataFrame:
-    """The kept columns and the score (0 to 1, in column out) of every document; null and empty texts have one too."""
+    """The kept columns and the score (0 to 1, in column out) of every document, repeated rows included.
+
+    Null and empty texts are one passage of zeros; very long ones are scored whole; no rows give no rows; a kept column
+    of the name `out` is replaced by the score.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(*keep, F.col(text).alias("__text"))
-    names = d.columns[:-1]
+    names = [c for c in d.columns[:-1] if c != out]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             yield pdf[names].assign(**{out: [shared.value.score(passages(t)) for t in pdf["__text"]]})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in names)
     return d.mapInPandas(run, f"{schema}, `{out}` double")
