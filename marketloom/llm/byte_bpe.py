@@ -22,23 +22,33 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def ranks_of(path: str) -> dict[bytes, int]:
-    """Bytes -> id of a tokenizers BPE file whose ids follow the order of its merges."""
+def ranks_of(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Bytes -> id, and special token -> id, of a tokenizers BPE file. Its ids must follow the order of its merges, and
+    its special tokens must be cut out of a text as they stand: otherwise tiktoken would give other ids."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    letters = _byte_alphabet()
-    special = {t["content"] for t in file["added_tokens"]}
-    return {bytes(map(letters.__getitem__, t)): i for t, i in file["model"]["vocab"].items() if t not in special}
+    letters, vocab = _byte_alphabet(), file["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file["added_tokens"]):
+        raise ValueError(f"{path}: special tokens that take their surroundings are not known here")
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"])
+    made = [vocab["".join(p)] for p in pairs]
+    if made != sorted(made):
+        raise ValueError(f"{path}: ids do not follow the merges")
+    return {bytes(map(letters.__getitem__, t)): i for t, i in vocab.items() if t not in special}, special
 
 
 class ByteBPE:
     def __init__(self, path: str):
         import tiktoken
 
-        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
+        ranks, self.special = ranks_of(path)
+        self.bpe = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids as little-endian unsigned 32-bit integers; special tokens' strings are ordinary text."""
+        """Ids as little-endian unsigned 32-bit integers; a special token's string is that token, as in the library."""
+        if any(t in text for t in self.special):
+            return np.array(self.bpe.encode(text, allowed_special="all"), "<u4")
         return np.array(self.bpe.encode_ordinary(text), "<u4")
 
 

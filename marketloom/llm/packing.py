@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import bpe_for
-from .common import saved
+from .common import saved, shuffle_partitions
 
-#: Pieces of one length are numbered in so many parts, so that no length is numbered in one task.
-PARTS = 64
+#: Pieces of one length are numbered in so many parts, so that no length is numbered in one task; whole windows, which
+#: need no partner, in WHOLE_PARTS for each shuffle partition.
+PARTS, WHOLE_PARTS = 64, 4
+#: Up to so many keys of cut documents (16 bytes each) are broadcast.
+BROADCAST_KEYS = 200_000
+
+
+RESULT = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def best_fill(counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -121,16 +127,17 @@ def pack(docs: DataFrame, vocab_path: str, window: int = 1024, end_id: int = 0,
 
     Null and empty texts are the end id alone; repeated rows are documents of their own; no rows give no rows.
     Every id lies in exactly one piece, sequences are gapless from 0, all hold `window` tokens but the last few,
-    whose sizes are powers of two.
+    whose sizes are powers of two. Very long texts are encoded whole. Kept columns of the result's names get `kept_`
+    in front; other columns may have any names.
     """
-    names = ["_key", *keep]
     # The text's digest tells rows apart that share an id; equal rows may take each other's places.
     key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-    d = docs.select(key.alias("_key"), *keep, F.col(text).alias("_text"))
-    kept_schema = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in keep)
-    kept_schema = "id long, h long" + kept_schema
-    d = d.select("_key.*", *keep, "_text")
-    cols = ["id", "h", *keep]
+    kept = {f"_k{i}": f"kept_{c}" if c in RESULT else c for i, c in enumerate(keep)}
+    d = docs.select(key.alias("_key"), *[F.col(c).alias(n) for n, c in zip(kept, keep, strict=True)], F.col(text).alias("_text"))
+    kept_schema = "id long, h long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in kept)
+    d = d.select("_key.*", *kept, "_text")
+    cols = ["id", "h", *kept]
+    whole_parts = WHOLE_PARTS * shuffle_partitions(docs.sparkSession)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -142,24 +149,30 @@ def pack(docs: DataFrame, vocab_path: str, window: int = 1024, end_id: int = 0,
             yield pdf[cols].iloc[n].assign(start=a, length=size, ids_crc32=crc, doc_tokens=total)
 
     piece = ", start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = saved(d.mapInPandas(cut, kept_schema + piece).withColumn("part", F.pmod(F.xxhash64("id", "h", "start"), F.lit(PARTS)).cast("int")))
-    table = pieces.groupBy("length", "part").count().toPandas()  # at most window * PARTS rows
-    by_part = np.zeros((window + 1, PARTS), np.int64)
-    by_part[table["length"], table["part"]] = table["count"]
-    plan = minimum_bin_slack(by_part.sum(1), window)
-    before = np.cumsum(by_part, 1) - by_part
+    parts = F.when(F.col("length") == window, F.lit(whole_parts)).otherwise(F.lit(PARTS))
+    pieces = saved(d.mapInPandas(cut, kept_schema + piece).withColumn("part", F.pmod(F.xxhash64("id", "h", "start"), parts).cast("int")))
+    table = pieces.groupBy("length", "part").count().toPandas()  # at most window * PARTS + whole_parts rows
+    full = table["length"] == window
+    by_whole, by_part = np.zeros(whole_parts, np.int64), np.zeros((window + 1, PARTS), np.int64)
+    by_whole[table["part"][full]] = table["count"][full]
+    by_part[table["length"][~full], table["part"][~full]] = table["count"][~full]
+    sizes = by_part.sum(1)
+    sizes[window] = by_whole.sum()
+    plan = minimum_bin_slack(sizes, window)
+    before, before_whole = np.cumsum(by_part, 1) - by_part, np.cumsum(by_whole) - by_whole
     whole, sizes = tail_bounds(plan.tail, window)
     edges = np.concatenate([[whole * window], whole * window + np.cumsum(sizes)]).astype(np.int64)
-    row_of = np.searchsorted(plan.length, np.arange(window + 2))
-    shared = docs.sparkSession.sparkContext.broadcast((plan, before, edges, row_of))
+    shared = docs.sparkSession.sparkContext.broadcast((plan, before, before_whole, edges))
 
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan, before, edges, row_of = shared.value
+        plan, before, before_whole, _ = shared.value
         # one sorted key for the plan rows of all lengths
         order = plan.length.astype(float) * 2.0**40 + plan.first
         for pdf in parts:
             n = pdf["length"].to_numpy()
-            number = before[n, pdf["part"].to_numpy()] + pdf["number"].to_numpy() - 1
+            part = pdf["part"].to_numpy()
+            ahead = np.where(n == window, before_whole[part % whole_parts], before[n, part % PARTS])
+            number = ahead + pdf["number"].to_numpy() - 1
             open_ = number >= plan.open_from[n]
             j = np.where(open_, 0, np.maximum(np.searchsorted(order, n * 2.0**40 + number, "right") - 1, 0))
             if len(plan.length):
@@ -175,7 +188,7 @@ def pack(docs: DataFrame, vocab_path: str, window: int = 1024, end_id: int = 0,
     placed = numbered.mapInPandas(place, kept_schema + piece + ", sequence_id long, offset long")
     if plan.tail:
         placed = _cut_tail(saved(placed), d, cols, kept_schema, plan.windows, window, edges, vocab_path, end_id)
-    return placed.select(F.col("id").alias("doc_id"), *keep, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return placed.select(F.col("id").alias("doc_id"), *[F.col(n).alias(c) for n, c in kept.items()], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def _cut_tail(placed: DataFrame, d: DataFrame, cols: list[str], kept: str, windows: int, window: int, edges: np.ndarray, vocab_path: str, end_id: int) -> DataFrame:
@@ -219,7 +232,8 @@ def _cut_tail(placed: DataFrame, d: DataFrame, cols: list[str], kept: str, windo
     whole_rows = tail.where(inside).select(*cols, F.lit(None).cast("string").alias("_text"), item)
     # Equal rows share a key: each text row is matched once, to all cut pieces of that key.
     cuts = tail.where(~inside).select(*cols, item)
-    keys = cuts.select("id", "h").distinct()  # as many as the tail has windows, at most
+    keys = saved(cuts.select("id", "h").distinct())  # as many as the tail has windows, at most
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
     docs = d.select("id", "h", "_text")
     texts = docs.join(keys, _same(docs, keys), "left_semi").dropDuplicates(["id", "h"])
     cut_rows = cuts.join(texts, _same(cuts, texts), "left").select(*[cuts[c] for c in cols], "_text", "tails")
