@@ -8,18 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctph, langid, lm_score, neardup, packing, quality, spm, topk, url_filters, wrappers
-from .common import fold_of, table
+from .common import fold_of, table, vocab
+from .pipeline import run
 
 #: The rules of the url query.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
-def vocab(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -41,7 +36,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size")
+    return out.select(F.col("id").alias("doc_id"), "class_id", "class_size", "class_node")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +70,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
