@@ -1,59 +1,5 @@
-"""The corpus pipeline: quality, language, near-duplicates, packing.
+"""The corpus pipeline: quality, language, near-duplicates, packing. The stages are in marketloom.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that
-is written as Parquet and read again for the next. All but the last return the columns of documents.
-"""
+from marketloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from marketloom.llm import langid, neardup, packing, quality
-from marketloom.llm.common import checkpoint_dir, fold_of, table
-from marketloom.llm.queries import vocab
-
-QUALITY_LEAST = 0.3
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose quality score is at least QUALITY_LEAST. Folds as in the query."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 5) == 0)
-    return quality.score(docs, model, docs.columns, out="__quality").where(F.col("__quality") >= QUALITY_LEAST).select(docs.columns)
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that have a language: those without a letter go."""
-    model = langid.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
-    return langid.predict(docs, model, docs.columns, out=("__lang", "__sure")).where(F.col("__lang") != langid.UNKNOWN).select(docs.columns)
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class: that of least id and of least node among those. Rows are told apart by id and text."""
-    rows = neardup.rows_by_class(docs)
-    stay = rows.groupBy("class_node").agg(F.min(F.struct("id", "node")).alias("row")).select(F.col("row.id").alias("__id"), F.col("row.node").alias("__node"))
-    d = docs.withColumns({"__id": neardup.id_of(F.col("doc_id")), "__node": neardup.node_of(F.col("text"))})
-    return d.join(stay, ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"]).select(docs.columns)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with each document's language and source."""
-    return packing.pack(docs, vocab("byte_bpe_50k.json"), keep=("lang", "source"))
-
-
-STAGES = [("quality classifier", quality_stage), ("language id", language_stage), ("near duplicates", near_duplicate_stage), ("packing", packing_stage)]
-
-#: No stage can be expressed in SQL; tests hold the result against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    at = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
-        docs = spark.read.parquet(f"{at}/{i}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
