@@ -28,8 +28,8 @@ BANDS, ROWS = 15, 3
 AGREE = 24
 #: Weight = count * (1 + IDF_SHARE * ln((1 + n) / (1 + df)) / ln(1 + n)): from 1 to 1 + IDF_SHARE.
 IDF_SHARE = 0.3
-#: A part of a bucket compares about so many pairs.
-MEET = 200_000
+#: Open texts of a bucket, and its texts, in one block.
+OPEN_BLOCK, ALL_BLOCK = 1024, 4096
 _BITS = 14
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _draw = np.random.default_rng(13)
@@ -128,59 +128,110 @@ def _counts(x: dict, at: np.ndarray) -> np.ndarray:
     return np.frombuffer(x["counts"], "<u4")[at] if x["counts"] else np.ones(len(at), np.uint32)
 
 
+def _similarity(x: dict, y: dict) -> float:
+    """The larger of the weighted and the plain Jaccard similarity of two signatures."""
+    _, p, q = np.intersect1d(unpack_keys(x["keys"]), unpack_keys(y["keys"]), assume_unique=True, return_indices=True)
+    low = float(np.minimum(np.frombuffer(x["weights"], "<f4")[p], np.frombuffer(y["weights"], "<f4")[q]).sum(dtype=float))
+    plain = int(np.minimum(_counts(x, p), _counts(y, q)).sum())
+    return max(low / (x["total"] + y["total"] - low), plain / (x["size"] + y["size"] - plain))
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) whose weighted or plain Jaccard similarity reaches the threshold, and the larger of both."""
-    s = sigs.select("id", "total", "size", "keys", "weights", "counts")
-    one = s.select(F.col("id").alias("a"), F.struct("total", "size", "keys", "weights", "counts").alias("x"))
-    two = s.select(F.col("id").alias("b"), F.struct("total", "size", "keys", "weights", "counts").alias("y"))
-    both = pairs.join(two, "b").join(one, "a")
+    s = sigs.select("id", F.struct("total", "size", "keys", "weights", "counts").alias("s"))
+    both = pairs.join(s.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(s.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            sims = []
-            for x, y in zip(pdf["x"], pdf["y"], strict=True):
-                _, p, q = np.intersect1d(unpack_keys(x["keys"]), unpack_keys(y["keys"]), assume_unique=True, return_indices=True)
-                low = float(np.minimum(np.frombuffer(x["weights"], "<f4")[p], np.frombuffer(y["weights"], "<f4")[q]).sum(dtype=float))
-                plain = int(np.minimum(_counts(x, p), _counts(y, q)).sum())
-                sims.append(max(low / (x["total"] + y["total"] - low), plain / (x["size"] + y["size"] - plain)))
-            yield pdf[["a", "b"]].assign(similarity=sims)
+            yield pdf[["a", "b"]].assign(similarity=[_similarity(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)])
 
     return both.mapInPandas(run, "a long, b long, similarity double").where(F.col("similarity") >= threshold - 1e-6)
 
 
+def _block_links(rows: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Links that connect the open texts of a block with all that are like them. rows: asks (open text or partner), id, band,
+    alike (to the bucket's head), and signatures.
+
+    A pair is compared if the block is its first common band, its weights leave it possible, its samples agree as often as
+    those of pairs at that similarity do, and the two are not connected yet.
+    """
+    one, two = rows[rows["asks"]], rows[~rows["asks"]].sort_values("id")
+    if not len(one) or not len(two):
+        return []
+    ids, band = two["id"].to_numpy(), int(rows["band"].iloc[0])
+    total, most = two["total"].to_numpy(), two["most"].to_numpy()
+    samples, bands = np.stack(two["samples"].to_list()), np.stack(two["bands"].to_list())[:, :band]
+    root = np.where(two["alike"].to_numpy(), -1, np.arange(len(two)))  # the head's class, or its own
+    sigs, out = two[["total", "size", "keys", "weights", "counts"]].to_dict("records"), []
+    for i, t, m, own, mine in zip(one["id"], one["total"], one["most"], one["samples"], one["bands"], strict=True):
+        at = int(np.searchsorted(ids, i))
+        here = at < len(ids) and ids[at] == i
+        fits = (ids != i) & (total <= m) & (t <= most) & ((samples == own).sum(1) >= AGREE) & ~(bands == np.asarray(mine)[:band]).any(1)
+        seen: set[int] = set()
+        x = None
+        for j in np.flatnonzero(fits).tolist():
+            if (root[j] == root[at]) if here else (int(root[j]) in seen):
+                continue
+            if x is None:
+                x = sigs[at] if here else one[one["id"] == i][["total", "size", "keys", "weights", "counts"]].to_dict("records")[0]
+            if _similarity(x, sigs[j]) >= threshold - 1e-6:
+                out.append((i, int(ids[j])))
+                if here:
+                    root[root == root[at]] = root[j]
+                else:
+                    seen.add(int(root[j]))
+    return out
+
+
 def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): links that connect all texts that are alike and share a bucket of some band.
 
-    First, the least id of each bucket is compared with all others there; texts like it are settled. Each text
-    that isn't is then compared with all texts of its bucket that its weights leave possible: a similarity of s (the
-    loose one, so that it holds for plain similarity too) needs an overlap of s / (1 + s) of both totals, and no overlap is above what either text holds in common with
-    others. Their samples must agree as often as samples of pairs at that similarity do, and a pair is taken from its
-    first common band only. In a group of edited copies, that leaves few besides those like the group's head.
+    First, each bucket's head, the text that shares most of its weight with others, is compared with all others there;
+    texts like it are settled. Each open text, one that isn't, is then compared with all texts of its bucket that its
+    weights and samples leave possible: a similarity of s (the loose one, so that it holds for plain similarity too) needs
+    an overlap of s / (1 + s) of both totals, and no overlap is above what either text holds in common with others.
+    Signatures go to the blocks of a bucket, of at most OPEN_BLOCK open texts and ALL_BLOCK others, and only links
+    leave them, so pairs of a large group are never rows.
     """
     factor = (1 + loose(threshold)) / loose(threshold)
-    fits = lambda x, y: (F.col(f"{y}.total") <= F.col(f"{x}.most")) & (F.col(f"{x}.total") <= F.col(f"{y}.most"))
-    left = sigs.select("id", "total", (F.col("common") * factor - F.col("total") + 1e-6 * F.col("total")).alias("most"), "bands", "samples", F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["id", "total", "bucket"])
-    heads = saved(left.groupBy("bucket").agg(F.min_by(F.struct("id", "total", "most"), "id").alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "h"))
-    near = saved(left.join(heads, "bucket").where("id <> h.id").select("bucket", F.col("h.id").alias("a"), F.col("id").alias("b"), "band", F.struct("id", "total", "most", "bands", "samples").alias("x"), "h").withColumn("fits", fits("h", "x")).drop("h"))
-    first = saved(near.where("fits").select("a", "b").distinct())
-    good = saved(_verified(first, sigs, threshold).select("a", "b").distinct())
-    rest = near.join(good.withColumn("alike", F.lit(True)), ["a", "b"], "left").select("bucket", "band", "x", F.col("alike").isNotNull().alias("alike"))
-    # Texts of a bucket meet only those of like weight: their totals differ by less than a step of `bin`, so that they are
-    # in the same bin or the next. The open texts of a large bucket are dealt to parts, each of which has all the others.
-    bin_of = F.floor(F.log(F.greatest(F.col("x.total"), F.lit(1e-9))) / float(np.log(factor - 1 + 1e-3))).cast("int")
-    rest = saved(rest.withColumn("bin", bin_of))
-    large = saved(rest.groupBy("bucket").agg(F.count_if(~F.col("alike")).alias("open"), F.count(F.lit(1)).alias("n")).where(F.col("open") > 0))
-    parts = F.ceil(F.col("open") * F.col("n") / MEET).cast("int")
-    large = large.select("bucket", F.least(parts, F.col("open").cast("int")).alias("parts"))
-    near_bins = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))
-    open_ = rest.where("NOT alike").join(large, "bucket").select("bucket", "band", "x", F.pmod(F.col("x.id"), F.col("parts")).cast("int").alias("part"), near_bins.alias("bin"))
-    every = rest.join(large, "bucket").select("bucket", "bin", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    new = ~F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("band")), F.slice("y.bands", F.lit(1), F.col("band")))
-    agree = F.size(F.filter(F.zip_with("x.samples", "y.samples", lambda a, b: a == b), lambda e: e)) >= AGREE
-    more = open_.join(every, ["bucket", "bin", "part"]).where((F.col("x.id") != F.col("y.id")) & fits("x", "y") & new & agree)
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = saved(more.join(first, ["a", "b"], "left_anti"))
-    return good.unionByName(_verified(more, sigs, threshold).select("a", "b"))
+    left = sigs.select("id", "total", "common", (F.col("common") * factor - F.col("total") + 1e-6 * F.col("total")).alias("most"), F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["id", "bucket"])
+    heads = left.groupBy("bucket").agg(F.max_by(F.struct("id", "total", "most"), F.struct(F.col("common") / F.col("total"), -F.col("id"))).alias("h"), F.count(F.lit(1)).alias("n"))
+    heads = saved(heads.where("n > 1").select("bucket", "h", "n"))
+    fits = (F.col("total") <= F.col("h.most")) & (F.col("h.total") <= F.col("most"))
+    near = saved(left.join(heads, "bucket").where("id <> h.id").select("bucket", "band", F.col("h.id").alias("a"), F.col("id").alias("b"), "most", fits.alias("fits")))
+    good = saved(_verified(near.where("fits").select("a", "b").distinct(), sigs, threshold).select("a", "b").distinct())
+    rest = saved(near.join(good.withColumn("alike", F.lit(True)), ["a", "b"], "left").select("bucket", "band", F.col("b").alias("id"), "most", F.col("alike").isNotNull().alias("alike")))
+    # The head was compared with all others, so a bucket of two texts is done.
+    large = rest.groupBy("bucket").agg(F.count_if(~F.col("alike")).alias("open"), F.count(F.lit(1)).alias("n")).where("open > 0 AND n > 1")
+    large = large.select("bucket", F.ceil(F.col("open") / OPEN_BLOCK).cast("int").alias("p"), F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("q"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rest = rest.join(large, "bucket")
+    asking = rest.where("NOT alike").select("bucket", "band", "id", "most", "alike", F.lit(True).alias("asks"), part("p").alias("p"), F.explode(every("q")).alias("q"))
+    asked = rest.select("bucket", "band", "id", "most", "alike", F.lit(False).alias("asks"), F.explode(every("p")).alias("p"), part("q").alias("q"))
+    full = asking.unionByName(asked).join(sigs.select("id", "total", "size", "keys", "weights", "counts", "bands", "samples"), "id")
+    full = full.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        key = None
+        for pdf in parts:
+            keys = list(zip(pdf["bucket"], pdf["p"], pdf["q"], strict=True))
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi:
+                    if key is not None and keys[lo] != key:
+                        out += _block_links(pd.concat(held), threshold)
+                        held = []
+                    key = keys[lo]
+                    held.append(pdf.iloc[lo:hi])
+            yield pd.DataFrame(out, columns=["a", "b"])
+        if held:
+            yield pd.DataFrame(_block_links(pd.concat(held), threshold), columns=["a", "b"])
+
+    more = full.mapInPandas(run, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return good.unionByName(saved(more))
 
 
 def node_of(text: Column) -> Column:

@@ -304,7 +304,8 @@ def test_counts_beyond_32_bits():
 
 def test_near_duplicates_of_a_common_passage(spark, monkeypatch):
     """Many texts around one passage: alike or not is settled pair by pair, though all share buckets."""
-    monkeypatch.setattr(neardup, "MEET", 50)
+    monkeypatch.setattr(neardup, "OPEN_BLOCK", 7)
+    monkeypatch.setattr(neardup, "ALL_BLOCK", 13)
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(3000)]
     common = list(rng.choice(words, 120))
