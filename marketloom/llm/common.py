@@ -38,6 +38,25 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with so many rows may be hot.
+HOT = 100
+
+
+def join_spread(d: DataFrame, t: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """d joined with t, which has one row for each key and, in column n, how many of d's `rows` rows have it.
+
+    Keys with more than HOT rows, and more than an eighth of a partition's share of all, are so few (8 for each partition
+    at most) that their rows of t are broadcast, and their rows of d stay where they are. All others meet by shuffle.
+    """
+    bound = max(HOT, rows // (8 * shuffle_partitions(d.sparkSession)))
+    hot = t.where(F.col(n) > bound)
+    if hot.limit(1).count() == 0:
+        return d.join(t, key)
+    marked = d.join(F.broadcast(hot), key, "left")
+    rest = marked.where(F.col(n).isNull()).select(*d.columns).join(t.where(F.col(n) <= bound), key)
+    return marked.where(F.col(n).isNotNull()).unionByName(rest)
+
+
 def vocab(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers

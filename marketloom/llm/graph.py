@@ -5,26 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
-
-#: A node with so many rows may be a hub.
-HUB = 100
+from .common import join_spread, saved
 
 
 def _with_least(d: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """d (u, v) with m, the least v of each u; and the table u, m.
-
-    Nodes with more than HUB rows, and more than an eighth of a partition's share of all, are hubs: so few (8 for each
-    partition at most) that they are broadcast, and their rows stay where they are. All others meet by shuffle.
-    """
-    bound = max(HUB, rows // (8 * shuffle_partitions(d.sparkSession)))
+    """d (u, v) with m, the least v of each u; and the table u, m, n."""
     low = saved(d.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
-    hubs = low.where(F.col("n") > bound).select("u", "m")
-    if hubs.limit(1).count() == 0:
-        return d.join(low.select("u", "m"), "u"), low
-    marked = d.join(F.broadcast(hubs), "u", "left")
-    rest = marked.where("m IS NULL").drop("m").join(low.where(F.col("n") <= bound).select("u", "m"), "u")
-    return marked.where("m IS NOT NULL").unionByName(rest), low
+    return join_spread(d, low, "u", "n", rows), low
 
 
 def _stars(pairs: DataFrame, rows: int) -> DataFrame:

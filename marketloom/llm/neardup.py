@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import join_spread, saved
 from .corpus_counts import chunk_of, corpus_counts, pack_keys, sum_keys, unpack_counts, unpack_keys
 from .graph import connected_components
 from .word_hash import mix, windows, word_hashes
@@ -195,18 +195,20 @@ def links(sigs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     factor = (1 + loose(threshold)) / loose(threshold)
     left = sigs.select("id", "total", "common", (F.col("common") * factor - F.col("total") + 1e-6 * F.col("total")).alias("most"), F.posexplode("bands").alias("band", "bucket")).dropDuplicates(["id", "bucket"])
+    left = saved(left)
     heads = left.groupBy("bucket").agg(F.max_by(F.struct("id", "total", "most"), F.struct(F.col("common") / F.col("total"), -F.col("id"))).alias("h"), F.count(F.lit(1)).alias("n"))
     heads = saved(heads.where("n > 1").select("bucket", "h", "n"))
     fits = (F.col("total") <= F.col("h.most")) & (F.col("h.total") <= F.col("most"))
-    near = saved(left.join(heads, "bucket").where("id <> h.id").select("bucket", "band", F.col("h.id").alias("a"), F.col("id").alias("b"), "most", fits.alias("fits")))
+    size = heads.agg(F.sum("n")).first()[0] or 0
+    near = saved(join_spread(left, heads, "bucket", "n", size).where("id <> h.id").select("bucket", "band", F.col("h.id").alias("a"), F.col("id").alias("b"), "most", fits.alias("fits")))
     good = saved(_verified(near.where("fits").select("a", "b").distinct(), sigs, threshold).select("a", "b").distinct())
     rest = saved(near.join(good.withColumn("alike", F.lit(True)), ["a", "b"], "left").select("bucket", "band", F.col("b").alias("id"), "most", F.col("alike").isNotNull().alias("alike")))
     # The head was compared with all others, so a bucket of two texts is done.
     large = rest.groupBy("bucket").agg(F.count_if(~F.col("alike")).alias("open"), F.count(F.lit(1)).alias("n")).where("open > 0 AND n > 1")
-    large = large.select("bucket", F.ceil(F.col("open") / OPEN_BLOCK).cast("int").alias("p"), F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("q"))
+    large = saved(large.select("bucket", "n", F.ceil(F.col("open") / OPEN_BLOCK).cast("int").alias("p"), F.ceil(F.col("n") / ALL_BLOCK).cast("int").alias("q")))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    rest = rest.join(large, "bucket")
+    rest = join_spread(rest, large, "bucket", "n", size)
     asking = rest.where("NOT alike").select("bucket", "band", "id", "most", "alike", F.lit(True).alias("asks"), part("p").alias("p"), F.explode(every("q")).alias("q"))
     asked = rest.select("bucket", "band", "id", "most", "alike", F.lit(False).alias("asks"), F.explode(every("p")).alias("p"), part("q").alias("q"))
     full = asking.unionByName(asked).join(sigs.select("id", "total", "size", "keys", "weights", "counts", "bands", "samples"), "id")
