@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 #: Phrases that give away a later price.
-LEAKAGE_PHRASES = ("stock soared", "shares jumped", "shares fell", "stock plunged", "after hours", "closed higher")
+LEAKAGE_PHRASES = ("shares surged", "shares plunged", "stock rises after", "stock falls after", "trading higher after", "trading lower after")
 CLASS_BOUNDS = (-0.03, -0.0075, 0.0075, 0.03)
 
 
@@ -23,12 +23,13 @@ def next_trading_day(news: DataFrame, calendar: DataFrame, same_day_before: int
     """
     day = F.to_date("timestamp_utc")
     early = F.lit(False) if same_day_before is None else F.hour("timestamp_utc") < same_day_before
-    cols = news.columns
-    n = news.withColumns({"_day": F.when(early, F.date_sub(day, 1)).otherwise(day), "_kind": F.lit(1), "_trade": F.lit(None).cast("date"), "_row": F.struct(*cols)}).select("ticker", "_day", "_kind", "_trade", "_row")
-    c = calendar.select("ticker", F.col("date").alias("_day"), F.lit(0).alias("_kind"), F.col("date").alias("_trade"), F.lit(None).cast(n.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy("ticker").orderBy("_day", "_kind").rowsBetween(1, Window.unboundedFollowing)
-    d = n.unionByName(c).withColumn("event_date", F.first("_trade", ignorenulls=True).over(w))
-    return d.where("_kind = 1 AND event_date IS NOT NULL").select("_row.*", "event_date")
+    d = news.withColumn("_day", F.when(early, F.date_sub(day, 1)).otherwise(day))
+    # Only distinct (ticker, day) go through the window, so neither texts nor a ticker's many items of a day are sorted.
+    days = d.select("ticker", F.col("_day").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("date").alias("trade")).distinct()
+    c = calendar.select("ticker", F.col("date").alias("at"), F.lit(0).alias("kind"), F.col("date").alias("trade"))
+    w = Window.partitionBy("ticker").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    table = days.unionByName(c).withColumn("event_date", F.last("trade", ignorenulls=True).over(w)).where("kind = 1 AND event_date IS NOT NULL")
+    return d.join(table.select("ticker", F.col("at").alias("_day"), "event_date"), ["ticker", "_day"]).select(*news.columns, "event_date")
 
 
 def prior_window(bars: DataFrame, n: int = 60) -> DataFrame:
@@ -134,3 +135,55 @@ def majority_class(df: DataFrame, label: str) -> DataFrame:
 def overlap_count(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many keys of a are in b; 0 for a clean split."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi").agg(F.count(F.lit(1)).alias("n_overlap"))
+
+
+def feature_join(samples: DataFrame, features: DataFrame, drop: tuple[str, ...] = ("date", "open", "high", "low", "close", "adj_close", "volume", "raw_file")) -> DataFrame:
+    """Each sample with the features of its ticker on its window's last day, so that none is later; raw prices go."""
+    f = features.withColumnRenamed("date", "window_end_date")
+    return samples.join(f, ["ticker", "window_end_date"]).drop(*[c for c in drop if c in features.columns])
+
+
+def point_in_time_violations(df: DataFrame, known: str = "window_end_date", event: str = "event_date") -> DataFrame:
+    """One row: how many rows know a day that is not before their event."""
+    return df.agg(F.count_if(F.col(known) >= F.col(event)).alias("n_late"))
+
+
+def align_to_trading_days(samples: DataFrame, messages: DataFrame, most: int) -> DataFrame:
+    """sample_id, date, n_msgs, msgs: messages of a sample's window on the first of its trading days that is later.
+
+    samples: sample_id, ticker, dates (array, ordered); messages: ticker, day, id, text. Messages on or after the last
+    date or before the first day of the lookback (samples' column first_day) take no part; samples with a trading day
+    without messages are left out; a day keeps its first `most`.
+    """
+    s = samples.select("sample_id", "ticker", "dates", F.explode(F.sequence(F.col("first_day"), F.date_sub(F.element_at("dates", -1), 1))).alias("day"))
+    j = s.join(messages, ["ticker", "day"])
+    at = F.array_min(F.filter("dates", lambda t: t > F.col("day")))
+    d = j.select("sample_id", F.size("dates").alias("n_days"), at.alias("date"), "day", "id", "text")
+    g = d.groupBy("sample_id", "n_days", "date").agg(F.array_sort(F.collect_list(F.struct("day", "id", "text"))).alias("m"))
+    g = g.withColumn("_have", F.count(F.lit(1)).over(Window.partitionBy("sample_id"))).where("_have = n_days")
+    return g.select("sample_id", "date", F.least(F.size("m"), F.lit(most)).alias("n_msgs"), F.transform(F.slice("m", 1, most), lambda x: x["text"]).alias("msgs"))
+
+
+def zip_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Columns of two tables side by side by an explicit row key; b's columns that a has too are left out."""
+    return a.join(b.select(key, *[c for c in b.columns if c not in a.columns]), key)
+
+
+def sentiment_label(change: Column) -> Column:
+    return F.when(change > 0, "Positive").otherwise("Negative")
+
+
+def phase_filter(df: DataFrame, phases: dict[str, tuple[str, str]], date: str = "date") -> DataFrame:
+    """phase of each row by half-open date ranges; rows in none are left out."""
+    phase = F.lit(None).cast("string")
+    for name, (start, end) in phases.items():
+        phase = F.when((F.col(date) >= F.lit(start).cast("date")) & (F.col(date) < F.lit(end).cast("date")), name).otherwise(phase)
+    return df.withColumn("phase", phase).where("phase IS NOT NULL")
+
+
+def movement_series(bars: DataFrame, phases: dict[str, tuple[str, str]], days: int = 5) -> DataFrame:
+    """phase, ticker, date, movement of all rows that have a price lookback and are not flat."""
+    w = by_ticker()
+    m = bars.withColumn("movement", F.try_divide("adj_close", F.lag("adj_close").over(w)) - 1).select("ticker", "date", "movement")
+    d = price_lookback(bars, days).select("ticker", "date").join(m, ["ticker", "date"])
+    return phase_filter(drop_flat(d.where("movement IS NOT NULL"), "movement"), phases).select("phase", "ticker", "date", "movement")

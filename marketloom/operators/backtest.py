@@ -9,11 +9,15 @@ from pyspark.sql.window import Window
 from ..functions.text import flip_regime, render
 
 
+#: Fixed value: the token that stands for all technicals.
+NEUTRAL_TOKEN = "[TECH_NEUTRAL: All indicators are neutral and uninformative]"
+
+
 def counterfactuals(df: DataFrame, template: str) -> DataFrame:
-    """Four prompts a sample: as it is, without news, with neutral technicals, with the regime turned round."""
-    tokens = F.col("technical_event_tokens")
-    kinds = [("ORIGINAL", F.col("headline"), tokens), ("CF_NEWS_REMOVE", F.lit("No relevant news."), tokens), ("CF_TECH_NEUTRALIZE", F.col("headline"), F.array(F.lit("[TECH_NEUTRAL]"))), ("CF_REGIME_FLIP", F.col("headline"), flip_regime(tokens))]
-    rows = F.array(*[F.struct(F.lit(k).alias("cf_type"), render(template, headline=h, technical_event_tokens=F.array_join(t, "\n")).alias("prompt")) for k, h, t in kinds])
+    """Four prompts a sample: as it is, without news, with neutral technicals, with the regime turned round. Missing news or tokens are empty."""
+    news, tokens = F.coalesce("headline", F.lit("")), F.coalesce(F.array_join("technical_event_tokens", "\n"), F.lit(""))
+    kinds = [("ORIGINAL", news, tokens), ("CF_NEWS_REMOVE", F.lit(""), tokens), ("CF_TECH_NEUTRALIZE", news, F.lit(NEUTRAL_TOKEN)), ("CF_REGIME_FLIP", news, flip_regime(tokens))]
+    rows = F.array(*[F.struct(F.lit(k).alias("cf_type"), render(template, headline=h, technical_event_tokens=t).alias("prompt")) for k, h, t in kinds])
     return df.select("sample_id", F.explode(rows).alias("x")).select("sample_id", "x.*")
 
 
@@ -39,24 +43,31 @@ def strategy_return(act: Column, r: Column, cost: float = 0.0005) -> Column:
 def equity_curve(df: DataFrame, date: str = "window_end_date", key: str = "sample_id", r: str = "strategy_return") -> DataFrame:
     """Cumulative product, its running maximum and the drawdown, in (date, key) order.
 
-    Dates are summed first; only the table of dates is scanned in order. Returns must be above -1.
+    Dates are summed first; only the table of dates is scanned in order. The product is kept as the sum of logarithms
+    of magnitudes, the count of negative factors and that of zeros, so that any return is folded, also one of -1 or less.
     """
-    days = df.groupBy(date).agg(F.sum(F.log1p(r)).alias("_s"))
+    f = 1 + F.col(r)
+    d = df.withColumns({"_l": F.when(f != 0, F.ln(F.abs(f))).otherwise(0.0), "_m": (f < 0).cast("long"), "_z": (f == 0).cast("long")})
+    parts = ("_l", "_m", "_z")
+    days = d.groupBy(date).agg(*[F.sum(c).alias(c) for c in parts])
     w = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    before = days.select(date, F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_before"))
+    before = days.select(date, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}0") for c in parts])
     in_day = Window.partitionBy(date).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.join(before, date).withColumn("equity", F.exp(F.col("_before") + F.sum(F.log1p(r)).over(in_day)))
-    tops = d.groupBy(date).agg(F.max("equity").alias("_top"))
-    tops = tops.select(date, F.max("_top").over(w).alias("_high"))
+    so_far = {c: F.col(f"{c}0") + F.coalesce(F.sum(c).over(in_day), F.lit(0)) for c in parts}
+    d = d.join(before, date).withColumns(so_far)
+    d = d.withColumn("equity", F.when(F.col("_z") > 0, 0.0).otherwise(F.when(F.col("_m") % 2 == 1, -1.0).otherwise(1.0) * F.exp("_l")))
+    tops = d.groupBy(date).agg(F.max("equity").alias("_top")).select(date, F.max("_top").over(w).alias("_high"))
     d = d.join(tops, date).withColumn("running_max", F.greatest(F.col("_high"), F.max("equity").over(in_day)))
-    return d.withColumn("drawdown", F.col("equity") / F.col("running_max") - 1).drop("_before", "_high")
+    return d.withColumn("drawdown", F.try_divide("equity", "running_max") - 1).drop("_high", *parts, *[f"{c}0" for c in parts])
 
 
 def backtest_metrics(curve: DataFrame, act: str = "action", r: str = "strategy_return", date: str = "window_end_date") -> DataFrame:
     trade = F.col(act) != "hold"
     sd = F.stddev_samp(r)
     down = F.sqrt(F.avg(F.pow(F.least(F.col(r), F.lit(0.0)), F.lit(2.0))))
-    total = F.exp(F.sum(F.log1p(r))) - 1
+    f = 1 + F.col(r)
+    sign = F.when(F.count_if(f == 0) > 0, 0.0).when(F.count_if(f < 0) % 2 == 1, -1.0).otherwise(1.0)
+    total = sign * F.exp(F.sum(F.when(f != 0, F.ln(F.abs(f))))) - 1
     return curve.agg(
         F.count_if(trade).alias("trades"), F.count_if(F.col(act) == "long").alias("longs"), F.count_if(F.col(act) == "short").alias("shorts"), total.alias("total_return"),
         F.coalesce(F.try_divide(F.avg(r), sd) * 252**0.5, F.lit(0.0)).alias("sharpe"), F.coalesce(F.try_divide(F.avg(r), down) * 252**0.5, F.lit(0.0)).alias("sortino"), F.min("drawdown").alias("max_drawdown"),
@@ -81,3 +92,11 @@ def metrics_table(df: DataFrame, method: str, metric: str, value: str, names: tu
 def log_rollup(df: DataFrame, nodeid: str = "nodeid", outcome: str = "outcome") -> DataFrame:
     d = df.groupBy(F.split(nodeid, "::")[0].alias("file"))
     return d.agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col(outcome) == "failed").alias("failed"))
+
+
+def turnover(df: DataFrame, by: str = "ticker", order: str = "window_end_date", act: str = "action") -> DataFrame:
+    """Mean change of position (long 1, short -1, hold 0) from row to row, each ticker from a flat start."""
+    position = F.when(F.col(act) == "long", 1).when(F.col(act) == "short", -1).otherwise(0)
+    d = df.withColumn("_p", position)
+    change = F.abs(F.col("_p") - F.coalesce(F.lag("_p").over(Window.partitionBy(by).orderBy(order)), F.lit(0)))
+    return d.select(change.alias("_c")).agg(F.avg("_c").alias("turnover"))

@@ -63,6 +63,10 @@ def length_filter(df: DataFrame, col: str, least: int = 0, most: int | None = No
     return df.where((n >= least) & (F.lit(True) if most is None else n <= most))
 
 
+def truncate_text(x: Column, most: int) -> Column:
+    return F.substring(x, 1, most)
+
+
 def extract_answer(x: Column, sep: str = "#### ") -> Column:
     return F.try_element_at(F.split(x, sep), F.lit(2))
 

@@ -153,6 +153,36 @@ def event_tokens() -> Column:
 
 def features(bars: DataFrame) -> DataFrame:
     """All indicators, market context and event tokens of each bar."""
-    stock = macd(indicators(bars))
-    out = relative_strength(stock, market(stock.select("date", "ret_1d")))
+    stock = indicators(bars)
+    mkt = market(stock.select("date", "ret_1d"))  # taken before the recursions, which run in Python once
+    out = relative_strength(macd(stock), mkt)
     return out.withColumn("technical_event_tokens", event_tokens())
+
+
+def token_report(df: DataFrame, tokens: str = "technical_event_tokens") -> DataFrame:
+    """One row: rows, share without tokens, rows of each regime, and the tokens of the first row (by ticker and date) that has any."""
+    has = F.size(tokens) > 0
+    return df.agg(
+        F.count(F.lit(1)).alias("token_rows"), F.avg((~has).cast("double")).alias("missing_rate"), *[F.count_if(F.col("regime_label") == x).alias(x) for x in ("low_vol", "normal_vol", "high_vol")],
+        F.min_by(F.array_join(tokens, ", "), F.when(has, F.struct("ticker", "date"))).alias("example_tokens"),
+    )
+
+
+def trend_sign(x: str = "close", n: int = 20) -> Column:
+    """1 above, -1 below, 0 at the moving average (to nine decimals) or before there is one."""
+    return F.coalesce(F.signum(F.round(F.col(x) - full(F.avg(x), x, n), 9)), F.lit(0.0)).cast("int")
+
+
+def timeframe_features(ticks: DataFrame, width: str = "1 hour", ts: str = "ts", px: str = "px", tie: str = "event_id", atr: int = 14, sma: int = 20) -> DataFrame:
+    """Bars of one width, those without ticks filled from the bar before (no ticks), with average range and trend; nulls are 0.
+
+    The first row's range is high - low: the reference's wrap to the last close is left out.
+    """
+    b = resample(ticks, width, ts, px, tie)
+    ends = b.groupBy("ticker").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
+    every = ends.select("ticker", F.explode(F.sequence("a", "z", F.expr(f"INTERVAL {width}"))).alias("bar"))
+    d = forward_fill(every.join(b, ["ticker", "bar"], "left"), ["open", "high", "low", "close"], order="bar").fillna({"n_ticks": 0}).withColumnRenamed("bar", "date")
+    d = d.withColumn("_prev", F.lag("close").over(by_ticker()))
+    d = d.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev"))))
+    d = d.withColumns({"atr": F.coalesce(full(F.avg("_range"), "_range", atr), F.lit(0.0)), "trend": trend_sign("close", sma)})
+    return d.drop("_prev", "_range").withColumnRenamed("date", "bar")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import total
+from ..functions.text import softmax, total
 
 
 def confusion(df: DataFrame, names: tuple[str, ...], true: str = "true_label", pred: str = "pred_label", unknown: str = "Neutral") -> DataFrame:
@@ -84,31 +84,18 @@ def sigmoid(x: Column) -> Column:
 LOSSES = ("sigmoid", "robust", "exo_pair", "hinge", "ipo", "bco_pair", "sppo_hard", "nca_pair", "aot_pair", "aot", "apo_zero", "apo_down", "discopop")
 
 
-def preference_loss(df: DataFrame, kind: str, beta: float = 0.1, eps: float = 0.0, tau: float = 0.05, delta: float = 0.0, divergence: str = "kl", alpha: float = 1.0, key: str = "pair_id") -> DataFrame:
-    """A loss for each pair. df: pair_id, c, r, c0, r0 log-probabilities of policy and reference.
-
-    aot losses pair the sorted values of both sides; ranks come from key-range counts, not from one sort in one task.
-    """
-    c, r, c0, r0 = (F.col(x) for x in ("c", "r", "c0", "r0"))
-    big_c, big_r = c - c0, r - r0
+def pair_loss(kind: str, beta: float = 0.1, eps: float = 0.0, tau: float = 0.05, delta: float = 0.0, divergence: str = "kl", alpha: float = 1.0) -> Column:
+    """The loss of a pair as a column over c, r, c0, r0, for all kinds but the aot ones, which sort."""
+    big_c, big_r = F.col("c") - F.col("c0"), F.col("r") - F.col("r0")
     z = big_c - big_r
     if divergence == "alpha":
         z = (F.exp(F.least(-alpha * big_r, F.lit(80.0))) - F.exp(F.least(-alpha * big_c, F.lit(80.0)))) / alpha
     elif divergence == "js":
         z = z - (softplus(big_c) - softplus(big_r))
-    ls = log_sigmoid
-    smooth = lambda d: -ls(beta * d) * (1 - eps) - ls(-beta * d) * eps
-    if kind in ("aot", "aot_pair"):
-        from ..sources.io import numbered
-
-        one, two = (big_c, big_r) if kind == "aot_pair" else (c - r, c0 - r0)
-        a = numbered(df.select(one.alias("x")), "x").select("n", "x")
-        b = numbered(df.select(two.alias("y")), "y").select("n", "y")
-        return a.join(b, "n").select(F.col("n").alias(key), smooth(F.col("x") - F.col("y")).alias("loss"))
-    e = eps or 1e-3
+    ls, e = log_sigmoid, eps or 1e-3
     m = sigmoid(beta * z / tau)
-    loss = {
-        "sigmoid": lambda: smooth(z),
+    return {
+        "sigmoid": lambda: -ls(beta * z) * (1 - eps) - ls(-beta * z) * eps,
         "robust": lambda: (-ls(beta * z) * (1 - eps) + ls(-beta * z) * eps) / (1 - 2 * eps),
         "exo_pair": lambda: sigmoid(beta * z) * (ls(beta * z) - F.ln(F.lit(1 - e))) + sigmoid(-beta * z) * (ls(-beta * z) - F.ln(F.lit(e))),
         "hinge": lambda: F.greatest(F.lit(0.0), 1 - beta * z),
@@ -120,7 +107,29 @@ def preference_loss(df: DataFrame, kind: str, beta: float = 0.1, eps: float = 0.
         "apo_down": lambda: sigmoid(beta * big_c) + 1 - sigmoid(beta * (big_c - big_r)),
         "discopop": lambda: -ls(beta * z) * (1 - m) + F.exp(-beta * z) * m,
     }[kind]()
-    return df.select(key, loss.alias("loss"))
+
+
+def mean_losses(df: DataFrame, losses: dict[str, Column]) -> DataFrame:
+    """kind, mean_loss: the means of many losses in one scan."""
+    one = df.agg(*[F.avg(v).alias(k) for k, v in losses.items()])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`{k}`").alias("mean_loss")) for k in losses])).alias("x")).select("x.*")
+
+
+def preference_loss(df: DataFrame, kind: str, beta: float = 0.1, eps: float = 0.0, tau: float = 0.05, delta: float = 0.0, divergence: str = "kl", alpha: float = 1.0, key: str = "pair_id") -> DataFrame:
+    """A loss for each pair. df: pair_id, c, r, c0, r0 log-probabilities of policy and reference.
+
+    aot losses pair the sorted values of both sides; ranks come from key-range counts, not from one sort in one task.
+    """
+    if kind in ("aot", "aot_pair"):
+        from ..sources.io import numbered
+
+        c, r, c0, r0 = (F.col(x) for x in ("c", "r", "c0", "r0"))
+        one, two = (c - c0, r - r0) if kind == "aot_pair" else (c - r, c0 - r0)
+        a = numbered(df.select(one.alias("x")), "x").select("n", "x")
+        b = numbered(df.select(two.alias("y")), "y").select("n", "y")
+        d = F.col("x") - F.col("y")
+        return a.join(b, "n").select(F.col("n").alias(key), (-log_sigmoid(beta * d) * (1 - eps) - log_sigmoid(-beta * d) * eps).alias("loss"))
+    return df.select(key, pair_loss(kind, beta, eps, tau, delta, divergence, alpha).alias("loss"))
 
 
 def preference_metrics(df: DataFrame, beta: float = 0.1) -> DataFrame:
@@ -133,52 +142,81 @@ def reward_loss(chosen: Column, rejected: Column, margin: Column | float = 0.0,
     return softplus(-(chosen - rejected - m)) + center * F.pow(chosen + rejected, F.lit(2.0))
 
 
-def kto_loss(df: DataFrame, batch: str, logratio: str, label: str, kl: str, beta: float = 0.1, desirable: float = 1.0, undesirable: float = 1.0) -> DataFrame:
-    """KTO loss of each row against its batch's mean divergence, not below 0."""
-    k = F.greatest(F.avg(kl).over(Window.partitionBy(batch)), F.lit(0.0))
+def kto_loss(df: DataFrame, batch: str, logratio: str, label: str, kl: str, beta: float = 0.1, desirable: float = 1.0, undesirable: float = 1.0, kind: str = "kto") -> DataFrame:
+    """KTO loss of each row against its batch's mean divergence, not below 0; apo_zero_unpaired takes no divergence."""
     x = F.col(logratio)
+    if kind == "apo_zero_unpaired":
+        return df.withColumn("loss", F.when(F.col(label), desirable * (1 - sigmoid(beta * x))).otherwise(undesirable * sigmoid(beta * x)))
+    means = df.groupBy(batch).agg(F.greatest(F.avg(kl), F.lit(0.0)).alias("_k"))  # one row a batch, summed before the shuffle
+    k = F.col("_k")
     loss = F.when(F.col(label), desirable * (1 - sigmoid(beta * (x - k)))).otherwise(undesirable * (1 - sigmoid(beta * (k - x))))
-    return df.withColumn("loss", loss)
+    return df.join(means, batch).withColumn("loss", loss).drop("_k")
+
+
+def _sums(values: Column, mask: Column) -> Column:
+    """struct(n, s, q): count, sum and sum of squared distances from the mean of the masked values, each worked out once."""
+    kept = F.filter(F.zip_with(values, mask, lambda v, m: F.when(m, v)), lambda v: v.isNotNull())
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda t, x: t + x), F.size(a))
+    with_mean = F.transform(F.array(kept), lambda a: F.struct(a.alias("a"), mean(a).alias("mean")))
+    return F.transform(with_mean, lambda s: F.struct(F.size(s["a"]).alias("n"), s["mean"].alias("mean"), F.aggregate(s["a"], F.lit(0.0), lambda t, x: t + (x - s["mean"]) * (x - s["mean"])).alias("q")))[0]
 
 
 def masked_mean(values: Column, mask: Column) -> Column:
-    s = F.aggregate(F.zip_with(values, mask, lambda v, m: F.when(m, v).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    return F.try_divide(s, F.size(F.filter(mask, lambda m: m)))
+    return _sums(values, mask)["mean"]
 
 
 def masked_var(values: Column, mask: Column) -> Column:
     """With Bessel's correction; null for one value or none."""
-    mu, n = masked_mean(values, mask), F.size(F.filter(mask, lambda m: m))
-    sq = F.aggregate(F.zip_with(values, mask, lambda v, m: F.when(m, (v - mu) * (v - mu)).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    return F.try_divide(sq, n - 1)
+    return F.transform(F.array(_sums(values, mask)), lambda s: F.try_divide(s["q"], s["n"] - 1))[0]
 
 
-def masked_whiten(values: Column, mask: Column) -> Column:
-    mu, var = masked_mean(values, mask), masked_var(values, mask)
-    return F.transform(values, lambda v: (v - mu) / F.sqrt(var + 1e-8))
+def masked_whiten(values: Column, mask: Column, shift_mean: bool = True) -> Column:
+    one = F.transform(F.array(_sums(values, mask)), lambda s: F.struct(s["mean"].alias("mean"), F.sqrt(F.try_divide(s["q"], s["n"] - 1) + 1e-8).alias("sd")))
+    return F.transform(one, lambda s: F.transform(values, lambda v: (v - s["mean"]) / s["sd"] + (F.lit(0.0) if shift_mean else s["mean"])))[0]
 
 
-def kl_rewards(logp: Column, ref: Column, score: Column, coef: float = 0.05) -> Column:
-    """Penalty for each token, the score added at the last one."""
-    pen = F.zip_with(logp, ref, lambda a, b: -coef * (a - b))
-    return F.transform(pen, lambda x, i: F.when(i == F.size(pen) - 1, x + score).otherwise(x))
+def kl_rewards(logp: Column, ref: Column, score: Column, coef: float = 0.05, ended: Column | None = None, penalty: float = 0.0) -> Column:
+    """Penalty for each token, the score added at the last one; there, sequences that have not ended lose `penalty`."""
+    last = F.size(logp) - 1
+    extra = score if ended is None else score - F.when(ended, 0.0).otherwise(penalty)
+    return F.transform(F.zip_with(logp, ref, lambda a, b: -coef * (a - b)), lambda x, i: F.when(i == last, x + extra).otherwise(x))
 
 
 def gae(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95) -> Column:
-    """Advantages of one sequence: the recursion runs from its end."""
+    """Advantages of one sequence: the recursion runs from its end, the newest advantage first."""
     following = F.concat(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0.0)))
     delta = F.zip_with(rewards, F.zip_with(values, following, lambda v, n: gamma * n - v), lambda r, d: r + d)
     empty = F.array().cast("array<double>")
-    back = F.aggregate(F.reverse(delta), empty, lambda acc, d: F.concat(acc, F.array(d + gamma * lam * F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))))
-    return F.reverse(back)
+    return F.aggregate(F.reverse(delta), empty, lambda acc, d: F.concat(F.array(d + gamma * lam * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
+
+
+def gae_returns(rewards: Column, values: Column, gamma: float = 1.0, lam: float = 0.95) -> Column:
+    return F.zip_with(gae(rewards, values, gamma, lam), values, lambda a, v: a + v)
 
 
 def ppo_report(df: DataFrame, new: str, old: str, adv: str, clip: float = 0.2) -> DataFrame:
-    """One row of diagnostics from logged log-probabilities."""
+    """One row of diagnostics from logged log-probabilities; clipped is where the clipped loss is the larger one."""
     d = F.col(new) - F.col(old)
     ratio = F.exp(d)
     kept = F.least(F.greatest(ratio, F.lit(1 - clip)), F.lit(1 + clip))
-    return df.agg(F.avg(F.greatest(-F.col(adv) * ratio, -F.col(adv) * kept)).alias("policy_loss"), F.avg((F.abs(ratio - 1) > clip).cast("double")).alias("clip_fraction"), F.avg(0.5 * d * d).alias("approx_kl"), F.avg(ratio).alias("mean_ratio"))
+    free, clipped = -F.col(adv) * ratio, -F.col(adv) * kept
+    return df.agg(F.avg(F.greatest(free, clipped)).alias("policy_loss"), F.avg((clipped > free).cast("double")).alias("clip_fraction"), F.avg(0.5 * d * d).alias("approx_kl"), F.avg(ratio).alias("mean_ratio"))
+
+
+def value_report(df: DataFrame, new: str, old: str, returns: str, clip: float = 0.2) -> DataFrame:
+    """Value loss with the new value held near the old one, and how often that matters."""
+    near = F.least(F.greatest(F.col(new), F.col(old) - clip), F.col(old) + clip)
+    free, clipped = F.pow(F.col(new) - F.col(returns), F.lit(2.0)), F.pow(near - F.col(returns), F.lit(2.0))
+    return df.agg((0.5 * F.avg(F.greatest(free, clipped))).alias("value_loss"), F.avg((clipped > free).cast("double")).alias("value_clip_fraction"))
+
+
+def logits_entropy(logits: Column) -> Column:
+    """Entropy of the softmax of logits."""
+    return entropy_of(softmax(logits))
+
+
+def entropy_of(p: Column) -> Column:
+    return -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.ln(x)).otherwise(0.0))
 
 
 def wpo_weight(chosen: Column, rejected: Column) -> Column:

@@ -165,7 +165,7 @@ def truncate_after(ids: Column, stop: int, fill: int) -> Column:
     return F.transform(ids, lambda x, i: F.when((at > 0) & (i >= at), fill).otherwise(x))
 
 
-def pack_blocks(df: DataFrame, key: str, ids: str, sep: int, length: int, parts: int = 64) -> DataFrame:
+def pack_blocks(df: DataFrame, key: str, ids: str, sep: int | str, length: int, parts: int = 64) -> DataFrame:
     """Rows laid end to end in key order, each with a separator, cut into blocks of one length; the rest is dropped.
 
     Offsets come from the sizes of key ranges (`parts` rows) and a window inside each range.
@@ -179,9 +179,14 @@ def pack_blocks(df: DataFrame, key: str, ids: str, sep: int, length: int, parts:
     before = sizes.select("_r", (F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).alias("_before"))
     w = Window.partitionBy("_r").orderBy(key)
     d = d.join(F.broadcast(before), "_r").withColumn("_at", F.col("_before") + F.sum("_n").over(w) - F.col("_n"))
-    t = d.select("_at", F.posexplode("_t").alias("_i", "token")).select((F.col("_at") + F.col("_i")).alias("at"), "token")
-    blocks = t.groupBy(F.floor(F.col("at") / length).alias("block")).agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("x"))
-    return blocks.where(F.size("x") == length).select("block", F.transform("x", lambda e: e["token"]).alias("input_ids"))
+    # A row goes to the blocks it reaches as one slice each, not token by token.
+    first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.col("_n") - 1) / length)
+    d = d.select("_at", "_t", F.explode(F.sequence(first, last)).alias("block"))
+    lo = F.greatest(F.col("block") * length - F.col("_at"), F.lit(0))
+    hi = F.least((F.col("block") + 1) * length - F.col("_at"), F.size("_t").cast("long"))
+    t = d.select("block", F.greatest("_at", F.col("block") * length).alias("at"), F.slice("_t", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    blocks = t.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("x"))
+    return blocks.select("block", F.flatten(F.transform("x", lambda e: e["part"])).alias("input_ids")).where(F.size("input_ids") == length)
 
 
 def flatten_struct(df: DataFrame, sep: str = "/") -> DataFrame:
@@ -220,3 +225,85 @@ def batch_prompts(df: DataFrame, key: str, fields: list[str], k: int = 5) -> Dat
     d = numbered(df, key).select(F.floor((F.col("n") - 1) / k).alias("batch"), F.struct("n", F.struct(*fields).alias("row")).alias("x"))
     d = d.groupBy("batch").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return d.select("batch", F.size("x").alias("n_items"), F.to_json(F.transform("x", lambda e: e["row"])).alias("prompt"))
+
+
+def judge_report(df: DataFrame, score: str = "overall_proxy_score", least_rate: float = 0.95, least_samples: int = 400) -> DataFrame:
+    """One row: rows, samples, share of scores in [0, 1], their mean, PASS or FAIL."""
+    valid = F.coalesce(F.col(score).between(0.0, 1.0), F.lit(False))
+    d = df.agg(F.count(F.lit(1)).alias("scored_rows"), F.countDistinct("sample_id").alias("unique_samples"), F.avg(valid.cast("double")).alias("valid_score_rate"), F.avg(score).alias("mean_overall_proxy_score"))
+    ok = (F.col("valid_score_rate") >= least_rate) & (F.col("unique_samples") >= least_samples)
+    return d.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
+
+
+#: The columns of a condition vector, in order; the regimes stand between.
+TECHNICALS = ("ret_1d", "ret_5d", "ret_20d", "volatility_10d", "volatility_20d", "rsi_14", "macd", "macd_signal", "macd_hist", "sma_5", "sma_20", "sma_60", "price_vs_sma20", "price_vs_sma60", "bb_width", "bb_position", "atr_14", "volume_zscore_20", "gap_pct_last_day", "market_ret_1d", "market_ret_5d", "market_ret_20d", "market_vol_20d", "market_vol_20d_rank", "relative_strength_5d", "relative_strength_20d")
+GROUNDING = ("financial_soundness_score", "technical_grounding_score", "news_entailment_rate", "news_contradiction_rate", "utility_score", "overall_proxy_score")
+REGIMES = ("low_vol", "normal_vol", "high_vol")
+
+
+def condition_vector(df: DataFrame) -> DataFrame:
+    """cond (26 technicals, 3 regimes, 6 grounding scores; nulls 0) and sigma by regime; unknown regimes are normal."""
+    regime = F.when(F.col("regime_label").isin(*REGIMES), F.col("regime_label")).otherwise("normal_vol")
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    cond = F.array(*map(value, TECHNICALS), *[F.when(regime == x, 1.0).otherwise(0.0) for x in REGIMES], *map(value, GROUNDING))
+    return df.withColumns({"cond": cond, "sigma": F.when(regime == "low_vol", 0.5).when(regime == "high_vol", 1.5).otherwise(1.0)})
+
+
+def distribution_reward(df: DataFrame, logits: str, label: str, names: tuple[str, ...]) -> DataFrame:
+    """flow_p (softmax), flow_prob_true_label (an unknown label is Neutral), flow_entropy and flow_overall_reward."""
+    known = F.when(F.col(label).isin(*names), F.col(label)).otherwise("Neutral")
+    d = df.withColumn("flow_p", softmax(F.col(logits))).withColumn("flow_prob_true_label", F.element_at("flow_p", F.array_position(F.array(*map(F.lit, names)), known).cast("int")))
+    d = d.withColumn("flow_entropy", -F.aggregate("flow_p", F.lit(0.0), lambda a, x: a + x * F.ln(x + 1e-9)))
+    return d.withColumn("flow_overall_reward", F.col("flow_prob_true_label") - 0.1 * F.col("flow_entropy"))
+
+
+def flow_pairs(df: DataFrame, key: list[str], target: str = "z1", sigma: str = "sigma", seed: int = 42) -> DataFrame:
+    """z0 = sigma * noise, zt = t * z1 + (1 - t) * z0 and v = z1 - z0; noise and t come from digests, so that any run gives the same."""
+    unit = lambda tag: (F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key], F.lit(seed), tag)), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+    noise = F.transform(target, lambda z, i: F.sqrt(-2 * F.ln(unit(F.concat(F.lit("a"), i.cast("string"))))) * F.cos(2 * 3.141592653589793 * unit(F.concat(F.lit("b"), i.cast("string")))))
+    d = df.withColumns({"t": unit(F.lit("t")), "z0": F.transform(noise, lambda x: F.col(sigma) * x)})
+    return d.withColumns({"zt": F.zip_with(target, "z0", lambda a, b: F.col("t") * a + (1 - F.col("t")) * b), "v": F.zip_with(target, "z0", lambda a, b: a - b)})
+
+
+def split_by_argmax(df: DataFrame, scores: str, truth: str) -> DataFrame:
+    """positive: whether the best of the options' scores (the first of equals) is the true one, 0-based."""
+    return df.withColumn("positive", F.array_position(scores, F.array_max(scores)) - 1 == F.col(truth))
+
+
+def trial_summary(trials: DataFrame) -> DataFrame:
+    """Correct and incorrect finished trials of each trial number. trials: trial, target, prediction, finished."""
+    ok = F.coalesce(F.lower("target") == F.lower("prediction"), F.lit(False))
+    return trials.groupBy("trial").agg(F.count_if(ok).alias("correct"), F.count_if(F.col("finished") & ~ok).alias("incorrect"))
+
+
+def filter_pair_length(df: DataFrame, most: int, a: str = "chosen", b: str = "rejected") -> DataFrame:
+    return df.where((F.size(a) <= most) & (F.size(b) <= most))
+
+
+def index_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str, most: int) -> DataFrame:
+    """key, ids: the ids of each row's first `most` tokens by a table word, id; unknown words are 0."""
+    t = df.select(key, F.posexplode(F.slice(tokens, 1, most)).alias("i", "word"))
+    j = t.join(vocab, "word", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("id", F.lit(0)).alias("id")))).alias("x"))
+    return df.select(key).join(j, key, "left").select(key, F.coalesce(F.transform("x", lambda e: e["id"]), F.array().cast("array<int>")).alias("ids"))
+
+
+def stock_word_ids(stocks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """stock_id, word_id: the vocabulary's id of each symbol in lower case, null if it has none."""
+    return stocks.select("stock_id", F.lower("symbol").alias("word")).join(vocab, "word", "left").select("stock_id", F.col("id").alias("word_id"))
+
+
+def dense_batch(df: DataFrame, key: str, msgs: str, n_days: int, n_msgs: int, n_words: int) -> DataFrame:
+    """Token ids (days of messages of ids) cut and padded with 0 to one shape, with the count of messages of each day and of words of each message."""
+    zero = lambda n: F.array_repeat(F.lit(0), n)
+    fill = lambda a, n, empty: F.concat(F.slice(a, 1, n), F.array_repeat(empty, F.greatest(F.lit(n) - F.size(a), F.lit(0))))
+    day = lambda m: fill(F.transform(F.slice(m, 1, n_msgs), lambda w: fill(w, n_words, F.lit(0))), n_msgs, zero(n_words))
+    sizes = lambda m: fill(F.transform(F.slice(m, 1, n_msgs), lambda w: F.least(F.size(w), F.lit(n_words))), n_msgs, F.lit(0))
+    words = fill(F.transform(F.slice(msgs, 1, n_days), day), n_days, F.array_repeat(zero(n_words), n_msgs))
+    counts = fill(F.transform(F.slice(msgs, 1, n_days), lambda m: F.least(F.size(m), F.lit(n_msgs))), n_days, F.lit(0))
+    return df.select(key, words.alias("words"), counts.alias("n_msgs"), fill(F.transform(F.slice(msgs, 1, n_days), sizes), n_days, zero(n_msgs)).alias("n_words"))
+
+
+def chars_per_token(df: DataFrame, text: str, n: int = 400, key: str = "id") -> DataFrame:
+    """Characters for each whitespace token over the first n rows by key."""
+    d = df.orderBy(key).limit(n)
+    return d.agg(F.try_divide(F.sum(F.length(text)), F.sum(word_count(F.col(text)))).alias("chars_per_token"))

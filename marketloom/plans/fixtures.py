@@ -29,7 +29,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = brands.select(F.col("p_brand").alias("ticker"), (F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int") % 25).alias("k"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", F.pmod("doc_id", F.lit(25)).cast("int").alias("k"))
     ts = F.timestamp_seconds(F.unix_seconds(F.lit("1995-01-02 00:00:00").cast("timestamp")) + F.pmod(F.col("doc_id") * 7919, F.lit(2499)) * 86400 + F.pmod(F.col("doc_id") * 104729, F.lit(86400)))
-    return docs.join(F.broadcast(ranked), "k").select(
+    return docs.join(ranked, "k").select(
         F.concat(F.lit("n"), "doc_id").alias("news_id"), "ticker", ts.alias("timestamp_utc"), F.substring("text", 1, 80).alias("headline"), F.col("text").alias("body"), "source"
     )
 

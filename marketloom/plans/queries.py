@@ -287,11 +287,7 @@ _LOSS_SQL = {
 
 @query(f"WITH {LOGP} " + " UNION ALL ".join(f"SELECT '{k}' kind, round(avg({v}), 6) mean_loss FROM logp" for k, v in _LOSS_SQL.items()))
 def preference_losses(s: SparkSession, d: str) -> DataFrame:
-    out, lp = None, X.logps(s, d)
-    for k in _LOSS_SQL:
-        one = metrics.preference_loss(lp, k).agg(r(F.avg("loss"), 6).alias("mean_loss")).select(F.lit(k).alias("kind"), "mean_loss")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return metrics.mean_losses(X.logps(s, d), {k: metrics.pair_loss(k) for k in _LOSS_SQL}).withColumn("mean_loss", r("mean_loss", 6))
 
 
 @query(f"""WITH {LOGP}, a AS (SELECT row_number() OVER (ORDER BY c - c0) n, c - c0 x FROM logp), b AS (SELECT row_number() OVER (ORDER BY r - r0) n, r - r0 y FROM logp) SELECT round(avg(-({_LS.format('0.1 * (x - y)')})), 6) mean_loss, count(*) n FROM a JOIN b USING (n)""")

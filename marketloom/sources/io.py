@@ -92,6 +92,6 @@ def merge_cache(cache: DataFrame, new: DataFrame, key: str, result: str) -> Data
 def load_word_vectors(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
     """word, vector of the vocabulary's words from lines "word f1 ... fn"; spellings of unknown become UNK."""
     parts = F.split("value", " ")
-    d = spark.read.text(path).select(F.element_at(parts, 1).alias("word"), F.transform(F.slice(parts, 2, 100000), lambda x: x.try_cast("double")).alias("vector"))
+    d = spark.read.text(path).select(F.element_at(parts, 1).alias("word"), F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x.try_cast("double")).alias("vector"))
     word: Column = F.when(F.lower("word").isin("<unk>", "unk"), "UNK").otherwise(F.col("word"))
     return d.withColumn("word", word).join(vocab.select("word").distinct(), "word", "left_semi")

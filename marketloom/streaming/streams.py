@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MIN_COUNT = 16
 
@@ -40,19 +35,22 @@ def news_on_calendar(news: DataFrame, calendar: DataFrame, late: str = "1 day")
     return d.withColumn("day", F.to_date("timestamp_utc")).join(calendar, ["ticker", "day"])
 
 
-def buffered_advantage(stream: DataFrame, size: int = 32, least: int = MIN_COUNT) -> DataFrame:
-    """key, id, advantage: z-score of each reward within the key's last `size` rewards, the batch's own included."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(parts)).sort_values("id")
-        new = rows["reward"].tolist()
-        held = (old + new)[-size:]
-        state.update((held,))
-        base = np.array(held if len(held) >= least else new)
-        yield pd.DataFrame({"key": key[0], "id": rows["id"], "advantage": (rows["reward"] - base.mean()) / (base.std() + 1e-6)})
-
-    return stream.groupBy("key").applyInPandasWithState(run, "key long, id long, advantage double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+def buffered_advantage(batch: DataFrame, held: DataFrame, size: int = 32, least: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
+    """(key, id, advantage) of a batch, and the buffers after it: z-scores within each key's last `size` rewards, the
+    batch's own included, or within the whole batch for keys that hold fewer than `least`.
+
+    batch: key, id, reward; held: key, held (array), one row a key. For foreachBatch, with held as a table between batches.
+    """
+    new = batch.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "reward"))).alias("x"))
+    both = new.join(held.withColumnRenamed("held", "old"), "key", "full")
+    own = F.concat(F.coalesce("old", F.array().cast("array<double>")), F.coalesce(F.transform("x", lambda e: e["reward"]), F.array().cast("array<double>")))
+    kept = both.select("key", own.alias("a")).select("key", F.slice("a", F.greatest(F.size("a") - size + 1, F.lit(1)), size).alias("held"))
+    values = kept.select("key", F.size("held").alias("n"), F.explode("held").alias("v")).groupBy("key", "n").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    whole = batch.agg(F.avg("reward").alias("bm"), F.stddev_pop("reward").alias("bs"))  # one row
+    d = batch.join(values, "key").join(F.broadcast(whole), F.lit(True))
+    few = F.col("n") < least
+    z = (F.col("reward") - F.when(few, F.col("bm")).otherwise(F.col("m"))) / (F.when(few, F.col("bs")).otherwise(F.col("s")) + 1e-6)
+    return d.select("key", "id", z.alias("advantage")), kept
 
 
 def adaptive_coefficient(batches: DataFrame, start: float = 0.05, target: float = 6.0, horizon: int = 10000) -> DataFrame:

@@ -14,7 +14,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-TEXTS = [(1, "a  b\n" + "word " * 50), (2, "long " * 2000), (3, "short"), (4, ""), (5, None), (6, " \n "), (28, "short"), (31, "<b>Profit</b> rose <script>x < 1</script> After Hours"), (56, "short")]
+TEXTS = [(1, "a  b\n" + "word " * 50), (2, "long " * 2000), (3, "short"), (4, ""), (5, None), (6, " \n "), (28, "short"), (31, "<b>Profit</b> rose <script>x < 1</script> Shares Surged"), (56, "short")]
 
 
 @pytest.fixture(scope="module")
@@ -44,4 +44,4 @@ def test_news_queries_return_what_their_operators_make(spark, tables):
     flags = both(spark, tables, "leakage_flags_news")
     assert {k for k, v in flags.items() if v[0]} == {"n31"} and len(flags) == len(TEXTS)
     kept = both(spark, tables, "clean_news_texts")
-    assert len(kept) == len(TEXTS) - 1 and kept["n31"][0] == hashlib.md5(b"Profit rose After Hours").hexdigest() and kept["n31"][2] and not kept["n28"][2]
+    assert len(kept) == len(TEXTS) - 1 and kept["n31"][0] == hashlib.md5(b"Profit rose Shares Surged").hexdigest() and kept["n31"][2] and not kept["n28"][2]

@@ -51,13 +51,13 @@ def test_label_bounds(spark):
 
 
 def test_rationale_chain(spark):
-    good = '{"action":"long","forecast_distribution":{"strong_down":0.0,"mild_down":0.1,"neutral":0.2,"mild_up":0.4,"strong_up":0.3}}'
+    good = '{"news_rationale":["n"],"technical_rationale":["t"],"conflict_resolution":"c","risk_note":"r","action":"long","forecast_distribution":{"strong_down":0.0,"mild_down":0.1,"neutral":0.2,"mild_up":0.4,"strong_up":0.3}}'
     bad = good.replace('"neutral":0.2', '"neutral":0.9')
     df = spark.createDataFrame([(f"text ```json\n{good}\n```",), (f"so {bad} end",), ("nothing",)], "t string")
     d = df.select(T.extract_json(F.col("t")).alias("j")).select("j", F.from_json("j", T.RATIONALE).alias("r"))
     got = d.select(T.validation_error(F.col("r")), F.when(F.col("r").isNotNull(), T.repaired_probs(F.col("r")))).collect()
     assert [g[0] for g in got] == [None, "probability_sum", "parse"]
-    assert got[1][1] == [0.0, 0.0, 0.0, 0.6, 0.4]
+    assert got[1][1] == [0.0, 0.0, 0.0, 0.4, 0.6]
 
 
 def test_preference_shapes(spark):
@@ -146,3 +146,47 @@ def test_streaming_bars_equal_batch(spark, tmp_path):
     got = spark.read.schema(s.schema).parquet(str(tmp_path / "out"))
     want = indicators.resample(d)
     assert got.exceptAll(want).count() == 0 and got.count() >= want.count() - 3
+
+
+def test_features_run_python_once_and_events_are_not_sorted_whole(spark):
+    _, df = bars(spark)
+    plan = indicators.features(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+
+
+def test_buffered_advantages_against_a_plain_reading(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, int(rng.integers(0, 4)) if b else 0, i, float(rng.normal())) for b in range(4) for i in range(b * 20, b * 20 + 20)]
+    held, buffers = spark.createDataFrame([], "key long, held array<double>"), {}
+    for b in range(4):
+        own = [r for r in rows if r[0] == b]
+        out, held = streams.buffered_advantage(spark.createDataFrame([r[1:] for r in own], "key long, id long, reward double"), held, 8, 5)
+        got = {r["id"]: r["advantage"] for r in out.collect()}
+        for k in {r[1] for r in own}:
+            buffers[k] = (buffers.get(k, []) + [r[3] for r in own if r[1] == k])[-8:]
+        for _, k, i, x in own:
+            base = np.array(buffers[k] if len(buffers[k]) >= 5 else [r[3] for r in own])
+            assert got[i] == pytest.approx((x - base.mean()) / (base.std() + 1e-6))
+
+
+def test_sources_round_trip(spark, tmp_path):
+    from marketloom.sources import io
+
+    d = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    io.write_table(d, str(tmp_path / "p"))
+    io.write_jsonl(d, str(tmp_path / "j"))
+    io.write_csv(d, str(tmp_path / "c"), sep="\t")
+    want = sorted(map(tuple, d.collect()))
+    for back in (io.read_table(spark, str(tmp_path / "p")), io.read_jsonl(spark, str(tmp_path / "j"), "id int, t string"), io.read_csv(spark, str(tmp_path / "c"), "id int, t string", sep="\t")):
+        assert sorted(map(tuple, back.collect())) == want
+    (tmp_path / "t" / "AAPL").mkdir(parents=True)
+    (tmp_path / "t" / "AAPL" / "2020-01-02").write_text('{"text": "x"}\n')
+    got = io.scan_dated_dirs(spark, str(tmp_path / "t"), "text string").first()
+    assert (got["ticker"], str(got["date"]), got["text"]) == ("AAPL", "2020-01-02", "x")
+    cache = spark.createDataFrame([(1, "done"), (2, "")], "id int, result string")
+    assert [r["id"] for r in io.pending(d, cache, "id", "result").collect()] == [2]
+    (tmp_path / "w.txt").write_text("<unk> 1 2\ncat 3 4\ndog 5 6\n")
+    v = io.load_word_vectors(spark, str(tmp_path / "w.txt"), spark.createDataFrame([("UNK",), ("cat",)], "word string"))
+    assert sorted((r["word"], r["vector"]) for r in v.collect()) == [("UNK", [1.0, 2.0]), ("cat", [3.0, 4.0])]
+    m = io.file_manifest(spark, str(tmp_path / "t")).first()
+    assert m["role"] == "unknown" and m["size_mb"] > 0
