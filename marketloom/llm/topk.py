@@ -26,6 +26,8 @@ IDLE, SKIP = 0.9, 8
 QUERY_BLOCK, ROW_BLOCK = 2048, 16384
 #: The sample that gives floors and centres: so many rows, and so many components in all, at most.
 SAMPLE_ROWS, SAMPLE_NUMBERS, CENTRES = 2048, 2_000_000, 48
+#: If queries need more than this share of the rows by their cells (measured on the sample), the rows are one cell.
+WORTH = 0.5
 #: Where more than this share of a tile's pairs is left, the tile is computed whole, as one matrix product.
 DENSE = 0.5
 TOP, LOW = (1 << 63) - 1, -(1 << 63)
@@ -151,6 +153,14 @@ def centres_of(x: np.ndarray, n: int) -> np.ndarray:
     return c
 
 
+def _need(x: np.ndarray, ids: np.ndarray, c: np.ndarray, cells: dict[int, tuple[int, int, np.ndarray]], k: int) -> float:
+    """The share of rows in cells that the sample's rows would need as queries."""
+    floor, xf = sample_floors(x, ids, x, ids, k), x.astype(float)
+    norms = _norms(xf)
+    need = sum(rows * (xf @ c[i] + norms @ away >= floor).mean() for i, (rows, _, away) in cells.items())
+    return float(need) / max(1, sum(rows for rows, _, _ in cells.values()))
+
+
 def _grouped(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, positions, matrix) of the rows of each vector length."""
     size = pdf["v"].map(len).to_numpy()
@@ -187,7 +197,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
         for pdf in parts:
             cell = np.full(len(pdf), -1)
             for n, at, x in _grouped(pdf) if len(pdf) else ():
-                cell[at] = cells_of(n, x)
+                cell[at] = 0 if n in alone.value else cells_of(n, x)
             yield pdf.assign(n=pdf["v"].map(len).astype("int32"), cell=cell.astype("int32"))
 
     def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,12 +215,17 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
         yield pd.DataFrame(out, columns=["n", "cell", "rows", "segment", "away"])
 
     got = v.mapInPandas(measure, "n int, cell int, rows long, segment int, away double").groupBy("n", "cell", "segment").agg(F.sum("rows").alias("rows"), F.max("away").alias("away"))
-    cells: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
+    cells: dict[int, dict[int, tuple[int, int, np.ndarray]]] = {}  # rows, blocks, largest distances
     for (n, i), own in got.toPandas().sort_values("segment").groupby(["n", "cell"]):  # CENTRES cells of CELL_LEVEL segments for each length in the sample
-        cells.setdefault(int(n), {})[int(i)] = (max(1, -(-int(own["rows"].iloc[0]) // ROW_BLOCK)), own["away"].to_numpy())
+        cells.setdefault(int(n), {})[int(i)] = (int(own["rows"].iloc[0]), -(-int(own["rows"].iloc[0]) // ROW_BLOCK), own["away"].to_numpy())
+    for n, own in cells.items():
+        if _need(*sample[n], own, k) > WORTH:
+            rows = sum(x[0] for x in own.values())
+            cells[n] = {0: (rows, -(-rows // ROW_BLOCK), np.full_like(next(iter(own.values()))[2], np.inf))}
+    alone = spark.sparkContext.broadcast({n for n, own in cells.items() if len(own) == 1 and 0 in own})
     placed = v.mapInPandas(assign, "id long, v array<bigint>, q boolean, n int, cell int")
     rare, queries = placed.agg(F.count_if(F.col("cell") < 0), F.count_if("q")).first()
-    blocks = {(n, i): b for n, own in cells.items() for i, (b, _) in own.items()}
+    blocks = {(n, i): b for n, own in cells.items() for i, (_, b, _) in own.items()}
     n_rare, n_query = max(1, -(-rare // ROW_BLOCK)), max(1, -(-queries // QUERY_BLOCK))
     table = spark.sparkContext.broadcast((cells, n_rare))
 
@@ -228,9 +243,9 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_
                 floor = sample_floors(x, ids, rows, row_ids, k)
                 xf = x.astype(float)
                 norms = _norms(xf)
-                for i, (b, away) in cells[n].items():
-                    most = xf @ c[i] + norms @ away
-                    need = np.flatnonzero(most + 1 + np.abs(most) * 1e-9 >= floor)
+                for i, (_, b, away) in cells[n].items():
+                    most = xf @ c[i] + norms @ away if np.isfinite(away).all() else np.full(len(xf), np.inf)
+                    need = np.flatnonzero(most * (1 + np.sign(most) * 1e-9) + 1 >= floor)
                     if len(need):
                         out.append(pd.DataFrame({"id": ids[need], "v": [pdf["v"].iloc[at[j]] for j in need.tolist()], "floor": floor[need], "n": n, "own": own[need], "cell": i, "blocks": b}))
             yield pd.concat(out) if out else pd.DataFrame({c: [] for c in ("id", "v", "floor", "n", "own", "cell", "blocks")})
