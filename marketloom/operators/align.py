@@ -94,12 +94,13 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.withColumn("_o", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed)))).orderBy("_o", key).limit(n).drop("_o")
 
 
-def latest_fraction(df: DataFrame, share: float, date: str, key: str) -> DataFrame:
-    """The last floor(n * share) rows by (date, key). Only the rows of the date at the cut are ranked."""
+def latest_fraction(df: DataFrame, share: float, date: str, key: str, before: float | None = None) -> DataFrame:
+    """The last floor(n * share) rows by (date, key), or all but the first floor(n * before), which can be one more.
+    Only the rows of the date at the cut are ranked."""
     by_day = df.groupBy(date).count()
     w = Window.orderBy(F.desc(date))
     days = by_day.withColumns({"_after": F.sum("count").over(w) - F.col("count"), "_all": F.sum("count").over(Window.partitionBy())})
-    days = days.withColumn("_left", F.floor(F.col("_all") * share) - F.col("_after")).where("_left > 0").select(date, "_left", F.col("count").alias("_count"))
+    days = days.withColumn("_left", (F.floor(F.col("_all") * share) if before is None else F.col("_all") - F.floor(F.col("_all") * before)) - F.col("_after")).where("_left > 0").select(date, "_left", F.col("count").alias("_count"))
     d = df.join(days, date)
     inside = d.where("_count <= _left").drop("_left", "_count")
     cut = d.where("_count > _left").withColumn("_r", F.row_number().over(Window.partitionBy(date).orderBy(F.desc(key)))).where("_r <= _left").drop("_left", "_count", "_r")

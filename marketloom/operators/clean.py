@@ -53,9 +53,24 @@ def clean_prices(df: DataFrame) -> DataFrame:
     return df.withColumn("date", F.try_to_date(F.col("date").cast("string"))).where("close > 0 AND volume >= 0 AND date IS NOT NULL")
 
 
-def select_universe(news: DataFrame, prices: DataFrame, n: int) -> DataFrame:
-    """The n tickers with most news of those that have prices too."""
-    return news.join(prices.select("ticker").distinct(), "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_news")).orderBy(F.desc("n_news"), "ticker").limit(n)
+def select_universe(news: DataFrame, prices: DataFrame, n: int, fallback: tuple[str, ...] = ()) -> DataFrame:
+    """The n tickers with most news of those that have prices too; where there are none, the fallback's tickers that have prices."""
+    priced = prices.select("ticker").distinct()
+    both = news.join(priced, "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("n_news"))
+    if fallback:
+        none = both.agg((F.count(F.lit(1)) == 0).alias("_none"))  # one row
+        spare = priced.where(F.col("ticker").isin(*fallback)).join(F.broadcast(none), F.col("_none")).select("ticker", F.lit(0).cast("long").alias("n_news"))
+        both = both.unionByName(spare)
+    return both.orderBy(F.desc("n_news"), "ticker").limit(n)
+
+
+def select_years(df: DataFrame, date: str, first: int, last: int, span: int = 3) -> DataFrame:
+    """The rows of the years first to last; where there are none, those of the latest `span` years without a gap."""
+    years = df.select(F.year(date).alias("_y")).where("_y IS NOT NULL").distinct()  # a row a year
+    run = years.withColumn("_n", F.count(F.lit(1)).over(Window.orderBy("_y").rangeBetween(1 - span, 0)))
+    bounds = run.agg(F.count_if(F.col("_y").between(first, last)).alias("_in"), F.max(F.when(F.col("_n") == span, F.col("_y"))).alias("_end"))
+    low, high = F.when(F.col("_in") > 0, first).otherwise(F.col("_end") - span + 1), F.when(F.col("_in") > 0, last).otherwise(F.col("_end"))
+    return df.join(F.broadcast(bounds.select(low.alias("_low"), high.alias("_high"))), F.year(date).between(F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 def length_filter(df: DataFrame, col: str, least: int = 0, most: int | None = None) -> DataFrame:
@@ -73,3 +88,10 @@ def extract_answer(x: Column, sep: str = "#### ") -> Column:
 
 def fill_groups(df: DataFrame, strings: tuple[str, ...] = (), numbers: tuple[str, ...] = (), thirds: tuple[str, ...] = ()) -> DataFrame:
     return df.fillna({c: "" for c in strings} | {c: 0.0 for c in numbers} | {c: 0.33 for c in thirds})
+
+
+def answer_rows(df: DataFrame, text: str, key: str, sep: str = "#### ") -> DataFrame:
+    """key, answer of all rows but the one of least key, which is the heading."""
+    first = df.agg(F.min(key).alias("_first"))  # one row
+    d = df.join(F.broadcast(first), F.col(key) > F.col("_first"))
+    return d.select(key, extract_answer(F.col(text), "\\Q" + sep + "\\E").alias("answer"))

@@ -41,13 +41,14 @@ def overall_proxy(p_true: Column, tech: Column, entail: Column, contra: Column,
 
 
 def pairwise_results(df: DataFrame, key: str = "pair_id", rank: str = "rank", seed: int = 42) -> DataFrame:
-    """Ranks of a judge that saw some pairs in reverse order, turned back; -1 (no verdict) stays."""
+    """Ranks of a judge that saw some pairs in reverse order, turned back; a flipped -1 (no verdict) becomes 2."""
     flip = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), 1, 1), 16, 10).cast("int") % 2 == 1
-    return df.withColumns({"flipped": flip, "winner": F.when(F.col(rank) < 0, F.col(rank)).when(flip, 1 - F.col(rank)).otherwise(F.col(rank))})
+    return df.withColumns({"flipped": flip, "winner": F.when(flip, 1 - F.col(rank)).otherwise(F.col(rank))})
 
 
 def win_rate(df: DataFrame, winner: str = "winner") -> DataFrame:
-    return df.where(F.col(winner) >= 0).agg(F.avg((F.col(winner) == 0).cast("double")).alias("win_rate"), F.count(F.lit(1)).alias("n"))
+    """Share of all pairs that the second answer wins; pairs without a verdict count as not won."""
+    return df.agg(F.avg((F.col(winner) == 1).cast("double")).alias("win_rate"), F.count(F.lit(1)).alias("n"))
 
 
 def soft_win(a: Column, b: Column, temperature: float = 1.0) -> Column:
@@ -56,8 +57,9 @@ def soft_win(a: Column, b: Column, temperature: float = 1.0) -> Column:
 
 
 def all_true(votes: Column) -> Column:
-    """Any invalid vote -1; all 1 gives 1, else 0."""
-    return F.when(F.array_contains(votes, -1), -1).when(F.forall(votes, lambda v: v == 1), 1).otherwise(0)
+    """Any invalid vote -1; all 1 gives 1, else 0. Votes other than these are an error."""
+    odd = F.exists(votes, lambda v: F.coalesce(~v.isin(-1, 0, 1), F.lit(True)))
+    return F.when(odd, F.raise_error(F.concat(F.lit("invalid votes "), F.to_json(votes)))).when(F.array_contains(votes, -1), -1).when(F.forall(votes, lambda v: v == 1), 1).otherwise(0)
 
 
 def control_reward(task: Column, x: Column) -> Column:
@@ -98,12 +100,16 @@ def common_prefix_length(a: Column, b: Column) -> Column:
 
 
 def extract_prompt(df: DataFrame, a: str = "chosen", b: str = "rejected") -> DataFrame:
-    """The common start of two strings as the prompt; a space before the cut belongs to the answers."""
-    n = common_prefix_length(F.split(a, ""), F.split(b, ""))
-    n = F.when((n > 0) & (F.substring(F.col(a), n, F.lit(1)) == " "), n - 1).otherwise(n)
+    """The common start of two strings, or of two arrays of turns, as the prompt; in strings, a space before the cut
+    belongs to the answers. Where one is the start of the other, the cut is before the shorter one's last place."""
+    text = dict(df.dtypes)[a] == "string"
+    x, y = (F.split(a, ""), F.split(b, "")) if text else (F.col(a), F.col(b))
+    n, short = common_prefix_length(x, y), F.least(F.size(x), F.size(y))
+    n = F.when(n == short, F.greatest(n - 1, F.lit(0))).otherwise(F.when((n > 0) & (F.substring(F.col(a), n, F.lit(1)) == " "), n - 1).otherwise(n) if text else n)
     d = df.withColumn("_n", n)
-    tail = lambda c: F.substring(F.col(c), F.col("_n") + 1, F.length(c))
-    return d.withColumns({"prompt": F.substring(F.col(a), F.lit(1), F.col("_n")), a: tail(a), b: tail(b)}).drop("_n")
+    cut = (lambda c, at, size: F.substring(F.col(c), at, size)) if text else (lambda c, at, size: F.slice(F.col(c), at, size))
+    tail = lambda c: cut(c, F.col("_n") + 1, F.length(c) if text else F.size(c))
+    return d.withColumns({"prompt": cut(a, F.lit(1), F.col("_n")), a: tail(a), b: tail(b)}).drop("_n")
 
 
 def dataset_kind(df: DataFrame) -> str:
@@ -120,11 +126,13 @@ def rotate_completions(df: DataFrame, batch: str, order: str, completion: str =
     return df.withColumn("kl_completion", F.coalesce(F.lag(completion).over(w), last))
 
 
-def balance_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """Counts of both labels and the recommended bounds of the desirable weight."""
-    d = df.agg(F.count_if(F.col(label)).alias("desirable"), F.count_if(~F.col(label)).alias("undesirable"))
-    ratio = F.try_divide("undesirable", "desirable")
-    return d.withColumns({"least_weight": F.bround(ratio * 1.0, 2), "most_weight": F.bround(ratio * 1.33, 2)})
+def balance_weights(df: DataFrame, label: str = "label", desirable: float = 1.0, undesirable: float = 1.0) -> DataFrame:
+    """Counts of both labels (1 at least) and the recommended bounds of either weight, given the other one."""
+    d = df.agg(F.greatest(F.count_if(F.col(label)), F.lit(1)).alias("desirable"), F.count(F.lit(1)).alias("_n"))
+    d = d.select("desirable", F.greatest(F.col("_n") - F.col("desirable"), F.lit(1)).alias("undesirable"))
+    up, down = F.col("undesirable") * undesirable / F.col("desirable"), F.col("desirable") * desirable / F.col("undesirable")
+    bounds = {"least_weight": up, "most_weight": up * 1.33, "least_undesirable": down / 1.33, "most_undesirable": down}
+    return d.withColumns({k: F.bround(v, 2) for k, v in bounds.items()})
 
 
 # Arrays of token ids, one sequence a row.
@@ -141,11 +149,50 @@ def mask_prompt(ids: Column, prompt_size: Column) -> Column:
     return F.transform(ids, lambda x, i: F.when(i < prompt_size, -100).otherwise(x))
 
 
-def mask_by_template(ids: Column, template: list[int]) -> Column:
-    """Labels only after the template's first place; the whole row is ignored where it is missing."""
+def shape_sequence(prompt: Column, answer: Column, bos: int, eos: int, most: int, most_prompt: int, mode: str = "keep_end") -> Column:
+    """struct(prompt, completion, labels) of at most `most` ids with BOS and EOS, which are added where they are missing.
+
+    Where both are too long together, the prompt keeps `most_prompt` ids of its start or end, then the answer what is left.
+    """
+    missing = F.when((F.size(prompt) > 0) & (prompt[0] != bos), 1).otherwise(0) + F.when((F.size(answer) > 0) & (F.try_element_at(answer, F.lit(-1)) != eos), 1).otherwise(0)
+    room = F.lit(most) - missing
+    start = F.lit(1) if mode == "keep_start" else F.greatest(F.size(prompt) - most_prompt, F.lit(0)) + 1
+    p = F.when(F.size(prompt) + F.size(answer) > room, F.slice(prompt, start, F.lit(most_prompt))).otherwise(prompt)
+    a = F.when(F.size(p) + F.size(answer) > room, F.slice(answer, F.lit(1), F.greatest(room - most_prompt, F.lit(0)))).otherwise(answer)
+    p = F.when(F.try_element_at(p, F.lit(1)) == bos, p).otherwise(F.concat(F.array(F.lit(bos)), p))
+    c = F.concat(p, F.when(F.try_element_at(a, F.lit(-1)) == eos, a).otherwise(F.concat(a, F.array(F.lit(eos)))))
+    return F.struct(p.alias("prompt"), c.alias("completion"), mask_prompt(c, F.size(p)).alias("labels"))
+
+
+def _places(ids: Column, template: list[int]) -> Column:
+    """0-based places where the template starts."""
     n, t = len(template), F.array(*map(F.lit, template))
-    at = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), lambda i: F.slice(ids, i, F.lit(n)) == t), F.lit(0))
-    return F.transform(ids, lambda x, i: F.when(at.isNull() | (i < at + n - 1), -100).otherwise(x))
+    all_places = F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)))
+    return F.filter(all_places, lambda i: F.slice(ids, i + 1, F.lit(n)) == t)
+
+
+def mask_by_template(ids: Column, template: list[int]) -> Column:
+    """Labels only after the template's last place; the whole row is ignored where it is missing."""
+    at = F.try_element_at(_places(ids, template), F.lit(-1))
+    return F.transform(ids, lambda x, i: F.when(at.isNull() | (i < at + len(template)), -100).otherwise(x))
+
+
+def mask_turns(ids: Column, instruction: list[int], response: list[int]) -> Column:
+    """Labels only in the responses of several turns: between a response template and the next instruction template.
+
+    The row is ignored where either template is missing; what follows an unanswered instruction is ignored too.
+    """
+    ends = F.transform(_places(ids, response), lambda i: i + len(response))
+    starts = _places(ids, instruction)
+    starts = F.when(F.get(starts, F.lit(0)) > F.get(ends, F.lit(0)), F.concat(F.array(F.lit(0)), starts)).otherwise(starts)
+    spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+    spans = F.filter(spans, lambda x: x["s"].isNotNull() & x["e"].isNotNull())
+    spans = F.transform(spans, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(x["s"]).alias("s"), x["e"].alias("e")))
+    open_from = F.when(F.size(ends) < F.size(starts), F.try_element_at(starts, F.lit(-1)))
+    none = (F.size(starts) == 0) | (F.size(ends) == 0)
+    plan = F.array(F.struct(none.alias("none"), spans.alias("spans"), open_from.alias("from")))  # worked out once a row
+    hidden = lambda w, i: w["none"] | F.exists(w["spans"], lambda x: (x["s"] <= i) & (i < x["e"])) | F.coalesce(i >= w["from"], F.lit(False))
+    return F.transform(plan, lambda w: F.transform(ids, lambda x, i: F.when(hidden(w, i), -100).otherwise(x)))[0]
 
 
 def pad(ids: Column, length: int, value: int, side: str = "right") -> Column:
@@ -265,6 +312,11 @@ def flow_pairs(df: DataFrame, key: list[str], target: str = "z1", sigma: str = "
     return d.withColumns({"zt": F.zip_with(target, "z0", lambda a, b: F.col("t") * a + (1 - F.col("t")) * b), "v": F.zip_with(target, "z0", lambda a, b: a - b)})
 
 
+def flow_baseline(df: DataFrame, target: str = "z1") -> DataFrame:
+    """i, mean, mse: the mean target of each place, and the error of always guessing it; summed before the shuffle."""
+    return df.select(F.posexplode(target).alias("i", "_z")).groupBy("i").agg(F.avg("_z").alias("mean"), F.var_pop("_z").alias("mse"))
+
+
 def split_by_argmax(df: DataFrame, scores: str, truth: str) -> DataFrame:
     """positive: whether the best of the options' scores (the first of equals) is the true one, 0-based."""
     return df.withColumn("positive", F.array_position(scores, F.array_max(scores)) - 1 == F.col(truth))

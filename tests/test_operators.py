@@ -190,3 +190,32 @@ def test_sources_round_trip(spark, tmp_path):
     assert sorted((r["word"], r["vector"]) for r in v.collect()) == [("UNK", [1.0, 2.0]), ("cat", [3.0, 4.0])]
     m = io.file_manifest(spark, str(tmp_path / "t")).first()
     assert m["role"] == "unknown" and m["size_mb"] > 0
+
+
+def test_masks_of_several_turns(spark):
+    one = spark.createDataFrame([([9, 3, 5, 1, 2, 7, 3, 6, 1, 2, 8, 3, 4],), ([1, 2, 7],), ([3, 4],), ([1, 2, 7, 3, 5, 1, 2, 8],)], "a array<int>")
+    got = [x[0] for x in one.select(preference.mask_turns(F.col("a"), [3], [1, 2])).collect()]
+    no = -100
+    assert got == [[no, no, no, no, no, 7, no, no, no, no, 8, no, no], [no] * 3, [no] * 2, [no, no, 7, no, no, no, no, 8]]
+
+
+def test_prompt_of_strings_and_turns(spark):
+    d = spark.createDataFrame([("ask me yes", "ask me no"), ("same", "same"), ("ab", "xy"), ("", "")], "chosen string, rejected string")
+    got = [tuple(x) for x in preference.extract_prompt(d).select("prompt", "chosen", "rejected").collect()]
+    assert got == [("ask me", " yes", " no"), ("sam", "e", "e"), ("", "ab", "xy"), ("", "", "")]
+    turns = spark.createDataFrame([(["q", "a"], ["q", "b"])], "chosen array<string>, rejected array<string>")
+    assert tuple(preference.extract_prompt(turns).select("prompt", "chosen", "rejected").first()) == (["q"], ["a"], ["b"])
+
+
+def test_odd_votes_are_an_error(spark):
+    d = spark.createDataFrame([([1, 2],)], "v array<int>")
+    with pytest.raises(Exception, match="invalid votes"):
+        d.select(preference.all_true(F.col("v"))).collect()
+    assert spark.createDataFrame([([1, 1],), ([1, 0],), ([0, -1],)], "v array<int>").select(preference.all_true(F.col("v"))).toPandas().iloc[:, 0].tolist() == [1, 0, -1]
+
+
+def test_years_with_a_gap(spark):
+    d = spark.sql("SELECT explode(array(date'2001-01-01', date'2002-01-01', date'2003-01-01', date'2005-01-01', date'2006-01-01')) date")
+    years = lambda *a: sorted(str(x[0])[:4] for x in clean.select_years(d, "date", *a).collect())
+    assert years(2018, 2023) == ["2001", "2002", "2003"] and years(2005, 2023) == ["2005", "2006"]
+    assert clean.select_years(d.where("false"), "date", 2018, 2023).count() == 0
