@@ -83,10 +83,35 @@ def quality_gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def metrics_table(df: DataFrame, method: str, metric: str, value: str, names: tuple[str, ...]) -> DataFrame:
-    """A row for each method, a column for each metric, 'N/A' where there is none."""
-    wide = df.groupBy(method).pivot(metric, list(names)).agg(F.first(value))
-    return wide.select(method, *[F.coalesce(F.round(n, 4).cast("string"), F.lit("N/A")).alias(n) for n in names])
+def sample_gates(key: str = "sample_id", label: str = "label_5", change: str = "abnormal_return") -> dict[str, Column]:
+    """Checks of aligned samples for quality_gates: enough of them, enough classes, no repeats, returns known."""
+    n = F.count(F.lit(1))
+    return {"samples": n >= 5000, "classes": F.countDistinct(label) >= 3, "unique": n == F.countDistinct(key), "returns": F.avg(F.col(change).isNotNull().cast("double")) > 0.95}
+
+
+def feature_gates(rsi: str = "rsi_14", tokens: str = "technical_event_tokens", regime: str = "regime_label") -> dict[str, Column]:
+    """Checks of features for quality_gates: RSI in range, tokens there, at least two regimes."""
+    share = lambda c: F.coalesce(F.avg(F.coalesce(c, F.lit(False)).cast("double")) > 0.95, F.lit(False))
+    return {"rsi": share(F.col(rsi).between(0, 100)), "tokens": share(F.col(tokens).isNotNull()), "regimes": F.countDistinct(regime) >= 2}
+
+
+def metrics_table(df: DataFrame, method: str, metric: str, value: str, names: tuple[str, ...], spare: dict[str, str] | None = None) -> DataFrame:
+    """A row for each method, a column for each metric (its spare name's value where it is missing), 'N/A' where there is none."""
+    spare = spare or {}
+    wide = df.groupBy(method).pivot(metric, [*names, *spare.values()]).agg(F.first(value))
+    got = lambda n: F.coalesce(*[F.round(c, 4).cast("string") for c in (n, spare.get(n)) if c], F.lit("N/A"))
+    return wide.select(method, *[got(n).alias(n) for n in names])
+
+
+def markdown_table(df: DataFrame, method: str, columns: dict[str, str], percent: bool = False) -> DataFrame:
+    """n, line: a heading (n = 0 and 1) and a row for each method in order, missing values 0. One row a method: a report, not a data set."""
+    form = "%.2f%%" if percent else "%.4f"
+    cells = [F.format_string(form, F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * (100 if percent else 1)) for c in columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", method, *cells), F.lit(" |"))
+    rows = df.select((F.row_number().over(Window.orderBy(method)) + 1).alias("n"), line.alias("line"))
+    names = ["Model", *columns.values()]
+    head = [(0, "| " + " | ".join(names) + " |"), (1, "|" + "|".join("-" * (len(x) + 2) for x in names) + "|")]
+    return df.sparkSession.createDataFrame(head, "n int, line string").unionByName(rows)
 
 
 def log_rollup(df: DataFrame, nodeid: str = "nodeid", outcome: str = "outcome") -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import align, backtest, clean, indicators, metrics, models, pre
 from ..streaming import streams
 from . import fixtures as X
 from .more import CONV, SEQ, _sequences, _turns
-from .queries import BARS, CAND, LOGP, NEWS, PRED, TRIALS, _trials, query, r
+from .queries import BARS, CAND, LOGP, MARKET, NEWS, PRED, TRIALS, _trials, query, r
 
 IDS = "ids AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 40) AS INT) % 4) ids FROM embeddings)"
 
@@ -227,11 +227,43 @@ def dummy_columns(s: SparkSession, d: str) -> DataFrame:
     return models.dummies(x, "regime", ("a", "b")).drop("regime")
 
 
-@query(f"""WITH {PRED}, x AS (SELECT true_label AS "method", round(avg(CASE WHEN pred_label = true_label THEN 1.0::DOUBLE ELSE 0 END), 4) a FROM pred GROUP BY 1) SELECT "method", a accuracy, true AS other_missing FROM x""")
+_BY = """m AS (SELECT true_label AS "method", avg(CASE WHEN pred_label = true_label THEN 1.0::DOUBLE ELSE 0 END) a, avg(stock_return) b FROM pred GROUP BY 1)"""
+
+
+def _by_method(s: SparkSession, d: str) -> DataFrame:
+    hit = (F.col("pred_label") == F.col("true_label")).cast("double")
+    return X.predictions(s, d).groupBy(F.col("true_label").alias("method")).agg(F.avg(hit).alias("a"), F.avg("stock_return").alias("b"))
+
+
+@query(f"""WITH {PRED}, {_BY} SELECT "method", round(a, 4) accuracy, round(b, 4) f1, true AS mcc_missing FROM m""")
 def method_table(s: SparkSession, d: str) -> DataFrame:
-    m = X.predictions(s, d).groupBy(F.col("true_label").alias("method")).agg(F.avg((F.col("pred_label") == F.col("true_label")).cast("double")).alias("value"))
-    t = backtest.metrics_table(m.withColumn("metric", F.lit("accuracy")), "method", "metric", "value", ("accuracy", "f1"))
-    return t.select("method", F.col("accuracy").try_cast("double").alias("accuracy"), (F.col("f1") == "N/A").alias("other_missing"))
+    """accuracy by its own name, f1 by its spare one, mcc not at all."""
+    m = _by_method(s, d)
+    x = m.select("method", F.explode(F.array(F.struct(F.lit("accuracy").alias("metric"), F.col("a").alias("value")), F.struct(F.lit("test_f1").alias("metric"), F.col("b").alias("value")))).alias("x")).select("method", "x.*")
+    t = backtest.metrics_table(x, "method", "metric", "value", ("accuracy", "f1", "mcc"), {"accuracy": "test_accuracy", "f1": "test_f1"})
+    return t.select("method", *[F.col(c).try_cast("double").alias(c) for c in ("accuracy", "f1")], (F.col("mcc") == "N/A").alias("mcc_missing"))
+
+
+@query(f"""WITH {PRED}, {_BY} SELECT CAST(row_number() OVER (ORDER BY "method") + 1 AS INT) n, '| ' || "method" || ' | ' || printf('%.4f', a) || ' | ' || printf('%.4f', b) || ' |' line FROM m
+ UNION ALL SELECT 0, '| Model | Accuracy | Return |' UNION ALL SELECT 1, '|-------|----------|--------|'""")
+def method_report(s: SparkSession, d: str) -> DataFrame:
+    return backtest.markdown_table(_by_method(s, d), "method", {"a": "Accuracy", "b": "Return"})
+
+
+@query(f"""WITH {MARKET}, x AS (SELECT ticker, date, count(*) OVER w n, avg(g) OVER w ag, avg(f) OVER w af FROM b1 WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 13 PRECEDING)),
+ y AS (SELECT avg(CASE WHEN n = 14 AND ag + af > 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.95 a FROM x), z AS (SELECT count(DISTINCT CASE WHEN rk <= 0.33 THEN 'l' WHEN rk >= 0.66 THEN 'h' ELSE 'n' END) >= 2 c FROM market)
+ SELECT unnest(['rsi', 'tokens', 'regimes']) AS "check", CASE WHEN unnest([a, true, c]) THEN 'PASS' ELSE 'FAIL' END status FROM y, z""")
+def feature_gates(s: SparkSession, d: str) -> DataFrame:
+    f = indicators.features(X.bars(s, d)).withColumn("technical_event_tokens", indicators.event_tokens())
+    return backtest.quality_gates(f, backtest.feature_gates())
+
+
+@query(f"""WITH {PRED}, x AS (SELECT count(*) >= 5000 a, count(DISTINCT true_label) >= 3 b, count(*) = count(DISTINCT sample_id) c, avg(CASE WHEN sample_id % 10 <> 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.95 d FROM pred)
+ SELECT unnest(['samples', 'classes', 'unique', 'returns']) AS "check", CASE WHEN unnest([a, b, c, d]) THEN 'PASS' ELSE 'FAIL' END status FROM x""")
+def sample_gates(s: SparkSession, d: str) -> DataFrame:
+    """Every tenth return is missing, so that one gate fails."""
+    p = X.predictions(s, d).withColumn("stock_return", F.when(F.col("sample_id") % 10 != 0, F.col("stock_return")))
+    return backtest.quality_gates(p, backtest.sample_gates(label="true_label", change="stock_return"))
 
 
 @query("""SELECT 'test_' || user_id % 7 || '.py' file, count(*) tests, count(*) FILTER (event_type = 'error') failed FROM events GROUP BY 1""")
