@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -136,16 +137,15 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(commonprefix((x, y))) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def _enumerate(pdf: pd.DataFrame) -> pd.DataFrame:
+def _enumerate(rows: pa.Table) -> pa.Table:
     """Both directions of each pair of one initial state's words that differ behind the prefix they share."""
-    n = dict(zip(pdf["word"], pdf["n"], strict=True))
+    n = dict(zip(rows["word"].to_pylist(), rows["n"].to_pylist(), strict=True))
     words = sorted(n)
-    if len(words) < 2:
-        return pd.DataFrame({"word": [], "near": [], "near_n": []}).astype({"near_n": "int64"})
     prefix = commonprefix((words[0], words[-1]))
-    found = [(prefix + a, prefix + b) for a, b in Acceptor([w[len(prefix) :] for w in words]).pairs()]
+    found = list(Acceptor([w[len(prefix) :] for w in words]).pairs()) if len(words) > 1 else []
+    found = [(prefix + a, prefix + b) for a, b in found]
     found += [(b, a) for a, b in found]
-    return pd.DataFrame({"word": [a for a, _ in found], "near": [b for _, b in found], "near_n": pd.Series([n[b] for _, b in found], dtype="int64")})
+    return pa.table({"word": pa.array([a for a, _ in found], pa.string()), "near": pa.array([b for _, b in found], pa.string()), "near_n": pa.array([n[b] for _, b in found], pa.int64())})
 
 
 def _edits_here(d: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def near_pairs(words: DataFrame, most_words: int = MOST_WORDS, most_chars: int =
     whole = settled[0]
     for s in settled[1:]:
         whole = whole.unionByName(s)
-    pairs = whole.groupBy("depth", "key").applyInPandas(_enumerate, "word string, near string, near_n long")
+    pairs = whole.groupBy("depth", "key").applyInArrow(_enumerate, "word string, near string, near_n long")
     for p in out:
         pairs = pairs.unionByName(p)
     return pairs
