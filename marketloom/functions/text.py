@@ -23,6 +23,30 @@ def render_chat(messages: Column) -> Column:
     return F.concat(F.array_join(F.transform(messages, line), "\n"), F.lit("\nAssistant:"))
 
 
+def chat_template(messages: Column, before: dict[str, str], after: str = "\n", opening: str | None = None) -> Column:
+    """Turns end to end, each as its role's mark, its content and `after`; then `opening`, which an answer continues.
+
+    A role without a mark has none of its own: its name stands for it, in lines of their own. Null contents are empty.
+    """
+    marks = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    turn = lambda m: F.concat(F.coalesce(F.try_element_at(marks, m["role"]), F.concat(m["role"], F.lit("\n"))), F.coalesce(m["content"], F.lit("")), F.lit(after))
+    return F.concat(F.array_join(F.transform(messages, turn), ""), F.lit(opening or ""))
+
+
+#: The marks of two common chat formats.
+CHATML = {r: f"<|im_start|>{r}\n" for r in ("system", "user", "assistant")}
+CHATML_END, CHATML_OPENING = "<|im_end|>\n", "<|im_start|>assistant\n"
+
+
+def completion_of(whole: Column, prompt: Column) -> Column:
+    """What a rendered conversation has beyond its rendered prompt; null where it does not begin with it."""
+    return F.when(whole.startswith(prompt), F.substring(whole, F.length(prompt) + 1, F.length(whole)))
+
+
+#: Fixed value: what a masked column holds.
+MASKED = "None"
+
+
 def extract_json(text: Column) -> Column:
     """A fenced block that holds an object, else from the first { to the last }, else all; null if it doesn't parse."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
@@ -197,7 +221,9 @@ def technical_grounding_text(tokens: Column, rationale: Column) -> Column:
 
 
 def utility(action: Column, r: Column, cost: float = 0.001) -> Column:
-    payoff = F.when(action == "long", r - cost).when(action == "short", -r - cost).otherwise(0.0)
+    """The return of an action (any case, white space around it) after costs, on a logistic scale; any other action is worth 0.5."""
+    act = F.lower(F.regexp_replace(action, r"^\s+|\s+$", ""))
+    payoff = F.when(act == "long", r - cost).when(act == "short", -r - cost).otherwise(0.0)
     return 1 / (1 + F.exp(-50 * payoff))
 
 

@@ -114,14 +114,14 @@ def lookback(targets: DataFrame, messages: DataFrame, days: int) -> DataFrame:
     return j.groupBy("ticker", "date").agg(F.array_sort(F.collect_list(F.struct("day", "id", "text"))).alias("m")).select("ticker", "date", F.transform("m", lambda x: x["text"]).alias("texts"))
 
 
-def price_lookback(bars: DataFrame, days: int = 5, price: str = "adj_close") -> DataFrame:
+def price_lookback(bars: DataFrame, days: int = 5, price: str = "adj_close", keep: tuple[str, ...] = ()) -> DataFrame:
     """Prices of the days-1 calendar days before each date in order, and the last one before these (before_price).
 
     Dates without a price in either are left out. Range frames over one order serve both, so there is no self-join.
     """
     w = Window.partitionBy("ticker").orderBy(F.unix_date("date"))
     d = bars.withColumns({"prices": F.collect_list(price).over(w.rangeBetween(1 - days, -1)), "before_price": F.last(price, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, -days))})
-    return d.where((F.size("prices") > 0) & F.col("before_price").isNotNull()).select("ticker", "date", "prices", "before_price")
+    return d.where((F.size("prices") > 0) & F.col("before_price").isNotNull()).select("ticker", "date", "prices", "before_price", *keep)
 
 
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -160,6 +160,7 @@ def align_to_trading_days(samples: DataFrame, messages: DataFrame, most: int) ->
     j = s.join(messages, ["ticker", "day"])
     at = F.array_min(F.filter("dates", lambda t: t > F.col("day")))
     d = j.select("sample_id", F.size("dates").alias("n_days"), at.alias("date"), "day", "id", "text")
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy("sample_id", "n_days", "date").orderBy("day", "id"))).where(F.col("_k") <= most)  # no more than these are collected
     g = d.groupBy("sample_id", "n_days", "date").agg(F.array_sort(F.collect_list(F.struct("day", "id", "text"))).alias("m"))
     g = g.withColumn("_have", F.count(F.lit(1)).over(Window.partitionBy("sample_id"))).where("_have = n_days")
     return g.select("sample_id", "date", F.least(F.size("m"), F.lit(most)).alias("n_msgs"), F.transform(F.slice("m", 1, most), lambda x: x["text"]).alias("msgs"))

@@ -22,14 +22,20 @@ def counterfactuals(df: DataFrame, template: str) -> DataFrame:
 
 
 def direction(label: Column) -> Column:
-    return F.when(label.isin("Strong Up", "Mild Up"), 1).when(label.isin("Strong Down", "Mild Down"), -1).otherwise(0)
+    """-1 for a label with "down" in it, 1 for one with "up", in any spelling of letters; else 0."""
+    x = F.lower(label)
+    return F.when(x.contains("down"), -1).when(x.contains("up"), 1).otherwise(0)
 
 
-def flip_rate(df: DataFrame) -> DataFrame:
-    """Share of samples whose direction differs from the original's, by type. df: sample_id, cf_type, pred_label."""
-    base = F.max(F.when(F.col("cf_type") == "ORIGINAL", direction(F.col("pred_label")))).over(Window.partitionBy("sample_id"))
-    d = df.withColumn("_b", base).where("_b IS NOT NULL AND cf_type <> 'ORIGINAL'")
-    return d.groupBy("cf_type").agg(F.avg((direction(F.col("pred_label")) != F.col("_b")).cast("double")).alias("flip_rate"), F.count(F.lit(1)).alias("n"))
+def flip_rate(df: DataFrame, order: str = "run") -> DataFrame:
+    """Share of samples whose direction differs from the original's, by type. df: sample_id, cf_type, pred_label and order.
+
+    Of rows that repeat a sample and type, the last by `order` counts. Samples without an original are left out.
+    """
+    last = df.groupBy("sample_id", "cf_type").agg(F.max_by(direction(F.col("pred_label")), order).alias("_d"))
+    base = F.max(F.when(F.col("cf_type") == "ORIGINAL", F.col("_d"))).over(Window.partitionBy("sample_id"))
+    d = last.withColumn("_b", base).where("_b IS NOT NULL AND cf_type <> 'ORIGINAL'")
+    return d.groupBy("cf_type").agg(F.avg((F.col("_d") != F.col("_b")).cast("double")).alias("flip_rate"), F.count(F.lit(1)).alias("n"))
 
 
 def action(up: Column, down: Column, least: float = 0.6) -> Column:

@@ -47,17 +47,30 @@ def probability_scores(df: DataFrame, names: tuple[str, ...], p: str = "p", true
     return d.agg(F.avg(-F.ln(F.element_at("_q", F.col("_at")))).alias("nll"), F.avg(sq).alias("brier_sum"), F.avg(sq / len(names)).alias("brier_macro"))
 
 
+def row_normalised(p: Column, eps: float = 1e-9) -> Column:
+    """An array of probabilities divided by its sum and a little."""
+    return F.transform(p, lambda x: x / (total(p) + eps))
+
+
+def bin_of(x: Column, bins: int) -> Column:
+    """0-based number of the equal bin of [0, 1] that holds x, by the edges themselves."""
+    return F.size(F.filter(F.array(*[F.lit(i * (1 / bins)) for i in range(1, bins)]), lambda e: x >= e)).cast("long")
+
+
 def ece(df: DataFrame, names: tuple[str, ...], bins: int = 10, p: str = "p", true: str = "true_label") -> DataFrame:
-    """Expected calibration error of each class over equal bins, and its mean: one exploded aggregation."""
-    d = df.select(F.col(true).alias("t"), F.posexplode(p).alias("k", "p"))
-    d = d.select("k", "p", (F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1) == F.col("t")).cast("double").alias("y"), F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).alias("bin"))
+    """Expected calibration error of each class over equal bins, and its mean: one exploded aggregation.
+
+    Probabilities are divided by their sum first. A bin has its lower edge, the last one both; edges are the multiples of 1 / bins.
+    """
+    d = df.select(F.col(true).alias("t"), F.posexplode(row_normalised(F.col(p))).alias("k", "p"))
+    d = d.select("k", "p", (F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1) == F.col("t")).cast("double").alias("y"), bin_of(F.col("p"), bins).alias("bin"))
     b = d.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("conf"), F.avg("y").alias("acc"))
     by = b.groupBy("k").agg((F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("e"))
     return by.agg(F.avg("e").alias("ece_macro"))
 
 
 def calibration_curve(df: DataFrame, confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
-    b = F.least(F.floor(confidence * bins), F.lit(bins - 1)).alias("bin")
+    b = bin_of(confidence, bins).alias("bin")
     return df.groupBy(b).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(correct.cast("double")).alias("accuracy"))
 
 
@@ -121,7 +134,7 @@ def preference_loss(df: DataFrame, kind: str, beta: float = 0.1, eps: float = 0.
     aot losses pair the sorted values of both sides; ranks come from key-range counts, not from one sort in one task.
     """
     if kind in ("aot", "aot_pair"):
-        from ..sources.io import numbered
+        from ..sources.shared import numbered
 
         c, r, c0, r0 = (F.col(x) for x in ("c", "r", "c0", "r0"))
         one, two = (c - c0, r - r0) if kind == "aot_pair" else (c - r, c0 - r0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import softmax, word_count
+from ..sources.shared import numbered, saved
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -212,19 +213,18 @@ def truncate_after(ids: Column, stop: int, fill: int) -> Column:
     return F.transform(ids, lambda x, i: F.when((at > 0) & (i >= at), fill).otherwise(x))
 
 
-def pack_blocks(df: DataFrame, key: str, ids: str, sep: int | str, length: int, parts: int = 64) -> DataFrame:
+def pack_blocks(df: DataFrame, key: str, ids: str, sep: int | str, length: int) -> DataFrame:
     """Rows laid end to end in key order, each with a separator, cut into blocks of one length; the rest is dropped.
 
-    Offsets come from the sizes of key ranges (`parts` rows) and a window inside each range.
+    Rows are dealt to as many ranges of the key as a shuffle has partitions; offsets come from the ranges' sizes and a
+    window inside each range. Rows that share a key follow each other in any order.
     """
-    bounds = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)))
-    r = F.lit(0)
-    for b in bounds:
-        r = r + F.when(F.col(key) > b, 1).otherwise(0)
-    d = df.select(key, F.concat(F.col(ids), F.array(F.lit(sep))).alias("_t"), r.alias("_r")).withColumn("_n", F.size("_t").cast("long"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(key, F.concat(F.col(ids), F.array(F.lit(sep))).alias("_t")).withColumn("_n", F.size("_t").cast("long"))
+    d = saved(rows.repartitionByRange(parts, key).withColumn("_r", F.spark_partition_id()))
     sizes = d.groupBy("_r").agg(F.sum("_n").alias("_s"))
     before = sizes.select("_r", (F.sum("_s").over(Window.orderBy("_r")) - F.col("_s")).alias("_before"))
-    w = Window.partitionBy("_r").orderBy(key)
+    w = Window.partitionBy("_r").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(F.broadcast(before), "_r").withColumn("_at", F.col("_before") + F.sum("_n").over(w) - F.col("_n"))
     # A row goes to the blocks it reaches as one slice each, not token by token.
     first, last = F.floor(F.col("_at") / length), F.floor((F.col("_at") + F.col("_n") - 1) / length)
@@ -267,8 +267,6 @@ def fit_budget(df: DataFrame, by: str, order: str, text: str, budget: int) -> Da
 
 def batch_prompts(df: DataFrame, key: str, fields: list[str], k: int = 5) -> DataFrame:
     """batch, n_items and a JSON list of k rows each, in key order; numbers come from key ranges, not from one task."""
-    from ..sources.io import numbered
-
     d = numbered(df, key).select(F.floor((F.col("n") - 1) / k).alias("batch"), F.struct("n", F.struct(*fields).alias("row")).alias("x"))
     d = d.groupBy("batch").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return d.select("batch", F.size("x").alias("n_items"), F.to_json(F.transform("x", lambda e: e["row"])).alias("prompt"))
@@ -339,6 +337,14 @@ def index_tokens(df: DataFrame, vocab: DataFrame, key: str, tokens: str, most: i
     return df.select(key).join(j, key, "left").select(key, F.coalesce(F.transform("x", lambda e: e["id"]), F.array().cast("array<int>")).alias("ids"))
 
 
+def vocabulary(words: DataFrame) -> DataFrame:
+    """word, id: the distinct words numbered from 1 in the order of their code points; 0 stays free for unknown ones.
+
+    Numbers come from ranges of the words and the ranges' sizes: no task and no driver holds the vocabulary. Null is no word.
+    """
+    return numbered(words.where("word IS NOT NULL").select("word").distinct(), "word", name="id").select("word", F.col("id").cast("int").alias("id"))
+
+
 def stock_word_ids(stocks: DataFrame, vocab: DataFrame) -> DataFrame:
     """stock_id, word_id: the vocabulary's id of each symbol in lower case, null if it has none."""
     return stocks.select("stock_id", F.lower("symbol").alias("word")).join(vocab, "word", "left").select("stock_id", F.col("id").alias("word_id"))

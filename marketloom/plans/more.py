@@ -351,15 +351,15 @@ def movement_phases(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) k FROM bars), sm AS (SELECT a.ticker ticker, a.date d3, b.date d2, c.date d1, a.k k FROM n a JOIN n b ON a.ticker = b.ticker AND b.k = a.k - 1 JOIN n c ON a.ticker = c.ticker AND c.k = a.k - 2 WHERE a.k % 3 = 0),
  ms AS (SELECT ticker, date_add(DATE '1995-01-02', CAST(doc_id * 7 % 60 AS INT)) d, doc_id FROM (SELECT DISTINCT p_brand ticker, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) % 25 b FROM part) JOIN documents ON doc_id % 25 = b),
- j AS (SELECT sm.ticker ticker, k, CASE WHEN d < d1 THEN d1 WHEN d < d2 THEN d2 ELSE d3 END tday, doc_id FROM sm JOIN ms ON sm.ticker = ms.ticker AND d >= d1 - 20 AND d < d3), g AS (SELECT ticker, k, tday, least(count(*), 2) n_msgs FROM j GROUP BY ALL)
- SELECT ticker, CAST(k AS BIGINT) k, CAST(tday AS DATE) date, n_msgs FROM g QUALIFY count(*) OVER (PARTITION BY ticker, k) = 3""".replace("date_add(DATE '1995-01-02', CAST(doc_id * 7 % 60 AS INT))", "DATE '1995-01-02' + CAST(doc_id * 7 % 60 AS INT)"))
+ j AS (SELECT sm.ticker ticker, k, CASE WHEN d < d1 THEN d1 WHEN d < d2 THEN d2 ELSE d3 END tday, doc_id, d md FROM sm JOIN ms ON sm.ticker = ms.ticker AND d >= d1 - 20 AND d < d3), j2 AS (SELECT j.*, source, row_number() OVER (PARTITION BY ticker, k, tday ORDER BY md, 'n' || j.doc_id) rk FROM j JOIN documents USING (doc_id)), g AS (SELECT ticker, k, tday, least(count(*), 2) n_msgs, string_agg(source, '|' ORDER BY rk) FILTER (rk <= 2) msgs FROM j2 GROUP BY ALL)
+ SELECT ticker, CAST(k AS BIGINT) k, CAST(tday AS DATE) date, n_msgs, msgs FROM g QUALIFY count(*) OVER (PARTITION BY ticker, k) = 3""".replace("date_add(DATE '1995-01-02', CAST(doc_id * 7 % 60 AS INT))", "DATE '1995-01-02' + CAST(doc_id * 7 % 60 AS INT)"))
 def trading_day_messages(s: SparkSession, d: str) -> DataFrame:
     """Samples of three trading days that all have messages of the days before them."""
     w = align.by_ticker()
     b = X.bars(s, d).select("ticker", "date", F.row_number().over(w).cast("long").alias("k"), F.lag("date", 1).over(w).alias("d2"), F.lag("date", 2).over(w).alias("d1"))
     b = b.where("k % 3 = 0").select("ticker", F.struct("ticker", "k").alias("sample_id"), F.array("d1", "d2", "date").alias("dates"), F.date_sub("d1", 20).alias("first_day"))
     n = X.news(s, d).select("ticker", F.date_add(F.lit("1995-01-02").cast("date"), (F.substring("news_id", 2, 20).cast("long") * 7 % 60).cast("int")).alias("day"), F.col("news_id").alias("id"), F.col("source").alias("text"))
-    return align.align_to_trading_days(b, n, 2).select("sample_id.ticker", "sample_id.k", "date", F.col("n_msgs").cast("long").alias("n_msgs"))
+    return align.align_to_trading_days(b, n, 2).select("sample_id.ticker", "sample_id.k", "date", F.col("n_msgs").cast("long").alias("n_msgs"), F.array_join("msgs", "|").alias("msgs"))
 
 
 @query("""WITH t AS (SELECT 'U' || user_id ticker, date_trunc('hour', ts) bar, first(value ORDER BY ts, event_id) o, max(value) h, min(value) l, last(value ORDER BY ts, event_id) c, count(*) n FROM events GROUP BY ALL),
@@ -379,8 +379,7 @@ VOCAB = "vb AS (SELECT w, CAST(row_number() OVER (ORDER BY w) AS INT) id FROM (S
 @query(f"""WITH {CONV}, {VOCAB}, t AS (SELECT conv_id, turn, unnest(w[1:12]) x, generate_subscripts(w[1:12], 1) i FROM cv) SELECT conv_id * 100 + turn k, count(*) n, CAST(sum(coalesce(id, 0) * i) AS BIGINT) checksum, count(*) FILTER (id IS NULL) n_unknown FROM t LEFT JOIN vb ON vb.w = x GROUP BY ALL""")
 def vocabulary_index(s: SparkSession, d: str) -> DataFrame:
     c = _turns(s, d).withColumn("k", F.col("conv_id") * 100 + F.col("turn"))
-    words = c.where("conv_id % 2 = 0").select(F.explode("w").alias("word")).distinct().orderBy("word")
-    vocab = words.agg(F.array_sort(F.collect_list("word")).alias("a")).select(F.posexplode("a").alias("i", "word")).select("word", (F.col("i") + 1).alias("id"))
+    vocab = preference.vocabulary(c.where("conv_id % 2 = 0").select(F.explode("w").alias("word")))
     x = preference.index_tokens(c, vocab, "k", "w", 12)
     weighted = F.aggregate(F.transform("ids", lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v)
     return x.select("k", F.size("ids").cast("long").alias("n"), weighted.alias("checksum"), F.size(F.filter("ids", lambda v: v == 0)).cast("long").alias("n_unknown"))

@@ -319,12 +319,17 @@ def backtest_metrics(s: SparkSession, d: str) -> DataFrame:
     return m.select("trades", "longs", "shorts", *[r(c, 6).alias(c) for c in ("total_return", "sharpe", "max_drawdown", "win_rate")])
 
 
-@query(f"""WITH {PRED}, x AS (SELECT sample_id, unnest(['ORIGINAL','CF_NEWS_REMOVE','CF_TECH_NEUTRALIZE','CF_REGIME_FLIP']) cf_type, unnest([pred_label, true_label, 'Neutral', pred_label]) l FROM pred),
- y AS (SELECT *, CASE WHEN l LIKE '%Up' THEN 1 WHEN l LIKE '%Down' THEN -1 ELSE 0 END dir FROM x) SELECT a.cf_type, round(avg(CASE WHEN a.dir <> b.dir THEN 1.0::DOUBLE ELSE 0 END), 6) flip_rate, count(*) n FROM y a JOIN y b ON a.sample_id = b.sample_id AND b.cf_type = 'ORIGINAL' AND a.cf_type <> 'ORIGINAL' GROUP BY ALL""")
+@query(f"""WITH {PRED}, x AS (SELECT sample_id, unnest(['ORIGINAL','CF_NEWS_REMOVE','CF_TECH_NEUTRALIZE','CF_REGIME_FLIP']) cf_type, unnest([pred_label, true_label, 'Neutral', pred_label]) l, unnest([0, 0, 0, 0]) run FROM pred
+  UNION ALL SELECT sample_id, 'CF_REGIME_FLIP', CASE WHEN sample_id % 3 = 0 THEN 'strong_down' ELSE 'MILD_UP' END, 1 FROM pred WHERE sample_id % 4 = 0 UNION ALL SELECT sample_id, 'ORIGINAL', 'neutral', -1 FROM pred),
+ y AS (SELECT *, CASE WHEN lower(l) LIKE '%down%' THEN -1 WHEN lower(l) LIKE '%up%' THEN 1 ELSE 0 END dir FROM x QUALIFY row_number() OVER (PARTITION BY sample_id, cf_type ORDER BY run DESC) = 1) SELECT a.cf_type, round(avg(CASE WHEN a.dir <> b.dir THEN 1.0::DOUBLE ELSE 0 END), 6) flip_rate, count(*) n FROM y a JOIN y b ON a.sample_id = b.sample_id AND b.cf_type = 'ORIGINAL' AND a.cf_type <> 'ORIGINAL' GROUP BY ALL""")
 def counterfactual_flips(s: SparkSession, d: str) -> DataFrame:
     kinds = [("ORIGINAL", F.col("pred_label")), ("CF_NEWS_REMOVE", F.col("true_label")), ("CF_TECH_NEUTRALIZE", F.lit("Neutral")), ("CF_REGIME_FLIP", F.col("pred_label"))]
     x = X.predictions(s, d).select("sample_id", F.explode(F.array(*[F.struct(F.lit(k).alias("cf_type"), v.alias("pred_label")) for k, v in kinds])).alias("x")).select("sample_id", "x.*")
-    return backtest.flip_rate(x).withColumn("flip_rate", r("flip_rate", 6))
+    x = x.withColumn("run", F.lit(0))
+    i = F.col("sample_id")
+    again = X.predictions(s, d).where(i % 4 == 0).select("sample_id", F.lit("CF_REGIME_FLIP").alias("cf_type"), F.when(i % 3 == 0, "strong_down").otherwise("MILD_UP").alias("pred_label"), F.lit(1).alias("run"))
+    earlier = X.predictions(s, d).select("sample_id", F.lit("ORIGINAL").alias("cf_type"), F.lit("neutral").alias("pred_label"), F.lit(-1).alias("run"))
+    return backtest.flip_rate(x.unionByName(again).unionByName(earlier)).withColumn("flip_rate", r("flip_rate", 6))
 
 
 @query("""WITH t AS (SELECT conv_id * 100 + turn k, unnest(list_concat(regexp_split_to_array(trim("text"), '\\s+'), ['<sep>'])) w, generate_subscripts(list_concat(regexp_split_to_array(trim("text"), '\\s+'), ['<sep>']), 1) i FROM conversations),

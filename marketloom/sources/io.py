@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .shared import numbered
 
 #: Words in file names that give away a file's role.
 ROLES = (("news", ("news", "headline", "article")), ("price", ("price", "ohlcv", "stock", "history")), ("metadata", ("meta", "readme", "info")))
@@ -37,9 +38,9 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite")
 
 
 def scan_dated_dirs(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """JSON lines in <root>/<ticker>/<date>..., with ticker and date from the path."""
+    """JSON lines in <root>/<ticker>/<date>..., a file or a folder of files for each date, with ticker and date from the path."""
     d = spark.read.schema(schema).json(f"{root}/*/*").withColumn("_f", F.col("_metadata.file_path"))
-    part = lambda i: F.regexp_extract("_f", r"([^/]+)/(\d{4}-\d{2}-\d{2})[^/]*$", i)
+    part = lambda i: F.regexp_extract("_f", r"([^/]+)/(\d{4}-\d{2}-\d{2})[^/]*(?:/[^/]+)?$", i)
     return d.withColumns({"ticker": part(1), "date": F.try_to_date(part(2))}).drop("_f")
 
 
@@ -57,21 +58,6 @@ def head_preview(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def numbered(df: DataFrame, key: str, parts: int = 64, name: str = "n") -> DataFrame:
-    """Global row numbers from 1 in key order without a window over all rows: ranges, their sizes, ranks inside each.
-
-    key must be numeric; rows that share a key are numbered in any order.
-    """
-    bounds = df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001)
-    k = F.lit(0)
-    for b in sorted(set(bounds)):
-        k = k + F.when(F.col(key) > b, 1).otherwise(0)
-    d = df.withColumn("_r", k)
-    sizes = d.groupBy("_r").count()
-    before = sizes.select("_r", (F.sum("count").over(Window.orderBy("_r")) - F.col("count")).alias("_before"))  # `parts` rows
-    return d.join(F.broadcast(before), "_r").withColumn(name, F.row_number().over(Window.partitionBy("_r").orderBy(key)) + F.col("_before")).drop("_r", "_before")
-
-
 def batch_requests(df: DataFrame, key: str, prompt: str, model: str, chunk: int = 1000) -> DataFrame:
     """Request lines with the part they belong to, `chunk` a part in key order."""
     body = F.struct(F.lit(model).alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col(prompt).alias("content"))).alias("messages"))

@@ -13,8 +13,9 @@ def stream_table(spark, path: str, schema) -> DataFrame:
 
 
 def hash_take(stream: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """(validation, training) parts of a stream by key digest; the same rows in any batch order."""
-    b = F.pmod(F.xxhash64(key), F.lit(10000)) < int(share * 10000)
+    """(validation, training) parts of a stream by key digest; the same rows in any batch order. A null key is its own value."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(42)))
+    b = F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") % 10000 < int(share * 10000)
     return stream.where(b), stream.where(~b)
 
 
@@ -25,7 +26,7 @@ def running_moments(stream: DataFrame, x: str) -> DataFrame:
 def streaming_bars(stream: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Bars of a tick stream; a bar is final once the watermark has passed it."""
     at = F.struct("ts", "event_id")
-    d = stream.withWatermark("ts", late).groupBy("ticker", F.window("ts", width).alias("w"))
+    d = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("ticker", F.window("ts", width).alias("w"))
     return d.agg(F.min_by("px", at).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", at).alias("close"), F.count(F.lit(1)).alias("n_ticks")).select("ticker", F.col("w.start").alias("bar"), "open", "high", "low", "close", "n_ticks")
 
 
