@@ -7,7 +7,9 @@ it fits, so a blocked alias never overrides it. Everything is SQL functions; no
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from .graph import connected_components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: So many rules are part of the plan as literals; longer lists become a table.
 MAX_RULES = 200
+#: The bytes that the Windows table of Western letters leaves undefined.
+UNDEFINED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 
 
 def _rest(url: Column) -> Column:
@@ -43,10 +47,10 @@ def url_key(url: Column) -> Column:
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """struct(rule, action) of the longest rule that fits, null if none. rules: (action, 'host/path'), part of the plan
+    """struct(rule, action) of the longest rule that fits, of equally long ones an allow; null if none. rules: (action, 'host/path'), part of the plan
     as literals; `match_rules` takes a table of any size."""
     out = F.lit(None).cast("struct<rule:string,action:string>")
-    for action, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):  # the longest is tested first
+    for action, rule in sorted(rules, key=lambda r: (len(r[1]), r[0] == "allow", r[1])):  # the longest is tested first, of equal ones allow
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(action).alias("action"))).otherwise(out)
@@ -54,7 +58,7 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 
 def match_rules(d: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], host: str, path: str, out: str) -> DataFrame:
-    """d with the column `out`: struct(rule, action) of the longest rule that fits, null if none.
+    """d with the column `out`: struct(rule, action) of the longest rule that fits, of equally long ones an allow; null if none.
 
     A table of rules (action, rule) is joined on the suffixes of each distinct host, so that its size does not matter.
     """
@@ -70,25 +74,36 @@ def match_rules(d: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], host
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     urls = d.select(F.col(host).alias("_h"), F.col(path).alias("_p")).distinct()
     fits = urls.withColumn("_name", F.explode(suffixes)).join(r, "_name").where(F.col("_p").startswith(F.col("_rest")))
-    best = fits.groupBy("_h", "_p").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "action")).alias("_b"))
+    best = fits.groupBy("_h", "_p").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allow"), "rule", "action")).alias("_b"))
     best = best.select("_h", "_p", F.struct(F.col("_b.rule").alias("rule"), F.col("_b.action").alias("action")).alias(out))
     return d.join(best, (d[host] == best["_h"]) & (d[path] == best["_p"]), "left").drop("_h", "_p")
 
 
-#: The named character references that links hold; & itself comes last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+#: A character reference, with what tells whether it ends, or text up to the next one.
+_PIECES = r"(&#[xX][0-9A-Fa-f]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*[;=]?|[^&]+|&)"
 
 
-def _unescaped(d: DataFrame, x: str) -> DataFrame:
-    """d with the character references of column x decoded: numeric ones, then the named ones above."""
-    d = d.withColumn("_refs", F.array_distinct(F.regexp_extract_all(F.col(x), F.lit(r"(&#[xX]?[0-9A-Fa-f]{1,6};?)"), F.lit(1))))
-    digits = lambda r: F.regexp_extract(r, r"([0-9A-Fa-f]+)", 1)
-    code = lambda r: F.when(r.rlike("^&#[xX]"), F.lpad(digits(r), 8, "0")).otherwise(F.lpad(F.hex(digits(r).try_cast("long")), 8, "0"))
-    char = lambda r: F.coalesce(F.when(code(r) <= "0010FFFF", F.decode(F.unhex(code(r)), "UTF-32")), F.lit("�"))
-    d = d.withColumn(x, F.aggregate("_refs", F.col(x), lambda acc, r: F.replace(acc, r, char(r)))).drop("_refs")
-    for name, ch in (*REFERENCES, ("&amp;", "&")):
-        d = d.withColumn(x, F.replace(F.col(x), F.lit(name), F.lit(ch)))
-    return d
+def unescaped(x: Column) -> Column:
+    """An attribute's value with its character references decoded, each once, from left to right.
+
+    Numbers are code points (those from 128 to 159 by the Windows table that browsers use; 0, surrogates and what is too
+    large give U+FFFD); names are those of the HTML standard. A name without a semicolon that a letter, a digit or = follows
+    is text, as the standard has it for attributes.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")  # a constant of the plan
+    windows = F.create_map(*[F.lit(v) for i in range(128, 160) for v in (i, bytes([i]).decode("cp1252", "replace") if i not in UNDEFINED else chr(i))])
+
+    def char(code: Column) -> Column:
+        hexed = F.lpad(F.hex(code), 8, "0")
+        odd = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+        return F.when(odd, "\uFFFD").when(code.between(128, 159), F.try_element_at(windows, code.cast("int"))).otherwise(F.decode(F.unhex(F.when(odd, F.lit("0000FFFD")).otherwise(hexed)), "UTF-32"))
+
+    def decoded(p: Column) -> Column:
+        digits = F.regexp_extract(p, r"^&#[xX]?0*([0-9A-Fa-f]*)", 1)
+        number = F.when(F.length(digits) > 7, F.lit(0x110000)).otherwise(F.coalesce(F.when(p.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long"), F.lit(0)))
+        return F.when(p.rlike("^&#[xX]?[0-9A-Fa-f]"), char(number)).when(p.startswith("&"), F.coalesce(F.try_element_at(names, F.substring(p, 2, 1 << 30)), p)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_PIECES), F.lit(1)), decoded), "")
 
 
 def _attribute(tag: str, name: str) -> Column:
@@ -107,30 +122,41 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(empty)), "/"))
 
 
+def _resolved(links: DataFrame, u: str, t: str, out: str) -> DataFrame:
+    """links with the column out: link t of a page u as a whole url by the rules of RFC 3986, null for other schemes and empty links."""
+    names = [c for c in ("_t", "_scheme", "_base", "_own", "_path", "_query")]
+    d = links.withColumn("_t", F.regexp_replace(F.regexp_replace(unescaped(F.col(t)), r"^\s+|\s+$|[\t\r\n]", ""), r"#.*$", ""))
+    x = F.col("_t")
+    d = d.withColumns({"_scheme": F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), "_base": url_host(F.col(u)), "_own": url_path(F.col(u)), "_path": F.regexp_extract("_t", r"^([^?]*)", 1), "_query": F.regexp_extract("_t", r"^[^?]*(\?.*)", 1)})
+    folder = F.when(F.col("_own") == "", F.lit("/")).otherwise(F.regexp_replace("_own", r"[^/]*$", ""))
+    path = F.when(F.col("_path") == "", F.col("_own")).when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat(folder, "_path"))
+    d = d.withColumn("_path", path)
+    near = F.concat("_scheme", F.lit("://"), "_base", F.when(F.col("_path") == "", "").otherwise(_without_dots(F.col("_path"))), "_query")
+    whole = F.when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), x).when(x.startswith("//"), F.concat("_scheme", F.lit(":"), x)).otherwise(near)
+    good = (x != "") & (x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") | ~x.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
+    return d.withColumn(out, F.when(good, whole)).drop(*names)
+
+
 def resolved_links(links: DataFrame) -> DataFrame:
     """u, full: the links t of pages u as whole urls by the rules of RFC 3986; those of other schemes are left out."""
-    links = _unescaped(links, "t").withColumn("t", F.regexp_replace(F.regexp_replace("t", r"^\s+|\s+$|[\t\r\n]", ""), r"#.*$", ""))
-    u, t = F.col("u"), F.col("t")
-    links = links.where((t != "") & (t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://") | ~t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")))
-    links = links.withColumns({"scheme": F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), "base": url_host(u), "own": url_path(u)})
-    links = links.withColumn("full", F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat("scheme", F.lit(":"), t)))
-    links = links.withColumns({"path": F.regexp_extract("t", r"^([^?]*)", 1), "query": F.regexp_extract("t", r"^[^?]*(\?.*)", 1)})
-    folder = F.when(F.col("own") == "", F.lit("/")).otherwise(F.regexp_replace("own", r"[^/]*$", ""))
-    links = links.withColumn("path", F.when(F.col("path") == "", F.col("own")).when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(folder, "path")))
-    return links.select("u", F.coalesce("full", F.concat("scheme", F.lit("://"), "base", F.when(F.col("path") == "", "").otherwise(_without_dots(F.col("path"))), "query")).alias("full"))
+    return _resolved(links, "u", "t", "full").where("full IS NOT NULL").select("u", "full")
 
 
 def alias_urls(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) urls of redirect (meta refresh) and canonical links in the pages' markup, resolved; links in comments,
-    scripts and styles are none. A <base> element is not looked at."""
+    """(src, dst) urls of redirect (meta refresh) and canonical links in the pages' markup, resolved against the page's url or
+    the first <base> element that has a link; links in comments, scripts and styles are none."""
     page = pages.where(F.col(html).rlike(r"(?i)canonical|refresh") & (F.instr(F.col(url), "://") > 0)).select(F.col(url).alias("u"), F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|template)\b.*?(?:</\1\s*>|\z)", " ").alias("h"))
-    tags = F.regexp_extract_all(F.col("h"), F.lit(r"(?is)(<(?:link|meta)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
-    page = page.select("u", F.explode(tags).alias("tag"))
+    tags = F.regexp_extract_all(F.col("h"), F.lit(r"(?is)(<(?:link|meta|base)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)"), F.lit(1))
+    page = page.select("u", tags.alias("tags"))
+    page = page.withColumn("first_base", F.coalesce(F.get(F.filter("tags", lambda x: x.rlike(r"(?is)^<base\b.*[\s\"'/]href\s*=")), F.lit(0)), F.lit("")))
+    page = _resolved(page.withColumn("base_link", _attribute("first_base", "href")), "u", "base_link", "from")
+    page = page.select("u", F.coalesce("from", "u").alias("from"), F.explode("tags").alias("tag"))
     page = page.withColumns({"rel": F.lower(_attribute("tag", "rel")), "equiv": F.lower(_attribute("tag", "http-equiv")), "href": _attribute("tag", "href"), "content": _attribute("tag", "content")})
     to = F.when(F.col("tag").rlike("(?i)^<link") & F.array_contains(F.split("rel", r"\s+"), "canonical"), F.col("href")).when(
         F.col("tag").rlike("(?i)^<meta") & (F.col("equiv") == "refresh"), F.regexp_extract("content", r"(?is)^[^;,\s]*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"']+)", 1)
     )
-    return resolved_links(page.select("u", to.alias("t")).where("t <> ''")).select(F.col("u").alias("src"), F.col("full").alias("dst"))
+    links = _resolved(page.select("u", "from", to.alias("t")).where("t <> ''"), "from", "t", "full").where("full IS NOT NULL")
+    return links.select(F.col("u").alias("src"), F.col("full").alias("dst"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str]], url: str = "url", html: str | None = "html", edges: DataFrame | None = None, default: str = "allow") -> DataFrame:
