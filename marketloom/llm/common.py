@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -57,6 +58,17 @@ def join_spread(d: DataFrame, t: DataFrame, key: str, n: str, rows: int) -> Data
     return marked.where(F.col(n).isNotNull()).unionByName(rest)
 
 
+def longs_as_text(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with its 64-bit columns among names as text, and which these are. Pandas turns such a column into doubles where it
+    holds a null, and they lose what is beyond 2^53."""
+    big = [f.name for f in df.schema.fields if f.name in names and isinstance(f.dataType, LongType)]
+    return df.withColumns({c: F.col(f"`{c}`").cast("string") for c in big}), big
+
+
+def longs_again(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.withColumns({c: F.col(f"`{c}`").cast("long") for c in names})
+
+
 def vocab(name: str) -> str:
     """The path of a public tokenizer's file."""
     import public_tokenizers

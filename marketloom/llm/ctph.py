@@ -18,7 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import longs_again, shuffle_partitions
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST_BLOCK, LENGTH, GATE = 7, 3, 64, 7
@@ -116,31 +116,38 @@ def next_in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     own = d.withColumn("extra", F.lit(False))
     if not moves:
         return own
-    to = F.create_map(*[F.lit(x) for m in moves for x in m])
-    first = d.where(F.col("key").isin([m[0] for m in moves])).withColumns({"bucket": to[F.col("key")], "extra": F.lit(True)})
+    to = F.broadcast(spark.createDataFrame(moves, "key long, _to double"))  # a row for each bucket
+    first = d.join(to, "key").withColumns({"bucket": F.col("_to"), "extra": F.lit(True)}).select(own.columns)
     return own.unionByName(first)
 
 
 def fingerprint_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its copy whose last third comes from the next document's start."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+
+    The edited text is a copy whose last third comes from the start of the next document by descending id; after the last
+    comes the first. Null texts are empty ones, whose fingerprint is that of no chunk; null ids come last; rows that share an
+    id follow each other by a digest of their texts, and repeated rows each have their row, with one another as next. A
+    table of one row has itself as next; an empty one gives an empty one. Texts are read whole whatever their length, a
+    task holds two of them at a time besides a batch. Other columns may have any names.
+    """
     rows = next_in_order(docs, doc_id, text)
     rows = rows.withColumn("digest", F.xxhash64("text")).repartition(shuffle_partitions(docs.sparkSession), "bucket")
-    rows = rows.sortWithinPartitions("bucket", "extra", F.desc("key"), "digest").select("bucket", "extra", "id", "text")
+    rows = rows.sortWithinPartitions("bucket", "extra", F.desc("key"), "digest").select("bucket", "extra", F.col("id").cast("string").alias("id"), "text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row that waits for its successor
         for pdf in parts:
             out = []
-            for bucket, extra, i, null, t in zip(pdf["bucket"], pdf["extra"], pdf["id"].fillna(0), pdf["id"].isna(), pdf["text"], strict=True):
+            for bucket, extra, i, t in zip(pdf["bucket"], pdf["extra"], pdf["id"], pdf["text"], strict=True):
                 f = fingerprint(t)
                 if held is not None and held[0] == bucket:
-                    _, hi, hnull, ht, hf = held
+                    _, hi, ht, hf = held
                     k = len(ht) // 3
                     edited = ht[: len(ht) - k] + t[:k]
                     ef = fingerprint(edited)
                     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((None if hnull else int(hi), len(ht), sha, hf, ef, likeness(hf, ef), likeness(hf, f)))
-                held = None if extra else (bucket, i, null, t, f)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                    out.append((hi, len(ht), sha, hf, ef, likeness(hf, ef), likeness(hf, f)))
+                held = None if extra else (bucket, i, t, f)
+            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return rows.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return longs_again(rows.mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"), ["doc_id"])

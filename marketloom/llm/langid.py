@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import longs_again, longs_as_text
+
 BITS, MAX_N, ALPHA = 16, 3, 0.5
 #: The broadcast matrix holds 4 bytes for each language and bucket; with more languages there are fewer buckets.
 MAX_MATRIX_MB, LEAST_BITS = 64, 8
@@ -153,6 +155,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str], tex
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(*keep, F.col(text).alias("__text"))
     names = [c for c in d.columns if c != "__text" and c not in out]
+    d, big = longs_as_text(d, names)
 
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -160,4 +163,4 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column | str], tex
             yield pdf[names].assign(**{out[0]: langs, out[1]: sure})
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields if f.name in names)
-    return d.mapInPandas(score, f"{schema}`{out[0]}` string, `{out[1]}` double")
+    return longs_again(d.mapInPandas(score, f"{schema}`{out[0]}` string, `{out[1]}` double"), big)

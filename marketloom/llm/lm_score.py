@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import longs_again
 from .corpus_counts import chunk_of, corpus_counts, sum_keys, unpack_counts
 from .word_hash import mix, word_hashes
 
@@ -69,12 +70,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
 
     target: a table with the ids of target documents in column doc_id. difference = target_loss - background_loss
     in bits a token; below 0: more like the target. Null and empty texts have no tokens and 0 for all three; null
-    ids are kept, and are never targets; rows that share a target id are all targets; no rows give no rows.
+    ids are kept, and are never targets; rows that share a target id are all targets; no rows give no rows. Very long
+    texts count whole; other columns, whatever their names, take no part.
     """
     marks = target.select(F.col(doc_id).cast("long").alias("id"), F.lit(None).cast("string").alias("text")).where("id IS NOT NULL").distinct()
     d = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).unionByName(marks)
     # Null ids are dealt by text.
-    d = d.select(chunk_of(F.coalesce("id", F.xxhash64("text")), d).alias("chunk"), "id", "text")
+    d = d.select(chunk_of(F.coalesce("id", F.xxhash64("text")), d).alias("chunk"), F.col("id").cast("string").alias("id"), "text")
 
     def run(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         answers = answers.sort_values("bucket")
@@ -96,7 +98,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
                 loss.append(_loss(c[:n], c[n : 2 * n], before, tokens[channel] - n * member, vocabulary))
             out.append((i, n, *loss))
         got = pd.DataFrame(out, columns=["id", "n_tokens", "target_loss", "background_loss"])
-        return got.assign(id=got["id"].astype("Int64"), difference=got["target_loss"] - got["background_loss"])
+        return got.assign(difference=got["target_loss"] - got["background_loss"])
 
     counts = corpus_counts(d, _own_keys, 2, "aligned", _summary)
-    return d.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(run, "id long, n_tokens long, target_loss double, background_loss double, difference double")
+    scored = d.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(run, "id string, n_tokens long, target_loss double, background_loss double, difference double")
+    return longs_again(scored, ["id"])

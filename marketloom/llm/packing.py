@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .byte_bpe import bpe_for
-from .common import saved, shuffle_partitions
+from .common import longs_again, longs_as_text, saved, shuffle_partitions
 
 #: Pieces of one length are numbered in so many parts, so that no length is numbered in one task; whole windows, which
 #: need no partner, in WHOLE_PARTS for each shuffle partition.
@@ -131,10 +131,10 @@ def pack(docs: DataFrame, vocab_path: str, window: int = 1024, end_id: int = 0,
     in front; other columns may have any names.
     """
     # The text's digest tells rows apart that share an id; equal rows may take each other's places.
-    key = F.struct(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    key = F.struct(F.col(doc_id).cast("long").cast("string").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
     kept = {f"_k{i}": f"kept_{c}" if c in RESULT else c for i, c in enumerate(keep)}
-    d = docs.select(key.alias("_key"), *[F.col(c).alias(n) for n, c in zip(kept, keep, strict=True)], F.col(text).alias("_text"))
-    kept_schema = "id long, h long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in kept)
+    d, big = longs_as_text(docs.select(key.alias("_key"), *[F.col(c).alias(n) for n, c in zip(kept, keep, strict=True)], F.col(text).alias("_text")), list(kept))
+    kept_schema = "id string, h long" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in kept)
     d = d.select("_key.*", *kept, "_text")
     cols = ["id", "h", *kept]
     whole_parts = WHOLE_PARTS * shuffle_partitions(docs.sparkSession)
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, vocab_path: str, window: int = 1024, end_id: int = 0,
     placed = numbered.mapInPandas(place, kept_schema + piece + ", sequence_id long, offset long")
     if plan.tail:
         placed = _cut_tail(saved(placed), d, cols, kept_schema, plan.windows, window, edges, vocab_path, end_id)
-    return placed.select(F.col("id").alias("doc_id"), *[F.col(n).alias(c) for n, c in kept.items()], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return longs_again(placed, ["id", *big]).select(F.col("id").alias("doc_id"), *[F.col(n).alias(c) for n, c in kept.items()], "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def _cut_tail(placed: DataFrame, d: DataFrame, cols: list[str], kept: str, windows: int, window: int, edges: np.ndarray, vocab_path: str, end_id: int) -> DataFrame:

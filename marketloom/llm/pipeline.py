@@ -32,7 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is at least LANGUAGE_LEAST sure; where lang is null, it becomes the prediction.
 
-    Texts that are null, empty or without a letter have no language and go; equal texts get equal predictions.
+    Texts that are null, empty or without a letter have no language and go; equal texts get equal predictions. Where no
+    document has a language to learn from, none can be told and all stay.
     """
     model = langid.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
     if not model.langs:  # nothing to learn from: no document can be told

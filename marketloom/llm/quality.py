@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import longs_again, longs_as_text
+
 WORDS, HIDDEN, GATE = 50, 16, 8
 #: The model is fitted on so many labelled documents of each class at most, those of least hash.
 SAMPLE_PER_CLASS, EPOCHS, BATCH, SEED = 2000, 25, 64, 7
@@ -168,10 +170,11 @@ def score(docs: DataFrame, model: MilModel, keep: list[Column | str], text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     d = docs.select(*keep, F.col(text).alias("__text"))
     names = [c for c in d.columns[:-1] if c != out]
+    d, big = longs_as_text(d, names)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             yield pdf[names].assign(**{out: [shared.value.score(passages(t)) for t in pdf["__text"]]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields if f.name in names)
-    return d.mapInPandas(run, f"{schema}, `{out}` double")
+    return longs_again(d.mapInPandas(run, f"{schema}, `{out}` double"), big)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import longs_again, longs_as_text
+
 MARK = "▁"
 _CUT = re.compile(rf"(?<=[^{MARK}])(?={MARK})")
 MAX_WORD, MAX_CACHE = 64, 300_000
@@ -287,7 +289,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     take a heap agenda, so that time grows little faster than length. Repeated rows stay, each with its ids; other
     columns may have any names; an empty table gives an empty table.
     """
-    d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    d, big = longs_as_text(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")), list(keep))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields[:-1]) + f"`{ids}` array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,4 +302,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                 out = whole[list(keep)].iloc[a:b].assign(**{ids: got})
                 yield out.assign(**{decoded: enc.decode_batch([x.tolist() for x in got])}) if decoded else out
 
-    return d.mapInPandas(run, schema)
+    return longs_again(d.mapInPandas(run, schema), big)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import saved
+from .common import longs_again, longs_as_text, saved
 from .url_filters import url_host
 
 #: A wrapper's shape comes from so many pages of the layout at most, those of least hash among different pages. A text
@@ -539,10 +539,10 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: s
     whole; no rows give no rows; a kept column of the name `out` is replaced, other columns may have any names.
     """
     keep = tuple(c for c in keep if c != out)
-    d = pages.select(*keep, F.col(html).alias("__html"), url_host(F.col(url)).alias("__host"))
+    d, big = longs_as_text(pages.select(*keep, F.col(html).alias("__html"), url_host(F.col(url)).alias("__host")), list(keep))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema.fields if f.name in keep) + f"`{out}` string"
 
     def run(pdf: pd.DataFrame, wrappers: list[str | None]) -> pd.DataFrame:
         return pdf[list(keep)].assign(**{out: [main_text(h, w) for h, w in zip(pdf["__html"], wrappers, strict=True)]})
 
-    return _each(d, induce_wrappers(pages, url, html), run, schema)
+    return longs_again(_each(d, induce_wrappers(pages, url, html), run, schema), big)

@@ -186,3 +186,60 @@ def test_frequent_pieces_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "TABLE_SIZE", 3)
     got = token_counts.frequent_pieces(df, BPE, F.col("doc_id"), "text")
     assert got[:2] == ["common", "word"] and len(got) <= 3
+
+
+def test_ids_beyond_doubles_stay_exact_beside_null(spark):
+    """pandas makes doubles of a 64-bit column that holds a null; no operator may."""
+    from marketloom.llm import ctph, langid, lm_score, packing, pipeline, quality, spm, wrappers
+
+    ids = [2**53 + 1, None, -(2**60) - 1, 7]
+    rows = [(i, f"eine kleine Zeile Text {k} mit Wörtern", "de", 2**53 + 3 if k else None) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra long").coalesce(1)
+    has = lambda out, c="doc_id": sorted((r[c] for r in out.collect()), key=repr) == sorted(ids, key=repr)
+    model = quality.MilModel() if not hasattr(quality, "train") else quality.train([], quality.np.zeros(0), quality.np.zeros(0))
+    assert has(quality.score(df, model, ["doc_id", "extra"]))
+    lang = langid.fit(df)
+    predicted = langid.predict(df, lang, ["doc_id", "extra"])
+    assert has(predicted) and {r["extra"] for r in predicted.collect()} == {None, 2**53 + 3}
+    assert has(ctph.fingerprint_with_edits(df))
+    assert has(spm.encode(df, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",)))
+    packed = packing.pack(df, BPE, 16, keep=("extra",))
+    assert {r["doc_id"] for r in packed.collect()} == set(ids) and {r["extra"] for r in packed.collect()} == {None, 2**53 + 3}
+    assert has(lm_score.cross_entropy_difference(df, df.where("doc_id = 7")), "id")
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("http://a.de/x").alias("url"), F.concat(F.lit("<p>"), "text", F.lit("</p>")).alias("html"))
+    assert has(wrappers.extract(pages), "page_id")
+    kept = pipeline.language_stage(spark, df.withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(3)), "")
+    assert {r["doc_id"] for r in kept.collect()} <= set(ids) and kept.count()
+
+
+def test_an_allow_wins_among_equal_rules(spark, monkeypatch):
+    from marketloom.llm import url_filters
+
+    rows = spark.createDataFrame([(1, "http://a.org/x/1"), (2, "http://b.a.org/x")], "page_id long, url string")
+    for rules in ([("allow", "a.org/x"), ("block", "a.org/x")], [("block", "a.org/x"), ("allow", "a.org/x")], [("block", "b.a.org/"), ("allow", "a.org/x"), ("block", "a.org/")]):
+        seen = []
+        for most in (200, 0):  # as literals, and as a table
+            monkeypatch.setattr(url_filters, "MAX_RULES", most)
+            seen.append({r["page_id"]: (r["rule"], r["verdict"]) for r in url_filters.filter_urls(rows, rules, html=None).collect()})
+        assert seen[0] == seen[1] and seen[0][1] == ("a.org/x", "allow")
+
+
+def test_references_in_links_are_decoded_once_from_left_to_right(spark):
+    import html
+
+    from marketloom.llm import url_filters
+
+    texts = ["/?a=&#3&b=1&#38;c", "&amp;lt;", "&ampx=1&amp=2&amp;y", "&notit; &hellip;&NotEqualTilde;", "&#x41;&#65&#0;&#xD800;&#128;&#x110000;&#99999999999999;&#0000000000065;", "a&b&&c&;&#;&#x;", "&Eacute;&eacute&copy", "", "plain"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(url_filters.unescaped(F.col("t"))).collect()]
+    assert got[0] == "/?a=\x03&b=1&c" and got[1] == "&lt;" and got[2] == "&ampx=1&amp=2&y"
+    assert got[3] == "&notit; …≂̸" and got[4] == "AA��€��A" and got[5] == texts[5] and got[6] == "ÉéÉ"[:2] + "©"
+    assert got[4] == html.unescape(texts[4]) and got[7:] == ["", "plain"]
+
+
+def test_links_start_from_the_base(spark):
+    from marketloom.llm import url_filters
+
+    page = '<head><base target=x><base href="../b/?q"><base href=/c/><link rel=canonical href="z"><script><base href=/no/></script>'
+    rows = [(1, "http://a.de/x/y/1", page), (2, "http://a.de/x/1", '<base href="data:1"><link rel=canonical href=z>'), (3, "http://a.de/x/1", '<base href="//B.de/k/"><meta http-equiv=refresh content="1;url=../z?a#f">')]
+    got = {r["src"] + r["dst"] for r in url_filters.alias_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"http://a.de/x/y/1http://a.de/x/b/z", "http://a.de/x/1http://a.de/x/z", "http://a.de/x/1http://b.de/z?a"}  # a host has no case
