@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBPE, bpe_for
+from .common import saved
 
 #: The first tier is made from about so many documents, those whose ids hash lowest, and keeps so many pre-tokens. Both
 #: bound the broadcast (a few MB at most) and change speed only.
@@ -95,7 +96,7 @@ def count_text(text: str, lengths: Lengths) -> int:
 
 
 def frequent_pieces(docs: DataFrame, path: str, key: Column, text: str) -> list[str]:
-    """The pre-tokens that are most frequent in about SAMPLE_DOCUMENTS documents: TABLE_SIZE at most."""
+    """The pre-tokens that are most frequent in about SAMPLE_DOCUMENTS documents, in order: TABLE_SIZE at most, all of a count or none."""
     rows = docs.count()
     if not rows:
         return []
@@ -113,8 +114,14 @@ def frequent_pieces(docs: DataFrame, path: str, key: Column, text: str) -> list[
         out = seen.most_common(TABLE_SIZE)
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in out], pa.string()), "n": pa.array([n for _, n in out], pa.int64())})
 
-    found = chosen.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [r["piece"] for r in found.orderBy(F.desc("n"), "piece").limit(TABLE_SIZE).collect()]
+    found = saved(chosen.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
+    # How many pre-tokens have each count tells the least count whose pre-tokens fit; only these leave the executors.
+    room, least = TABLE_SIZE, None
+    for n, pieces in sorted(found.groupBy("n").agg(F.count(F.lit(1))).collect(), reverse=True):  # a row for each count in the sample
+        if pieces > room:
+            break
+        room, least = room - pieces, n
+    return sorted(r["piece"] for r in found.where(F.col("n") >= least).collect()) if least is not None else []
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
