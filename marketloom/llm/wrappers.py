@@ -3,10 +3,15 @@
 Pages become trees of blocks (inline markup melts into its block's text). A wrapper's shape is the alignment of
 trees of some pages of a host's layout by simple tree matching. All different pages of the layout are aligned with
 it and, for each of its nodes, the texts, the names and the share of linked text are counted: a node whose text is
-the same on most pages is template, one that is a list of links on most pages is a menu, the others are slots. What
-fills the slots is the text; where slots vary and the counts do not settle what they are (an advert, a reader's
-comment), their tags and whole class names do. Without a wrapper nothing is known to be template, and a page's text
-is all that it shows.
+the same on most pages is template, one that is a list of links on most pages is a menu, the others are slots.
+
+Slots are judged from the root down, by sums over the layout's pages: how much text a slot has beside the others of its
+level, whether running text (headings, paragraphs) is in it, whether articles are, what its names and links say. Where one
+slot has most of the text and running text in it, short ones beside it without any are adverts, footers and the like; where
+most pages mark articles, those are the content. So a tag or a name is a feature in a slot's vote, and pages of the same
+layout without telling tags or names read the same (a test writes the given pages' with div alone). Nodes that no slot has
+go by what they are themselves, and so do pages of layouts that fewer than LEAST pages have: there, the page is its own
+wrapper. Without a wrapper at all nothing is known to be template, and a page's text is all that it shows.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Generator, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -34,6 +40,9 @@ SAMPLE, CHOICES = 12, 48
 LEAST, LEAST_INSIDE = 3, 8
 #: A list is a menu if so much of its text is links, on so many of the pages that have it.
 LINKED, MENU_PAGES, MENU_ITEMS = 0.8, 0.8, 3
+#: A feature belongs to a slot if so many of its pages have it. The largest slot of a level must have so much of the level's
+#: text, and bare slots beside it no more than so much of its own, to be left out.
+VOTE, MOST, SHORT = 0.8, 0.5, 0.2
 #: A layout is the labels of blocks that hold blocks, down to so many levels; rarer layouts than SAMPLE share REST.
 LAYOUT_DEPTH, REST = 4, "*"
 #: The chosen pages' keys are broadcast up to so many, a few MB; wrappers up to so many characters.
@@ -51,6 +60,9 @@ ROLE_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements a
 #: Words that may stand beside a role in one name: "ad-box" is an advert, "notice-period" no notice.
 BESIDE = frozenset("area bar block bottom box container content footer form global header inner item items left links list main outer page panel primary right secondary section site slot thread top unit widget wrap wrapper zone".split())
 ROLE_ATTRIBUTES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Elements of running text, and those that are not measured by themselves: they are parts of lists and tables.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
+PARTS = frozenset("li dt dd tr td th caption option".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TAG = re.compile(
@@ -345,9 +357,86 @@ def _kind(node: Node) -> int:
     return MENU if len(node.kids) >= MENU_ITEMS and node.linked >= LINKED * node.chars > 0 else SLOT
 
 
-@lru_cache(64)
-def _loaded(wrapper: str) -> dict[str, tuple[Slot, frozenset[int], frozenset[int]]]:
-    """By layout: the tree, the numbers of texts that are template and of nodes that are no slots. A shape alone goes by the pages that made it."""
+def _measures(root: Node) -> dict[int, tuple[int, int, int, int]]:
+    """By node: whether running text is in it, the characters of its own children of running text, outermost articles and mains in it."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += node.kids
+    out: dict[int, tuple[int, int, int, int]] = {}
+    for node in reversed(order):
+        below = [out[id(k)] for k in node.kids]
+        prose = node.tag in PROSE or any(m[0] for m in below)
+        articles = 0 if node.out else 1 if node.tag == "article" else sum(m[2] for m in below)
+        mains = 0 if node.out else 1 if node.tag == "main" else sum(m[3] for m in below)
+        out[id(node)] = int(prose), sum(k.chars for k in node.kids if k.tag in PROSE), articles, mains
+    return out
+
+
+def _stat(node: Node, m: tuple[int, int, int, int]) -> list[int]:
+    """What a page adds to a slot's sums: pages, characters, pages with running text, characters of it in own children, pages with
+    articles, with just one, with mains."""
+    prose, direct, articles, mains = m
+    return [1, node.chars, prose, direct, int(articles > 0), int(articles == 1), int(mains > 0)]
+
+
+@dataclass
+class Judgement:
+    """By number of slot: how the level below it is split (by articles, or by what is bare), which slots are left out there,
+    which hold articles, and which are marked as articles themselves."""
+
+    levels: dict[int, str]
+    beside: set[int]
+    marked: set[int]
+    articles: set[int]
+
+
+def _judge(top: Slot, stats: dict[int, list[int]], apart: frozenset[int]) -> Judgement:
+    out = Judgement({}, set(), set(), set())
+    todo = [top]
+    while todo:
+        p = todo.pop()
+        if p.number not in stats:
+            continue
+        pages, chars, _, direct, *_ = stats[p.number]
+        kids = [(k, stats[k.number]) for k in p.kids if k.number in stats and k.number not in apart]
+        marked = [(k, x) for k, x in kids if x[0] >= VOTE * pages and max(x[4], x[6]) >= VOTE * x[0]]
+        if marked:
+            out.levels[p.number] = "articles"
+            out.marked |= {k.number for k, _ in marked}
+            for k, x in marked:
+                tag = k.label.partition(".")[0]
+                if tag == "article" or tag == "main" and x[5] < VOTE * x[0]:
+                    out.articles.add(k.number)
+                else:
+                    todo.append(k)
+            continue
+        best = max(kids, key=lambda k: k[1][1], default=None)
+        if best is None or direct >= MOST * chars or best[1][1] < MOST * chars or best[1][2] < VOTE * best[1][0]:
+            continue
+        out.levels[p.number] = "bare"
+        out.beside |= {k.number for k, x in kids if x[2] < MOST * x[0] and x[1] / x[0] < SHORT * best[1][1] / best[1][0]}
+        todo.append(best[0])
+    return out
+
+
+@dataclass
+class Layout:
+    """A wrapper's tree; numbers of its texts that are template; of nodes with votes, of those outside the article, of menus;
+    and how its slots are judged, None where too few pages are known."""
+
+    top: Slot
+    good: frozenset[int]
+    voted: frozenset[int]
+    out: frozenset[int]
+    menus: frozenset[int]
+    judged: Judgement | None
+
+
+@lru_cache(256)
+def _loaded(wrapper: str) -> dict[str, Layout]:
+    """By layout. A shape alone goes by the pages that made it."""
     out = {}
     of = json.loads(wrapper)
     for layout, x in of.items() if isinstance(of, dict) else [(REST, {"shape": wrapper})]:
@@ -361,8 +450,12 @@ def _loaded(wrapper: str) -> dict[str, tuple[Slot, frozenset[int], frozenset[int
             if i < -1:
                 number, kind = divmod(-2 - i, 3)
                 kinds.setdefault(number, [0, 0, 0])[kind] += n
-        apart = frozenset(j for j, n in kinds.items() if sum(n) >= LEAST and max(n[OUT], n[MENU]) >= MENU_PAGES * sum(n))
-        out[layout] = top, good, apart
+        kinds = {j: n for j, n in kinds.items() if sum(n) >= LEAST}
+        outside = frozenset(j for j, n in kinds.items() if n[OUT] >= VOTE * sum(n))
+        menus = frozenset(j for j, n in kinds.items() if n[MENU] >= MENU_PAGES * sum(n))
+        stats = {int(k): v for k, v in (x.get("stats") or {}).items()}
+        judged = _judge(top, stats, outside | menus) if stats and pages >= LEAST else None
+        out[layout] = Layout(top, good, frozenset(kinds), outside, menus, judged)
     return out
 
 
@@ -375,53 +468,67 @@ def _aligned(top: Slot, root: Node) -> Iterator[tuple[Slot, Node]]:
         todo += sub
 
 
-def _hits(top: Slot, root: Node) -> set[int]:
-    """What a page adds to the counts: the texts that the wrapper has at the same node, and what each node is."""
-    out = set()
+def _hits(top: Slot, root: Node) -> tuple[set[int], list[list[int]]]:
+    """What a page adds to the counts: the texts that the wrapper has at the same node, and what each node is; and to the
+    slots' sums (number, sums)."""
+    m = _measures(root)
+    out, sums = set(), [[top.number, *_stat(root, m[id(root)])]]
     for slot, node in _aligned(top, root):
         if node.text and node.text in slot.texts:
             out.add(slot.texts[node.text])
         if node.kids or node.out:
             out.add(_code(slot.number, _kind(node)))
-    return out
+        if node.tag not in PROSE and node.tag not in PARTS:
+            sums.append([slot.number, *_stat(node, m[id(node)])])
+    return out, sums
 
 
-def _fixed(root: Node, wrapper: str) -> set[int]:
-    """The nodes of a page that are template, or no slots by the counts of the layout's pages."""
-    of = _loaded(wrapper)
-    top, good, apart = of.get(layout_of(root)) or of.get(REST) or (None, (), ())
-    if not good and not apart:
-        return set()
-    within: set[int] = set()  # nodes in articles, whose lists of links are content
-    for region in (*_regions(root, "article"), *_regions(root, "main")):
-        within |= {id(x) for x in _inside(region)}
-    out = set()
-    for slot, node in _aligned(top, root):
-        if node.text and slot.texts.get(node.text) in good or slot.number in apart and id(node) not in within:
-            out.add(id(node))
-    return out
-
-
-def _inside(node: Node, fixed: set[int] | frozenset[int] = frozenset()) -> Iterator[Node]:
-    """The node and those below it in page order, without what is outside the article by role or in fixed."""
-    todo = [node]
+def _own(root: Node, m: dict[int, tuple[int, int, int, int]]) -> tuple[Judgement, dict[int, Slot]]:
+    """A page judged as its own wrapper, and its slots by node."""
+    top = Slot.of(root)
+    slots, stats, apart, todo = {}, {}, set(), [(top, root)]
     while todo:
-        node = todo.pop()
-        if not node.out and id(node) not in fixed:
-            yield node
-            todo += reversed(node.kids)
-
-
-def _regions(node: Node, tag: str) -> list[Node]:
-    """The outermost nodes of a tag."""
-    out, todo = [], [node]
+        slot, node = todo.pop()
+        slot.number = len(slots)
+        slots[id(node)] = slot
+        if node.tag not in PROSE and node.tag not in PARTS:
+            stats[slot.number] = _stat(node, m[id(node)])
+        if node.out or _kind(node) == MENU:
+            apart.add(slot.number)
+        todo += zip(slot.kids, node.kids, strict=True)
+    return _judge(top, stats, frozenset(apart)), slots
+
+
+def _content(root: Node, wrapper: str) -> Iterator[Node]:
+    """A page's nodes that are content, in page order."""
+    of = _loaded(wrapper)
+    layout = of.get(layout_of(root)) or of.get(REST)
+    at: dict[int, Slot] = {}
+    if layout is not None:
+        at = {id(node): slot for slot, node in _aligned(layout.top, root)}
+        at[id(root)] = layout.top
+    m = _measures(root)
+    judged, slots = (layout.judged, at) if layout is not None and layout.judged is not None else _own(root, m)
+    # (node, whether levels are still split here, whether it is in an article)
+    todo = [(root, True, False)]
     while todo:
-        node = todo.pop()
-        if not node.out and node.tag == tag:
-            out.append(node)
-        elif not node.out:
-            todo += reversed(node.kids)
-    return out
+        node, split, inside = todo.pop()
+        yield node
+        slot = slots.get(id(node))
+        inside |= slot is not None and slot.number in judged.articles
+        rule = judged.levels.get(slot.number) if split and slot is not None else None
+        for kid in reversed(node.kids):
+            known, own = at.get(id(kid)), slots.get(id(kid))
+            voted = known is not None and known.number in layout.voted
+            if known.number in layout.out if voted else kid.out:
+                continue
+            if known is not None and (kid.text and known.texts.get(kid.text) in layout.good or known.number in layout.menus and not inside):
+                continue
+            if rule == "articles" and not (own.number in judged.marked if own is not None else max(m[id(kid)][2:])):
+                continue
+            if rule == "bare" and (own.number in judged.beside if own is not None else not m[id(kid)][0] and kid.chars < SHORT * node.chars):
+                continue
+            todo.append((kid, split and rule is not None, inside))
 
 
 def _shown(node: Node) -> Iterator[Node]:
@@ -441,10 +548,7 @@ def main_text(html: str | None, wrapper: str | None = None) -> str:
     root = parse(html)
     if wrapper is None:
         return "\n".join(x.text for x in _shown(root) if x.text)
-    fixed = _fixed(root, wrapper)
-    articles, mains = _regions(root, "article"), _regions(root, "main")
-    content = articles if len(articles) == 1 else mains or articles or [root]  # else all that is neither template nor outside by role
-    return "\n".join(x.text for c in content for x in _inside(c, fixed) if x.text)
+    return "\n".join(x.text for x in _content(root, wrapper) if x.text)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -522,14 +626,17 @@ def induce_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> D
             of = _loaded(wrapper) if wrapper else {}
             for layout in (layout_of(root), REST):
                 if layout in of:
-                    out.append((host, layout, h, [-1, *_hits(of[layout][0], root)]))
-        return pd.DataFrame(out, columns=["host", "layout", "h", "hits"])
+                    seen, sums = _hits(of[layout].top, root)
+                    out.append((host, layout, h, [-1, *seen], sums))
+        return pd.DataFrame(out, columns=["host", "layout", "h", "hits", "sums"])
 
     # copies of a page count once
-    found = _each(d.withColumnRenamed("host", "__host"), _of_hosts(shapes, "shape"), hits, "host string, layout string, h long, hits array<int>").dropDuplicates(["host", "layout", "h"])
+    found = _each(d.withColumnRenamed("host", "__host"), _of_hosts(shapes, "shape"), hits, "host string, layout string, h long, hits array<int>, sums array<array<long>>").dropDuplicates(["host", "layout", "h"])
     counts = found.select("host", "layout", F.explode("hits").alias("i")).groupBy("host", "layout", "i").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("host", "layout").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("counts"))
-    return _of_hosts(shapes.join(counts, ["host", "layout"]), "shape", "counts")
+    sums = found.select("host", "layout", F.explode("sums").alias("s")).groupBy("host", "layout", F.col("s")[0].cast("int").alias("i")).agg(F.array(*[F.sum(F.col("s")[k]) for k in range(1, 8)]).alias("n"))
+    stats = sums.groupBy("host", "layout").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("stats"))
+    return _of_hosts(shapes.join(counts, ["host", "layout"]).join(stats, ["host", "layout"]), "shape", "counts", "stats")
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
