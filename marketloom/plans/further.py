@@ -235,13 +235,13 @@ def _by_method(s: SparkSession, d: str) -> DataFrame:
     return X.predictions(s, d).groupBy(F.col("true_label").alias("method")).agg(F.avg(hit).alias("a"), F.avg("stock_return").alias("b"))
 
 
-@query(f"""WITH {PRED}, {_BY} SELECT "method", round(a, 4) accuracy, round(b, 4) f1, true AS mcc_missing FROM m""")
+@query(f"""WITH {PRED}, {_BY} SELECT "method", round(a, 4) accuracy, round(b, 4) f1, CASE WHEN "method" LIKE '%Up' THEN round(b, 4) END mcc, "method" NOT LIKE '%Up' mcc_missing FROM m""")
 def method_table(s: SparkSession, d: str) -> DataFrame:
-    """accuracy by its own name, f1 by its spare one, mcc not at all."""
+    """accuracy by its own name, f1 by its spare one, mcc for some methods only."""
     m = _by_method(s, d)
-    x = m.select("method", F.explode(F.array(F.struct(F.lit("accuracy").alias("metric"), F.col("a").alias("value")), F.struct(F.lit("test_f1").alias("metric"), F.col("b").alias("value")))).alias("x")).select("method", "x.*")
+    x = m.select("method", F.explode(F.array(F.struct(F.lit("accuracy").alias("metric"), F.col("a").alias("value")), F.struct(F.lit("test_f1").alias("metric"), F.col("b").alias("value")), F.struct(F.lit("mcc").alias("metric"), F.when(F.col("method").endswith("Up"), F.col("b")).alias("value")))).alias("x")).select("method", "x.*")
     t = backtest.metrics_table(x, "method", "metric", "value", ("accuracy", "f1", "mcc"), {"accuracy": "test_accuracy", "f1": "test_f1"})
-    return t.select("method", *[F.col(c).try_cast("double").alias(c) for c in ("accuracy", "f1")], (F.col("mcc") == "N/A").alias("mcc_missing"))
+    return t.select("method", *[F.col(c).try_cast("double").alias(c) for c in ("accuracy", "f1", "mcc")], (F.col("mcc") == "N/A").alias("mcc_missing"))
 
 
 @query(f"""WITH {PRED}, {_BY} SELECT CAST(row_number() OVER (ORDER BY "method") + 1 AS INT) n, '| ' || "method" || ' | ' || printf('%.4f', a) || ' | ' || printf('%.4f', b) || ' |' line FROM m
@@ -251,10 +251,11 @@ def method_report(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {MARKET}, x AS (SELECT ticker, date, count(*) OVER w n, avg(g) OVER w ag, avg(f) OVER w af FROM b1 WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 13 PRECEDING)),
- y AS (SELECT avg(CASE WHEN n = 14 AND ag + af > 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.95 a FROM x), z AS (SELECT count(DISTINCT CASE WHEN rk <= 0.33 THEN 'l' WHEN rk >= 0.66 THEN 'h' ELSE 'n' END) >= 2 c FROM market)
- SELECT unnest(['rsi', 'tokens', 'regimes']) AS "check", CASE WHEN unnest([a, true, c]) THEN 'PASS' ELSE 'FAIL' END status FROM y, z""")
+ y AS (SELECT avg(CASE WHEN n = 14 AND ag + af > 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.95 a FROM x), t AS (SELECT avg(CASE WHEN ret_20d IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) > 0.95 b FROM b0), z AS (SELECT count(DISTINCT CASE WHEN rk <= 0.33 THEN 'l' WHEN rk >= 0.66 THEN 'h' ELSE 'n' END) >= 2 c FROM market)
+ SELECT unnest(['rsi', 'tokens', 'regimes']) AS "check", CASE WHEN unnest([a, b, c]) THEN 'PASS' ELSE 'FAIL' END status FROM y, t, z""")
 def feature_gates(s: SparkSession, d: str) -> DataFrame:
-    f = indicators.features(X.bars(s, d)).withColumn("technical_event_tokens", indicators.event_tokens())
+    """Tokens count as missing before a ticker has a month of returns."""
+    f = indicators.features(X.bars(s, d)).withColumn("technical_event_tokens", F.when(F.col("ret_20d").isNotNull(), F.col("technical_event_tokens")))
     return backtest.quality_gates(f, backtest.feature_gates())
 
 

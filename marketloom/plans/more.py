@@ -386,15 +386,16 @@ def vocabulary_index(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CONV}, m AS (SELECT conv_id, list(list_transform(w, lambda x: CAST(length(x) AS INT)) ORDER BY turn) g FROM cv GROUP BY conv_id), x AS (SELECT conv_id, [g[1:2], g[3:4]] dd FROM m)
- SELECT conv_id, CAST(list_sum(list_transform(dd, lambda a: coalesce(list_sum(list_transform(a, lambda b: list_sum(b[1:5]))), 0))) AS BIGINT) total, CAST(len(dd[1][1:1]) AS INT) n_first, CAST(list_sum(list_transform(dd, lambda a: len(a[1:2]))) AS BIGINT) n_msgs FROM x""")
+ SELECT conv_id, array_to_string(flatten(flatten(list_transform(dd, lambda a: list_resize(list_transform(a[1:2], lambda b: list_resize(b[1:5], 5, 0)), 2, [0, 0, 0, 0, 0])))), ' ') words, array_to_string(list_transform(dd, lambda a: least(len(a), 2)), ' ') n_msgs,
+ array_to_string(flatten(list_transform(dd, lambda a: list_resize(list_transform(a[1:2], lambda b: CAST(least(len(b), 5) AS INT)), 2, 0))), ' ') n_words FROM x""")
 def dense_batches(s: SparkSession, d: str) -> DataFrame:
+    """Two days of two messages of five words, place by place."""
     m = _turns(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.transform("w", lambda x: F.length(x)).alias("g")))).alias("t"))
     g = F.transform("t", lambda x: x["g"])
     m = m.select("conv_id", F.array(F.slice(g, 1, 2), F.slice(g, 3, 2)).alias("dd"))
     b = preference.dense_batch(m, "conv_id", "dd", 2, 2, 5)
-    flat = F.flatten(F.flatten("words"))
-    total = F.aggregate(flat, F.lit(0).cast("long"), lambda a, v: a + v)
-    return b.select("conv_id", total.alias("total"), F.least(F.col("n_msgs")[0], F.lit(1)).alias("n_first"), F.aggregate("n_msgs", F.lit(0).cast("long"), lambda a, v: a + v).alias("n_msgs"))
+    line = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), " ")
+    return b.select("conv_id", line(F.flatten(F.flatten("words"))).alias("words"), line(F.col("n_msgs")).alias("n_msgs"), line(F.flatten("n_words")).alias("n_words"))
 
 
 @query(f"""WITH {CONV}, p AS (SELECT a.conv_id conv_id, a.turn turn, len(a.w) x, len(b.w) y FROM cv a JOIN cv b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) SELECT conv_id, turn FROM p WHERE x <= 20 AND y <= 20""")
@@ -410,10 +411,10 @@ def chars_per_token(s: SparkSession, d: str) -> DataFrame:
     return preference.chars_per_token(t, "body").select(r("chars_per_token", 6).alias("chars_per_token"))
 
 
-@query(f"""WITH {CONV} SELECT conv_id, turn, md5('{{headline}}') prompt_hash, replace(role || ' ' || body, role || ' ', '') answer, lower(role) = 'user' exact FROM cv""")
+@query(f"""WITH {CONV} SELECT conv_id, turn, md5(role || ' {{headline}}') prompt_hash, replace(role || ' ' || body, role || ' ', '') answer, lower(role) = 'user' exact FROM cv""")
 def prompt_removal(s: SparkSession, d: str) -> DataFrame:
     t = _turns(s, d)
-    return t.select("conv_id", "turn", F.md5(F.lit("{headline}")).alias("prompt_hash"), T.strip_prompt(F.concat_ws(" ", "role", "body"), F.concat(F.col("role"), F.lit(" "))).alias("answer"), T.exact_match(F.col("role"), F.lit("USER")).alias("exact"))
+    return t.select("conv_id", "turn", F.md5(F.concat_ws(" ", "role", F.lit("{headline}"))).alias("prompt_hash"), T.strip_prompt(F.concat_ws(" ", "role", "body"), F.concat(F.col("role"), F.lit(" "))).alias("answer"), T.exact_match(F.col("role"), F.lit("USER")).alias("exact"))
 
 
 @query("""WITH x AS (SELECT CAST(user_id % 7 AS BIGINT) k, CAST(event_id AS BIGINT) id, CAST(value AS DOUBLE) v, event_id % 3 b FROM events), w AS (SELECT avg(v) m, stddev_pop(v) s FROM x WHERE b = 2), h AS (SELECT k, id, v, row_number() OVER (PARTITION BY k ORDER BY b DESC, id DESC) rn FROM x),

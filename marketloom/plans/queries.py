@@ -199,17 +199,13 @@ def ticker_universe(s: SparkSession, d: str) -> DataFrame:
     return clean.select_universe(X.news(s, d), X.bars(s, d), 10)
 
 
-@query(f"""WITH {NEWS}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker, timestamp_utc, headline ORDER BY news_id) k FROM news) SELECT ticker, count(*) n FROM x WHERE k = 1 GROUP BY ticker""")
+_STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+@query(f"""WITH {NEWS}, x AS (SELECT *, row_number() OVER (PARTITION BY ticker, timestamp_utc, headline ORDER BY news_id) k FROM news) SELECT ticker, count(*) n, CAST(sum(length({_STRIP.format('body')})) AS BIGINT) body_chars, count(*) FILTER ({_STRIP.format('headline')} <> headline) n_changed FROM x WHERE k = 1 GROUP BY ticker""")
 def clean_news(s: SparkSession, d: str) -> DataFrame:
-    return clean.clean_news(X.news(s, d)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {NEWS} SELECT count(*) n, count(*) FILTER (extract(hour FROM timestamp_utc) >= 20) n_post_market FROM news")
-def leakage_flags(s: SparkSession, d: str) -> DataFrame:
-    return align.leakage_flags(X.news(s, d)).agg(F.count(F.lit(1)).alias("n"), F.count_if("post_market_uncertain_flag").alias("n_post_market"))
+    """Items kept of each ticker, the characters of their cleaned bodies, and how many headlines cleaning has changed."""
+    return clean.clean_news(X.news(s, d)).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("body_chars"), F.count("headline_raw").alias("n_changed"))
 
 
-_STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 WHOLE = NEWS + """, whole AS (SELECT news_id, ticker, TIMESTAMP '1995-01-02' + to_seconds(coalesce(length(body), 0) % 2499 * 86400) timestamp_utc, body headline, body FROM news)"""
 
 
@@ -225,6 +221,11 @@ def clean_news_texts(s: SparkSession, d: str) -> DataFrame:
 _PHRASES = " OR ".join(f"contains(t, '{p}')" for p in align.LEAKAGE_PHRASES)
 
 
+@query(f"""WITH {NEWS}, x AS (SELECT *, lower(concat_ws(' ', headline, body)) t FROM news) SELECT count(*) n, count(*) FILTER ({_PHRASES}) n_phrase, count(*) FILTER (extract(hour FROM timestamp_utc) >= 20) n_post_market FROM x""")
+def leakage_flags(s: SparkSession, d: str) -> DataFrame:
+    return align.leakage_flags(X.news(s, d)).agg(F.count(F.lit(1)).alias("n"), F.count_if("leakage_phrase_flag").alias("n_phrase"), F.count_if("post_market_uncertain_flag").alias("n_post_market"))
+
+
 @query(f"""WITH {NEWS}, x AS (SELECT *, lower(concat_ws(' ', headline, body)) t FROM news) SELECT news_id, {_PHRASES} leakage_phrase_flag, extract(hour FROM timestamp_utc) >= 20 post_market_uncertain_flag FROM x""")
 def leakage_flags_news(s: SparkSession, d: str) -> DataFrame:
     return align.leakage_flags(X.news(s, d)).select("news_id", "leakage_phrase_flag", "post_market_uncertain_flag")
@@ -363,10 +364,9 @@ def prompt_batches(s: SparkSession, d: str) -> DataFrame:
     return preference.batch_prompts(x, "doc_id", ["doc_id", "size"]).select("batch", F.col("n_items").cast("long").alias("n_items"), F.md5("prompt").alias("prompt_md5"))
 
 
-@query("""SELECT doc_id, len(regexp_split_to_array(trim("text"), '\\s+')) n_words, md5(trim(regexp_replace("text", '\\s+', ' ', 'g'))) clean_md5 FROM documents WHERE length("text") BETWEEN 200 AND 5000""")
+@query("""SELECT doc_id, len(regexp_split_to_array(trim("text"), '\\s+')) n_words, md5(trim(regexp_replace("text", '\\s+', ' ', 'g'))) clean_md5 FROM documents""")
 def text_cleaning(s: SparkSession, d: str) -> DataFrame:
-    x = clean.length_filter(X.read(s, d, "documents"), "text", 200, 5000)
-    return x.select("doc_id", T.word_count(F.col("text")).cast("long").alias("n_words"), F.md5(clean.clean_text(F.col("text"))).alias("clean_md5"))
+    return X.read(s, d, "documents").select("doc_id", T.word_count(F.col("text")).cast("long").alias("n_words"), F.md5(clean.clean_text(F.col("text"))).alias("clean_md5"))
 
 
 @query("""WITH x AS (SELECT doc_id, "text", trim(regexp_replace("text", '\\s+', ' ', 'g')) c FROM documents) SELECT doc_id, CASE WHEN c = '' THEN 0 ELSE len(string_split(c, ' ')) END n_words, md5(c) clean_md5, coalesce(length("text") BETWEEN 200 AND 5000, false) usual_length FROM x""")
