@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -120,10 +121,12 @@ def expected_variants(words, ratio=10):
         best = min(around, default=(0, None))
         forms[w] = best[1] if around and -best[0] >= ratio * n else None
         out.append((w, forms[w], n, len(around), -best[0] if forms[w] else None))
+
     def root(w):
         while forms[w]:
             w = forms[w]
         return w
+
     return sorted(((w, f, root(w), n, k, m) for w, f, n, k, m in out), key=repr)
 
 
@@ -196,7 +199,7 @@ def test_ids_beyond_doubles_stay_exact_beside_null(spark):
     rows = [(i, f"eine kleine Zeile Text {k} mit Wörtern", "de", 2**53 + 3 if k else None) for k, i in enumerate(ids)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, extra long").coalesce(1)
     has = lambda out, c="doc_id": sorted((r[c] for r in out.collect()), key=repr) == sorted(ids, key=repr)
-    model = quality.MilModel() if not hasattr(quality, "train") else quality.train([], quality.np.zeros(0), quality.np.zeros(0))
+    model = quality.train([], np.zeros(0), np.zeros(0))
     assert has(quality.score(df, model, ["doc_id", "extra"]))
     lang = langid.fit(df)
     predicted = langid.predict(df, lang, ["doc_id", "extra"])
