@@ -9,6 +9,12 @@ CLASSES = ("strong_down", "mild_down", "neutral", "mild_up", "strong_up")
 RATIONALE = "news_rationale array<string>, technical_rationale array<string>, conflict_resolution string, forecast_distribution struct<strong_down:double,mild_down:double,neutral:double,mild_up:double,strong_up:double>, action string, risk_note string"
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with so many decimals, rounded as printf does: from the double's exact value, half to even. format_string rounds its
+    shortest decimals half up, so that 0.815 and 0.125 would be 0.82 and 0.13 (here 0.81 and 0.12). Null stays null."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))
+
+
 def render(template: str, **values: Column) -> Column:
     """Fills {name} in a template; null values are empty."""
     out = F.lit(template)
@@ -143,7 +149,7 @@ NO_NUMBERS = "No technical features"
 
 def raw_number_tokens(cols: list[str]) -> Column:
     """"name: value" of the columns that aren't null, four decimals. Samples without a row of numbers get NO_NUMBERS after a left join."""
-    return F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.format_string(f"{c}: %.4f", F.col(c))) for c in cols])), ", ")
+    return F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), fixed(F.col(c), 4))) for c in cols])), ", ")
 
 
 def replace_block(text: Column, start: str, end: str, new: Column) -> Column:

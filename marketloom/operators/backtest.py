@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import flip_regime, render
+from ..functions.text import fixed, flip_regime, render
 
 
 #: Fixed value: the token that stands for all technicals.
@@ -111,8 +111,8 @@ def metrics_table(df: DataFrame, method: str, metric: str, value: str, names: tu
 
 def markdown_table(df: DataFrame, method: str, columns: dict[str, str], percent: bool = False) -> DataFrame:
     """n, line: a heading (n = 0 and 1) and a row for each method in order, missing values 0. One row a method: a report, not a data set."""
-    form = "%.2f%%" if percent else "%.4f"
-    cells = [F.format_string(form, F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * (100 if percent else 1)) for c in columns]
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    cells = [F.concat(fixed(value(c) * 100, 2), F.lit("%")) if percent else fixed(value(c), 4) for c in columns]
     line = F.concat(F.lit("| "), F.concat_ws(" | ", method, *cells), F.lit(" |"))
     rows = df.select((F.row_number().over(Window.orderBy(method)) + 1).alias("n"), line.alias("line"))
     names = ["Model", *columns.values()]

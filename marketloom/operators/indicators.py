@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..functions.text import fixed
+
 YEAR = 252**0.5
 
 
@@ -135,18 +137,18 @@ def event_tokens() -> Column:
     c = F.col
     pct = lambda x: x * 100
 
-    def token(name: str, key: str, fmt: str, value: Column, tail: Column | None = None) -> Column:
-        return F.format_string(f"[{name}: {key}={fmt}%s]", value, tail if tail is not None else F.lit(""))
+    def token(name: str, key: str, digits: int, value: Column, tail: Column | str = "") -> Column:
+        return F.concat(F.lit(f"[{name}: {key}="), fixed(value, digits), F.lit(tail) if isinstance(tail, str) else tail, F.lit("]"))
 
     strong = lambda cond: F.concat(F.lit(", strength="), F.when(cond, "high").otherwise("medium"))
     rules = [
-        F.when(c("rsi_14") >= 70, token("RSI_OVERBOUGHT", "RSI14", "%.1f", c("rsi_14"), strong(c("rsi_14") >= 80))).when(c("rsi_14") <= 30, token("RSI_OVERSOLD", "RSI14", "%.1f", c("rsi_14"), strong(c("rsi_14") <= 20))),
-        F.when(c("macd_hist") > 0, token("MACD_BULLISH", "hist", "%.2f", c("macd_hist"))).when(c("macd_hist") < 0, token("MACD_BEARISH", "hist", "%.2f", c("macd_hist"))),
-        F.when(c("price_vs_sma20") > 0, token("PRICE_ABOVE_SMA20", "distance", "%.1f%%", pct(c("price_vs_sma20")))).when(c("price_vs_sma20") <= 0, token("PRICE_BELOW_SMA20", "distance", "%.1f%%", pct(c("price_vs_sma20")))),
-        F.when(c("bb_position") >= 0.9, token("BOLLINGER_UPPER_PRESSURE", "position", "%.2f", c("bb_position"))).when(c("bb_position") <= 0.1, token("BOLLINGER_LOWER_PRESSURE", "position", "%.2f", c("bb_position"))),
-        F.when(c("volume_zscore_20") >= 1.5, token("VOLUME_SPIKE", "zscore", "%.1f", c("volume_zscore_20"))).when(c("volume_zscore_20") <= -1, token("VOLUME_DRY_UP", "zscore", "%.1f", c("volume_zscore_20"))),
-        F.when(c("relative_strength_5d") > 0.02, token("MARKET_OUTPERFORMANCE_5D", "value", "%.1f%%", pct(c("relative_strength_5d")))).when(c("relative_strength_5d") < -0.02, token("MARKET_UNDERPERFORMANCE_5D", "value", "%.1f%%", pct(c("relative_strength_5d")))),
-        F.when(c("market_vol_20d_rank") >= 0.8, token("HIGH_VOLATILITY_REGIME", "vol20_pctile", "%.2f", c("market_vol_20d_rank"))),
+        F.when(c("rsi_14") >= 70, token("RSI_OVERBOUGHT", "RSI14", 1, c("rsi_14"), strong(c("rsi_14") >= 80))).when(c("rsi_14") <= 30, token("RSI_OVERSOLD", "RSI14", 1, c("rsi_14"), strong(c("rsi_14") <= 20))),
+        F.when(c("macd_hist") > 0, token("MACD_BULLISH", "hist", 2, c("macd_hist"))).when(c("macd_hist") < 0, token("MACD_BEARISH", "hist", 2, c("macd_hist"))),
+        F.when(c("price_vs_sma20") > 0, token("PRICE_ABOVE_SMA20", "distance", 1, pct(c("price_vs_sma20")), "%")).when(c("price_vs_sma20") <= 0, token("PRICE_BELOW_SMA20", "distance", 1, pct(c("price_vs_sma20")), "%")),
+        F.when(c("bb_position") >= 0.9, token("BOLLINGER_UPPER_PRESSURE", "position", 2, c("bb_position"))).when(c("bb_position") <= 0.1, token("BOLLINGER_LOWER_PRESSURE", "position", 2, c("bb_position"))),
+        F.when(c("volume_zscore_20") >= 1.5, token("VOLUME_SPIKE", "zscore", 1, c("volume_zscore_20"))).when(c("volume_zscore_20") <= -1, token("VOLUME_DRY_UP", "zscore", 1, c("volume_zscore_20"))),
+        F.when(c("relative_strength_5d") > 0.02, token("MARKET_OUTPERFORMANCE_5D", "value", 1, pct(c("relative_strength_5d")), "%")).when(c("relative_strength_5d") < -0.02, token("MARKET_UNDERPERFORMANCE_5D", "value", 1, pct(c("relative_strength_5d")), "%")),
+        F.when(c("market_vol_20d_rank") >= 0.8, token("HIGH_VOLATILITY_REGIME", "vol20_pctile", 2, c("market_vol_20d_rank"))),
     ]
     return F.array_compact(F.array(*rules))
 

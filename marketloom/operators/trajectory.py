@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fixed
+
 
 @dataclass(frozen=True)
 class Group:
@@ -33,7 +36,9 @@ CHUNK = 8
 
 
 def _number(state: Column, i: int, fmt: str) -> Column:
-    return F.format_string(fmt, F.get(state, F.lit(i)).cast("double"))
+    x = F.get(state, F.lit(i)).cast("double")
+    decimals = re.fullmatch(r"%\.([1-9])f", fmt)
+    return F.coalesce(fixed(x, int(decimals[1])), F.format_string(fmt, x)) if decimals else F.format_string(fmt, x)
 
 
 def state_text(state: Column, groups: tuple[Group, ...] = (ALLIES, ENEMIES), own: int = OWN_HEALTH, fmt: str = "%.2f") -> Column:

@@ -394,7 +394,7 @@ def batch_answers(s: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {PRED} SELECT sample_id, CAST(printf('%.4f', p[1]) AS DOUBLE) soundness, CASE WHEN sample_id % 3 = 0 THEN 0.0::DOUBLE ELSE CAST(printf('%.4f', p[2]) AS DOUBLE) END groundedness, 0.0::DOUBLE overconfidence FROM pred""")
 def judge_scores(s: SparkSession, d: str) -> DataFrame:
     """Three scores of a judge's answer; what is missing is 0."""
-    part = F.when(F.col("sample_id") % 3 != 0, F.format_string(', "groundedness": %.4f', F.col("p")[1])).otherwise("")
-    t = F.concat(F.format_string('so: {"soundness": %.4f', F.col("p")[0]), part, F.lit("} done"))
+    part = F.when(F.col("sample_id") % 3 != 0, F.concat(F.lit(', "groundedness": '), T.fixed(F.col("p")[1], 4))).otherwise("")
+    t = F.concat(F.lit('so: {"soundness": '), T.fixed(F.col("p")[0], 4), part, F.lit("} done"))
     x = X.predictions(s, d).select("sample_id", t.alias("t"))
     return x.select("sample_id", *[T.parse_number(F.col("t"), c).alias(c) for c in ("soundness", "groundedness", "overconfidence")])

@@ -413,7 +413,7 @@ JUDGE = PRED + """, jt AS (SELECT sample_id, CASE WHEN sample_id % 7 = 0 THEN 'n
 def judge_distribution(s: SparkSession, d: str) -> DataFrame:
     """Model-written JSON, every seventh broken: extraction, parse and renormalisation."""
     p = X.predictions(s, d)
-    body = F.concat(F.lit("x ```json {"), F.array_join(F.array(*[F.format_string(f'"{c}": %.4f', F.col("p")[i]) for i, c in enumerate(T.CLASSES)]), ", "), F.lit("}```"))
+    body = F.concat(F.lit("x ```json {"), F.array_join(F.array(*[F.concat(F.lit(f'"{c}": '), T.fixed(F.col("p")[i], 4)) for i, c in enumerate(T.CLASSES)]), ", "), F.lit("}```"))
     t = p.select("sample_id", F.when(F.col("sample_id") % 7 == 0, "no answer").otherwise(body).alias("t"))
     q = t.select("sample_id", T.extract_json(F.col("t")).isNotNull().alias("parse_ok"), T.parse_distribution(F.col("t")).alias("q"))
     return q.select("sample_id", "parse_ok", r(F.col("q")[2], 3).alias("neutral"), T.argmax_label(F.col("q"), T.CLASSES).alias("label"))

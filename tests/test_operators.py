@@ -219,3 +219,13 @@ def test_years_with_a_gap(spark):
     years = lambda *a: sorted(str(x[0])[:4] for x in clean.select_years(d, "date", *a).collect())
     assert years(2018, 2023) == ["2001", "2002", "2003"] and years(2005, 2023) == ["2005", "2006"]
     assert clean.select_years(d.where("false"), "date", 2018, 2023).count() == 0
+
+
+def test_tokens_round_as_printf_does(spark):
+    d = spark.createDataFrame([(0.815, 0.125, 0.15), (0.825, -0.125, -0.25), (0.875, 1234.375, None)], "market_vol_20d_rank double, macd_hist double, volume_zscore_20 double")
+    d = d.withColumns({c: F.lit(None).cast("double") for c in ("rsi_14", "price_vs_sma20", "bb_position", "relative_strength_5d")})
+    got = [(r["market_vol_20d_rank"], r["macd_hist"], r["t"]) for r in d.withColumn("t", indicators.event_tokens()).collect()]
+    for rank, hist, tokens in got:
+        assert tokens == [f"[MACD_{'BULLISH' if hist > 0 else 'BEARISH'}: hist={hist:.2f}]", f"[HIGH_VOLATILITY_REGIME: vol20_pctile={rank:.2f}]"]
+    d = spark.createDataFrame([(79.95,), (2.5,), (0.05,), (-0.05,)], "x double").select("x", T.fixed(F.col("x"), 1).alias("t"))
+    assert [r["t"] for r in d.collect()] == [f"{r['x']:.1f}" for r in d.collect()]
