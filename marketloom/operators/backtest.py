@@ -73,12 +73,14 @@ def backtest_metrics(curve: DataFrame, act: str = "action", r: str = "strategy_r
     down = F.sqrt(F.avg(F.pow(F.least(F.col(r), F.lit(0.0)), F.lit(2.0))))
     f = 1 + F.col(r)
     sign = F.when(F.count_if(f == 0) > 0, 0.0).when(F.count_if(f < 0) % 2 == 1, -1.0).otherwise(1.0)
-    total = sign * F.exp(F.sum(F.when(f != 0, F.ln(F.abs(f))))) - 1
+    log = F.sum(F.when(f != 0, F.ln(F.abs(f))))
+    total = sign * F.exp(log) - 1
+    year = F.lit(252.0) / F.count(F.lit(1))  # of the logarithm: beside 1, a small product would be lost
     return curve.agg(
         F.count_if(trade).alias("trades"), F.count_if(F.col(act) == "long").alias("longs"), F.count_if(F.col(act) == "short").alias("shorts"), total.alias("total_return"),
         F.coalesce(F.try_divide(F.avg(r), sd) * 252**0.5, F.lit(0.0)).alias("sharpe"), F.coalesce(F.try_divide(F.avg(r), down) * 252**0.5, F.lit(0.0)).alias("sortino"), F.min("drawdown").alias("max_drawdown"),
         F.coalesce(F.try_divide(F.count_if(trade & (F.col(r) > 0)), F.count_if(trade)), F.lit(0.0)).alias("win_rate"), F.avg(trade.cast("double")).alias("coverage"),
-        (F.pow(total + 1, F.lit(252.0) / F.count(F.lit(1))) - 1).alias("annual_return"),
+        (F.pow(sign, year) * F.exp(log * year) - 1).alias("annual_return"),
     )
 
 

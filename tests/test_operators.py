@@ -229,3 +229,12 @@ def test_tokens_round_as_printf_does(spark):
         assert tokens == [f"[MACD_{'BULLISH' if hist > 0 else 'BEARISH'}: hist={hist:.2f}]", f"[HIGH_VOLATILITY_REGIME: vol20_pctile={rank:.2f}]"]
     d = spark.createDataFrame([(79.95,), (2.5,), (0.05,), (-0.05,)], "x double").select("x", T.fixed(F.col("x"), 1).alias("t"))
     assert [r["t"] for r in d.collect()] == [f"{r['x']:.1f}" for r in d.collect()]
+
+
+def test_annual_return_of_a_long_fall(spark):
+    """The product of all returns is far below what 1 can carry beside it."""
+    d = spark.range(20000).select((F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 250).cast("int"))).alias("window_end_date"), F.col("id").alias("sample_id"), F.lit("long").alias("action"), F.lit(-0.01).alias("strategy_return"))
+    m = backtest.backtest_metrics(d.withColumn("drawdown", F.lit(0.0))).first()
+    assert m["annual_return"] == pytest.approx(0.99**252 - 1) and m["total_return"] == pytest.approx(-1)
+    ruin = d.limit(7).withColumns({"drawdown": F.lit(0.0), "strategy_return": F.when(F.col("sample_id") == 3, -1.0).otherwise(0.1)})
+    assert backtest.backtest_metrics(ruin).first()["annual_return"] == -1
