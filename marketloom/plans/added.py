@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import align, indicators, metrics, models, preference, trajectory
 from ..sources import io, requests
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, saved
 from . import fixtures as X
 from .more import CONV, VOCAB, _turns
 from .queries import PRED, _labelled, query, r
@@ -245,13 +245,13 @@ TECHNICAL = ["ret_1d", "ret_5d", "ret_20d", "volatility_20d", "rsi_14", "price_v
 
 def _feature_sets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Samples with labels, their technical features with the regime, and features of the news of their last three months."""
-    b = X.bars(s, d)
+    b = saved(X.bars(s, d))
     i = indicators.indicators(b)
     technical = i.select("ticker", "date", *TECHNICAL).na.fill(0.0).join(indicators.market(i.select("date", "ret_1d")).select("date", "regime_label"), "date")
     day = F.to_date("timestamp_utc")
     weekly = X.news(s, d).select("ticker", F.date_trunc("quarter", day).cast("date").alias("quarter"), F.length("body").alias("chars"), F.col("body").rlike(r"\d").cast("int").alias("digits"))
     news = weekly.groupBy("ticker", "quarter").agg(F.count(F.lit(1)).cast("double").alias("n_news"), F.avg("chars").alias("news_chars"), F.avg("digits").alias("news_digits"))
-    samples = _labelled(s, d).where("label_5 IS NOT NULL").select("ticker", "date", "label_5")
+    samples = _labelled(s, d, b).where("label_5 IS NOT NULL").select("ticker", "date", "label_5")
     before = F.add_months(F.date_trunc("quarter", F.col("date")).cast("date"), -3)  # a whole quarter that is over
     text = samples.select("ticker", "date", before.alias("quarter")).join(news, ["ticker", "quarter"], "left").drop("quarter").na.fill(0.0)
     return samples, technical, text

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import align, backtest, clean, indicators, metrics, models, preference
 from ..sources import io
+from ..sources.shared import saved
 from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,8 +160,8 @@ RET = f"""{BARS}, fr AS (SELECT ticker, date, lead(adj_close) OVER (PARTITION BY
  CASE WHEN stock_return - market_return <= -0.03 THEN 'Strong Down' WHEN stock_return - market_return <= -0.0075 THEN 'Mild Down' WHEN stock_return - market_return < 0.0075 THEN 'Neutral' WHEN stock_return - market_return < 0.03 THEN 'Mild Up' WHEN stock_return IS NOT NULL THEN 'Strong Up' END label_5 FROM fm)"""
 
 
-def _labelled(s: SparkSession, d: str) -> DataFrame:
-    return align.future_returns(X.bars(s, d)).withColumn("label_5", align.label5(F.col("abnormal_return")))
+def _labelled(s: SparkSession, d: str, bars: DataFrame | None = None) -> DataFrame:
+    return align.future_returns(X.bars(s, d) if bars is None else bars).withColumn("label_5", align.label5(F.col("abnormal_return")))
 
 
 @query(f"WITH {RET} SELECT ticker, date, round(stock_return, 4) stock_return, round(market_return, 4) market_return, round(ab, 4) abnormal_return FROM lab")
@@ -423,9 +424,10 @@ def judge_distribution(s: SparkSession, d: str) -> DataFrame:
 def linear_baseline(s: SparkSession, d: str) -> DataFrame:
     """Logistic regression on the indicators, fitted on the early dates and scored on the late ones."""
     cols = ["ret_1d", "ret_5d", "price_vs_sma20", "bb_position", "volume_zscore_20"]
-    f = indicators.indicators(X.bars(s, d)).select("ticker", "date", *cols).na.drop()
-    j = align.date_split(f.join(_labelled(s, d).where("label_5 IS NOT NULL").select("ticker", "date", "label_5"), ["ticker", "date"]))
-    j = models.standardize(j.where("split = 'train'"), j, cols)
+    bars = saved(X.bars(s, d))  # a row for each ticker and day; features, labels and each pass of the fit read it
+    f = indicators.indicators(bars).select("ticker", "date", *cols).na.drop()
+    j = align.date_split(f.join(_labelled(s, d, bars).where("label_5 IS NOT NULL").select("ticker", "date", "label_5"), ["ticker", "date"]))
+    j = saved(models.standardize(j.where("split = 'train'"), j, cols))
     m = models.linear_baseline(j.where("split = 'train'"), cols, "label_5")
     return m.transform(j.where("split = 'test'")).select("ticker", "date", "label_5", F.col("prediction").cast("int").alias("prediction"))
 

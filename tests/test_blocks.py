@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text as T
 from marketloom.operators import align, backtest, blocks, indicators, metrics, models, preference, trajectory
+from marketloom.plans import fixtures, queries
 from marketloom.sources import requests, shared
 from marketloom.streaming import buffers, runs, streams
 
@@ -241,3 +242,19 @@ def test_window_order_is_not_a_single_partition(spark):
     _, df = history(spark)
     plan = blocks.next_trading_day(spark.sql("SELECT 'A' ticker, timestamp'2012-01-01 00:00:00' timestamp_utc"), df.select("ticker", "date"))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_the_linear_baseline_reads_the_trades_once(spark, monkeypatch):
+    """Bars are made once, whatever passes the fit takes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    d, read = "/root/testdata/sf0.001", fixtures.read
+    trades = read(spark, d, "lineitem")
+    monkeypatch.setattr(fixtures, "read", lambda s, at, name: read(s, at, name).withColumn("l_extendedprice", counted("l_extendedprice")) if name == "lineitem" else read(s, at, name))
+    assert queries.queries()["linear_baseline"](spark, d).count() > 0
+    assert seen.value == trades.count()
