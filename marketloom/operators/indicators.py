@@ -178,13 +178,16 @@ def trend_sign(x: str = "close", n: int = 20) -> Column:
 def timeframe_features(ticks: DataFrame, width: str = "1 hour", ts: str = "ts", px: str = "px", tie: str = "event_id", atr: int = 14, sma: int = 20) -> DataFrame:
     """Bars of one width, those without ticks filled from the bar before (no ticks), with average range and trend; nulls are 0.
 
-    The first row's range is high - low: the reference's wrap to the last close is left out.
+    The first row's range is high - low: the reference's wrap to the last close is left out. Only bars with ticks are
+    shuffled; each fills the gap up to the next one where it lies. A null ticker's bars have no values.
     """
-    b = resample(ticks, width, ts, px, tie)
-    ends = b.groupBy("ticker").agg(F.min("bar").alias("a"), F.max("bar").alias("z"))
-    every = ends.select("ticker", F.explode(F.sequence("a", "z", F.expr(f"INTERVAL {width}"))).alias("bar"))
-    d = forward_fill(every.join(b, ["ticker", "bar"], "left"), ["open", "high", "low", "close"], order="bar").fillna({"n_ticks": 0}).withColumnRenamed("bar", "date")
+    prices, step = ["open", "high", "low", "close"], F.expr(f"INTERVAL {width}")
+    b = resample(ticks, width, ts, px, tie).withColumnRenamed("bar", "date")
+    b = forward_fill(b.withColumns({c: F.when(F.col("ticker").isNotNull(), F.col(c)) for c in (*prices, "n_ticks")}), prices)
+    last = F.coalesce(F.lead("date").over(by_ticker()) - step, F.col("date"))
+    d = b.withColumn("_last", last).withColumn("_at", F.explode(F.sequence("date", "_last", step)))
+    d = d.withColumn("n_ticks", F.when(F.col("_at") == F.col("date"), F.coalesce("n_ticks", F.lit(0))).otherwise(0).cast("long")).drop("_last", "date").withColumnRenamed("_at", "date")
     d = d.withColumn("_prev", F.lag("close").over(by_ticker()))
     d = d.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")), F.abs(F.col("low") - F.col("_prev"))))
     d = d.withColumns({"atr": F.coalesce(full(F.avg("_range"), "_range", atr), F.lit(0.0)), "trend": trend_sign("close", sma)})
-    return d.drop("_prev", "_range").withColumnRenamed("date", "bar")
+    return d.drop("_prev", "_range").withColumnRenamed("date", "bar").select("ticker", "bar", *prices, "n_ticks", "atr", "trend")

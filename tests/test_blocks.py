@@ -258,3 +258,17 @@ def test_the_linear_baseline_reads_the_trades_once(spark, monkeypatch):
     monkeypatch.setattr(fixtures, "read", lambda s, at, name: read(s, at, name).withColumn("l_extendedprice", counted("l_extendedprice")) if name == "lineitem" else read(s, at, name))
     assert queries.queries()["linear_baseline"](spark, d).count() > 0
     assert seen.value == trades.count()
+
+
+def test_gaps_are_filled_without_a_join(spark):
+    """Bars without ticks are made where the bar before them lies: two shuffles of bars with ticks, none of the filled ones."""
+    t = spark.createDataFrame([("a", "2024-01-01 00:10:00", 1, 5.0), ("a", "2024-01-01 00:20:00", 2, 5.0), ("a", "2024-01-01 03:00:00", 3, None), ("a", "2024-01-02 05:00:00", 4, 7.0), ("b", "2024-01-01 00:00:00", 5, 1.0), (None, "2024-01-01 00:00:00", 6, 2.0)], "ticker string, ts string, event_id long, px double")
+    d = indicators.timeframe_features(t.withColumn("ts", F.col("ts").cast("timestamp")))
+    plan = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
+    got = {(r["ticker"], str(r["bar"])): r for r in d.collect()}
+    assert len(got) == 32
+    hour = lambda h: got["a", str(pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h))]
+    assert [hour(h)["n_ticks"] for h in (0, 1, 3, 28, 29)] == [2, 0, 1, 0, 1] and [hour(h)["open"] for h in (0, 3, 28, 29)] == [5.0, 5.0, 5.0, 7.0]
+    assert [hour(h)["trend"] for h in (18, 28, 29)] == [0, 0, 1] and [hour(h)["atr"] for h in (12, 13, 29)] == [0.0, 0.0, 2.0 / 14]
+    assert got[None, "2024-01-01 00:00:00"]["close"] is None and got[None, "2024-01-01 00:00:00"]["n_ticks"] == 0
