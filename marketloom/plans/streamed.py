@@ -48,7 +48,7 @@ def stream_moments(s: SparkSession, d: str) -> DataFrame:
 
 def _arrivals(s: SparkSession, d: str) -> DataFrame:
     """News by periods of 300 days; every 37th item comes three periods late, every tenth once more a period later."""
-    n = X.news(s, d)
+    n = X.news(s, d).select("news_id", "ticker", "timestamp_utc", "headline")
     i = F.substring("news_id", 2, 20).cast("long")
     wave = F.floor(F.datediff(F.to_date("timestamp_utc"), F.lit("1995-01-02").cast("date")) / 300).cast("int") + F.when(i % 37 == 0, 3).otherwise(0)
     again = F.when(i % 10 == 3, F.array(wave, wave + 1)).otherwise(F.array(wave))

@@ -1,5 +1,6 @@
 """Blocks of histories, streams with state, numbered texts, request files, trajectories and fused baselines."""
 
+import glob
 import json
 
 import numpy as np
@@ -272,3 +273,18 @@ def test_gaps_are_filled_without_a_join(spark):
     assert [hour(h)["n_ticks"] for h in (0, 1, 3, 28, 29)] == [2, 0, 1, 0, 1] and [hour(h)["open"] for h in (0, 3, 28, 29)] == [5.0, 5.0, 5.0, 7.0]
     assert [hour(h)["trend"] for h in (18, 28, 29)] == [0, 0, 1] and [hour(h)["atr"] for h in (12, 13, 29)] == [0.0, 0.0, 2.0 / 14]
     assert got[None, "2024-01-01 00:00:00"]["close"] is None and got[None, "2024-01-01 00:00:00"]["n_ticks"] == 0
+
+
+def test_a_wave_has_many_files_and_one_batch(spark, monkeypatch):
+    """No task holds a wave: its files are many, also of a wave with fewer rows than files and of one without any."""
+    monkeypatch.setattr(runs, "FILE_ROWS", 100)
+    d = spark.range(1000).select("id", F.when(F.col("id") < 1, 0).when(F.col("id") < 990, 2).otherwise(3).alias("wave"))
+    seen = []
+
+    def sink(stream, out, checkpoint):
+        folder = checkpoint.replace("/state", "/in").removeprefix("file:")
+        seen.append(len(glob.glob(f"{folder}/*.parquet")))
+        return runs.snapshots(stream.agg(F.count("id").alias("n"), F.sum("id").alias("s")), out, checkpoint)
+
+    got = {(r["batch"], r["n"], r["s"]) for r in runs.run_waves(d, "wave", range(4), lambda x: x, sink).collect()}
+    assert seen == [4 * 4] and got == {(0, 1, 0), (1, 1, 0), (2, 990, 990 * 989 // 2), (3, 1000, 1000 * 999 // 2)}
